@@ -61,11 +61,18 @@ def spearman(rows: DataFrame, keys: Sequence[str], y: str = "y", yhat: str = "yh
     # read four times below, so written once
     pairs = cut_lineage(used.groupBy(*keys, "_t", "_p").agg(F.count("*").alias("_c")))
     whole = pairs.where("_t IS NOT NULL AND _p IS NOT NULL")
+    # both sides are ranked in one pass over (side, value) counts
+    sides = F.array(*[F.struct(F.lit(s).alias("side"), F.col(s).alias("v")) for s in ("_t", "_p")])
+    counts = (
+        whole.select(*keys, "_c", F.explode(sides).alias("s"))
+        .groupBy(*keys, F.col("s.side").alias("_side"), F.col("s.v").alias("_v")).agg(F.sum("_c").alias("n"))
+    )
+    placed = with_running_total(counts, [*keys, "_side"], ["_v"], "n")
     joined = whole
     for side in ("_t", "_p"):
-        one_side = whole.select(*keys, side, F.col("_c"))
-        counts = one_side.groupBy(*keys, side).agg(F.sum("_c").alias("n"))
-        ranks = _ranks_of_counts(counts, keys, side)
+        ranks = placed.where(F.col("_side") == side).select(
+            *keys, F.col("_v").alias(side), (F.col("running") - (F.col("n") - 1) / 2.0).alias(f"_r{side}"),
+            F.col("total").alias(f"_n{side}"))
         joined = joined.join(ranks, [*keys, side])
     middle = (F.col("_n_t") + 1) / 2.0
     a, b = F.col("_r_t") - middle, F.col("_r_p") - middle
@@ -84,17 +91,13 @@ def spearman(rows: DataFrame, keys: Sequence[str], y: str = "y", yhat: str = "yh
         F.when(fine, F.try_divide("_ab", F.sqrt("_aa") * F.sqrt("_bb"))).alias("Spearman_rho"))
 
 
-def _ranks_of_counts(counts: DataFrame, keys: Sequence[str], side: str) -> DataFrame:
-    placed = with_running_total(counts, keys, [side], "n")
-    return placed.select(
-        *keys, side, (F.col("running") - (F.col("n") - 1) / 2.0).alias(f"_r{side}"),
-        F.col("total").alias(f"_n{side}"))
-
-
-def regression_metrics(rows: DataFrame, keys: Sequence[str], y: str = "y", yhat: str = "yhat") -> DataFrame:
-    """All eight metrics, one row per group."""
-    table = moment_metrics(rows, keys, y, yhat).join(spearman(rows, keys, y, yhat), list(keys))
-    return table.select(*keys, "n", *[F.col(f"`{m}`") for m in registry.METRICS])
+def regression_metrics(rows: DataFrame, keys: Sequence[str], y: str = "y", yhat: str = "yhat",
+                       names: Sequence[str] = registry.METRICS) -> DataFrame:
+    """The named metrics (all eight by default), one row per group; ranks only if they are asked for."""
+    table = moment_metrics(rows, keys, y, yhat)
+    if "Spearman_rho" in names:
+        table = table.join(spearman(rows, keys, y, yhat), list(keys))
+    return table.select(*keys, "n", *[F.col(f"`{m}`") for m in names])
 
 
 def metric_long(wide: DataFrame, keys: Sequence[str], metrics: Sequence[str]) -> DataFrame:

@@ -73,15 +73,15 @@ kept AS (SELECT * FROM long WHERE CASE protocol WHEN 'GKF5' THEN metric IN ('MAE
   ELSE metric NOT IN ('RMSE', 'MSE') END)"""
 
 
-def fold_metrics(spark: SparkSession, folder: str) -> DataFrame:
+def fold_metrics(spark: SparkSession, folder: str, names: list[str] = registry.METRICS) -> DataFrame:
     rows = predictions(spark, folder)
     grouped = F.col("status") == "F"
     rows = rows.select(
         F.when(grouped, "GKF5").otherwise("LODO").alias("protocol"),
         F.when(grouped, F.concat(F.lit("R"), F.col("subject_id") % 5 + 1))
         .otherwise(F.concat(F.lit("TEST_"), F.col("dataset"))).alias("fold"), "y", "yhat")
-    table = metrics.regression_metrics(rows, ["protocol", "fold"])
-    long = metrics.metric_long(table, ["protocol", "fold"], registry.METRICS)
+    table = metrics.regression_metrics(rows, ["protocol", "fold"], names=names)
+    long = metrics.metric_long(table, ["protocol", "fold"], names)
     return metrics.select_protocol_metrics(long.withColumn("value", fixed("value")))
 
 
@@ -100,7 +100,7 @@ def fold_average(spark: SparkSession, folder: str) -> DataFrame:
 @query(f"""WITH {FOLD_METRICS_SQL} SELECT metric, count(*) AS n_folds, count(value) AS n_present,
   round(avg(value), 5) + 0.0 AS "Avg" FROM kept WHERE protocol = 'GKF5' GROUP BY metric""")
 def fold_average_strict(spark: SparkSession, folder: str) -> DataFrame:
-    rows = fold_metrics(spark, folder).where("protocol = 'GKF5'")
+    rows = fold_metrics(spark, folder, registry.GROUPED_METRICS).where("protocol = 'GKF5'")
     return metrics.fold_average(rows, ["metric"], n_folds=5).withColumn("Avg", fixed("Avg", 5))
 
 
@@ -115,7 +115,7 @@ def metric_log_lines(spark: SparkSession, folder: str) -> DataFrame:
 @query(f"""WITH {FOLD_METRICS_SQL} SELECT metric, {', '.join(f"max(value) FILTER (WHERE fold = 'R{i}') AS \"R{i}\"" for i in range(1, 6))},
   round(avg(value), 5) + 0.0 AS "Avg" FROM kept WHERE protocol = 'GKF5' GROUP BY metric""")
 def wide_metrics(spark: SparkSession, folder: str) -> DataFrame:
-    rows = fold_metrics(spark, folder).where("protocol = 'GKF5'")
+    rows = fold_metrics(spark, folder, registry.GROUPED_METRICS).where("protocol = 'GKF5'")
     wide = results.wide_metrics(rows, [f"R{i}" for i in range(1, 6)])
     return wide.withColumn("Avg", fixed("Avg", 5))
 
@@ -149,9 +149,9 @@ def run_rows(spark: SparkSession, folder: str) -> DataFrame:
         fold.alias("fold"), "y", "yhat")
 
 
-def archive(spark: SparkSession, folder: str) -> DataFrame:
-    table = metrics.regression_metrics(run_rows(spark, folder), ["file_name", "fold"])
-    long = metrics.metric_long(table, ["file_name", "fold"], ARCHIVE_METRICS)
+def archive(spark: SparkSession, folder: str, names: list[str] = ARCHIVE_METRICS) -> DataFrame:
+    table = metrics.regression_metrics(run_rows(spark, folder), ["file_name", "fold"], names=names)
+    long = metrics.metric_long(table, ["file_name", "fold"], names)
     position = F.when(F.col("fold").startswith("R"), F.expr("substring(fold, 2)")).otherwise(
         F.translate(F.expr("substring(fold, 6)"), "ANR", "123"))
     return long.select("file_name", "metric", "fold", position.alias("fold_position"), fixed("value").alias("value"))
@@ -253,7 +253,7 @@ def latest_variant_run(spark: SparkSession, folder: str) -> DataFrame:
 @query(f"""WITH {ARCHIVE_SQL} SELECT experiment, long_name AS model, harmonized, 'P' || fold_position AS point, -value AS value
 FROM archive JOIN newest USING (file_name) WHERE metric = 'MAE'""")
 def fold_points(spark: SparkSession, folder: str) -> DataFrame:
-    rows = archive(spark, folder)
+    rows = archive(spark, folder, ["MAE"])
     runs = results.latest_pooled_runs(rows.select("file_name").distinct())
     return results.point_table(rows, runs, ["experiment", "model", "harmonized"], "MAE", negate=True)
 
@@ -261,7 +261,7 @@ def fold_points(spark: SparkSession, folder: str) -> DataFrame:
 @query(f"""WITH {ARCHIVE_SQL} SELECT experiment, long_name AS model, harmonized, round(avg(value), 5) + 0.0 AS value
 FROM archive JOIN newest USING (file_name) WHERE metric = 'MAE' AND experiment = 'GKF5' GROUP BY 1, 2, 3""")
 def average_by_model(spark: SparkSession, folder: str) -> DataFrame:
-    rows = archive(spark, folder)
+    rows = archive(spark, folder, ["MAE"])
     runs = results.latest_pooled_runs(rows.select("file_name").distinct(), experiments=["GKF5"])
     return results.average_table(rows, runs, "MAE").withColumn("value", fixed("value", 5))
 
@@ -281,7 +281,7 @@ def result_panels(spark: SparkSession, folder: str) -> DataFrame:
 @query(f"""WITH {ARCHIVE_SQL} SELECT experiment, count(value) AS n, round(avg(value), 5) + 0.0 AS mean, round(stddev_pop(value), 5) + 0.0 AS std
 FROM archive JOIN newest USING (file_name) WHERE long_name = 'Dummy' AND metric = 'MAE' AND NOT harmonized GROUP BY experiment""")
 def dummy_summary(spark: SparkSession, folder: str) -> DataFrame:
-    rows = archive(spark, folder)
+    rows = archive(spark, folder, ["MAE"])
     runs = results.latest_pooled_runs(rows.select("file_name").distinct(), models=["Dummy"]).where("NOT harmonized")
     points = results.point_table(rows, runs, ["experiment", "model"], "MAE")
     return results.baseline_summary(points, ["experiment"]).select(
