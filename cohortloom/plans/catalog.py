@@ -1,6 +1,6 @@
 """All registered queries."""
 
-from cohortloom.plans import cohort_queries, result_queries, split_queries  # noqa: F401
+from cohortloom.plans import cohort_queries, matrix_queries, result_queries, split_queries  # noqa: F401
 from cohortloom.plans.register import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
