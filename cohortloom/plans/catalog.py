@@ -1,6 +1,8 @@
 """All registered queries."""
 
-from cohortloom.plans import cohort_queries, matrix_queries, result_queries, split_queries  # noqa: F401
+from cohortloom.plans import (  # noqa: F401
+    cohort_queries, matrix_queries, model_queries, result_queries, split_queries,
+)
 from cohortloom.plans.register import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
