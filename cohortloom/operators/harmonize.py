@@ -12,10 +12,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.utils import AnalysisException
 
 from cohortloom.functions import registry
 from cohortloom.functions.scalars import zero_if_not_finite
@@ -37,32 +37,32 @@ def spline_knots(bounds: tuple[float, float] = registry.AGE_BOUNDS, inner: int =
     return [bounds[0]] * edges + [bounds[0] + step * (k + 1) for k in range(inner)] + [bounds[1]] * edges
 
 
-def spline_basis(x: Column, bounds: tuple[float, float] = registry.AGE_BOUNDS) -> list[Column]:
-    """Cubic B-splines on even knots inside the bounds, as plain expressions. Values outside the bounds
+def spline_basis(covariate: str, bounds: tuple[float, float] = registry.AGE_BOUNDS) -> list[Column]:
+    """Cubic B-splines on even knots inside the bounds, as SQL expressions. Values outside the bounds
     are moved to the nearest bound. The first function is left out: the site effects carry the level."""
     knots = spline_knots(bounds)
-    at = F.greatest(F.lit(bounds[0]), F.least(F.lit(bounds[1]), x))
+    at = f"greatest({bounds[0]}D, least({bounds[1]}D, double(`{covariate}`)))"
     last = len(knots) - SPLINE_DEGREE - 2
 
-    def piece(i: int, degree: int) -> Column:
+    def piece(i: int, degree: int) -> str:
         if degree == 0:
-            inside = (at >= knots[i]) & ((at <= knots[i + 1]) if i == last else (at < knots[i + 1]))
-            return F.when(inside, 1.0).otherwise(0.0)
-        total = F.lit(0.0)
-        if knots[i + degree] > knots[i]:
-            total = total + (at - knots[i]) / (knots[i + degree] - knots[i]) * piece(i, degree - 1)
-        if knots[i + degree + 1] > knots[i + 1]:
-            total = total + (knots[i + degree + 1] - at) / (knots[i + degree + 1] - knots[i + 1]) * piece(i + 1, degree - 1)
-        return total
+            upper = "<=" if i == last else "<"
+            return f"if({at} >= {knots[i]}D and {at} {upper} {knots[i + 1]}D, 1D, 0D)"
+        terms = []
+        rise, fall = knots[i + degree] - knots[i], knots[i + degree + 1] - knots[i + 1]
+        if rise > 0:
+            terms.append(f"({at} - {knots[i]}D) / {rise}D * {piece(i, degree - 1)}")
+        if fall > 0:
+            terms.append(f"({knots[i + degree + 1]}D - {at}) / {fall}D * {piece(i + 1, degree - 1)}")
+        return "(" + " + ".join(terms) + ")" if terms else "0D"
 
-    return [piece(i, SPLINE_DEGREE) for i in range(1, len(knots) - SPLINE_DEGREE - 1)]
+    return [F.expr(piece(i, SPLINE_DEGREE)) for i in range(1, len(knots) - SPLINE_DEGREE - 1)]
 
 
 def covariate_basis(covariate: str | None, kind: str, bounds: tuple[float, float]) -> list[Column]:
     if covariate is None or kind == "none":
         return []
-    x = F.col(covariate).cast("double")
-    return [x] if kind == "linear" else spline_basis(x, bounds)
+    return [F.col(covariate).cast("double")] if kind == "linear" else spline_basis(covariate, bounds)
 
 
 @dataclass(frozen=True)

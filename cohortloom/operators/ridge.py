@@ -87,22 +87,35 @@ def fit_folds(blocks: DataFrame, fold: str, inner: str, alphas: Sequence[float]
               ) -> list[tuple[str, float, list[float], list[float]]]:
     """Per outer fold: chosen alpha, coefficients and inner scores.
 
-    ``blocks`` is keyed by (outer fold, inner fold). The training rows of an outer fold are all rows of
-    the other outer folds, and their inner folds are the same inner labels added up over those.
+    ``blocks`` is keyed by (outer fold, inner fold) of the rows. The training rows of an outer fold are
+    all rows of the other outer folds, and their inner folds are the same inner labels added up over
+    those. Right when a row's features do not depend on the fold.
     """
     held = collect_blocks(blocks, [fold, inner])
-    outers = sorted({k[0] for k in held})
     inners = sorted({k[1] for k in held})
     zero = np.zeros_like(next(iter(held.values())))
     by_inner = {i: sum((b for k, b in held.items() if k[1] == i), zero) for i in inners}
-    out = []
-    for outer in outers:
-        parts = {i: by_inner[i] - held.get((outer, i), zero) for i in inners}
-        parts = {i: b for i, b in parts.items() if b[0, 0] > 0}
-        alpha, scores = tune_alpha(parts, alphas)
-        coef = solve_ridge(sum(parts.values()), alpha)
-        out.append((outer, alpha, [float(c) for c in coef], scores))
-    return out
+    return [
+        _tuned(outer, {i: by_inner[i] - held.get((outer, i), zero) for i in inners}, alphas)
+        for outer in sorted({k[0] for k in held})
+    ]
+
+
+def fit_train_blocks(blocks: DataFrame, fold: str, inner: str, alphas: Sequence[float] = registry.RIDGE_ALPHAS,
+                     ) -> list[tuple[str, float, list[float], list[float]]]:
+    """Same for features refitted on every outer training set: ``blocks`` hold each outer fold's own
+    training rows, so only its inner folds are subtracted from each other."""
+    held = collect_blocks(blocks, [fold, inner])
+    return [
+        _tuned(outer, {k[1]: b for k, b in held.items() if k[0] == outer}, alphas)
+        for outer in sorted({k[0] for k in held})
+    ]
+
+
+def _tuned(outer: str, parts: dict[object, np.ndarray], alphas: Sequence[float]):
+    parts = {i: b for i, b in parts.items() if b[0, 0] > 0}
+    alpha, scores = tune_alpha(parts, alphas)
+    return outer, alpha, [float(c) for c in solve_ridge(sum(parts.values()), alpha)], scores
 
 
 def fit_plain(blocks: DataFrame, fold: str, alpha: float) -> list[tuple[str, float, list[float]]]:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from cohortloom.functions import registry
 from cohortloom.functions.scalars import fixed
-from cohortloom.operators import metrics, ridge
+from cohortloom.operators import harmonize, metrics, ridge
 from cohortloom.plans.register import query
 from cohortloom.sources.standins import table
 
@@ -144,8 +144,6 @@ eb AS (SELECT * FROM it WHERE step = 80)"""
 
 
 def linear_model(spark: SparkSession, folder: str, **settings):
-    from cohortloom.operators import harmonize
-
     return harmonize.fit(feature_rows(spark, folder), "site", kind="linear", tolerance=1e-12, **settings)
 
 
@@ -176,8 +174,6 @@ def combat_standardized(spark: SparkSession, folder: str) -> DataFrame:
 @query(f"""WITH RECURSIVE {EB_SQL} SELECT z.scan_id, z.feature, round(scale * (z - shift) / sqrt(spread) + grand + b * age, 6) + 0.0 AS value
 FROM z JOIN eb USING (site, feature)""")
 def combat_apply(spark: SparkSession, folder: str) -> DataFrame:
-    from cohortloom.operators import harmonize
-
     done = harmonize.apply(feature_rows(spark, folder), linear_model(spark, folder))
     return done.select("scan_id", F.posexplode("features").alias("feature", "v")).select(
         "scan_id", F.col("feature").cast("bigint").alias("feature"), fixed("v").alias("value"))
@@ -186,8 +182,6 @@ def combat_apply(spark: SparkSession, folder: str) -> DataFrame:
 @query(f"""WITH RECURSIVE {EB_SQL} SELECT z.scan_id, z.feature, round(scale * (z - shift) / sqrt(spread) + grand + b * age, 6) + 0.0 AS value
 FROM z JOIN eb USING (site, feature)""")
 def combat_apply_long(spark: SparkSession, folder: str) -> DataFrame:
-    from cohortloom.operators import harmonize
-
     rows = feature_rows(spark, folder).select("scan_id", "site", "age", F.posexplode("features").alias("feature", "value"))
     done = harmonize.apply_long(rows, linear_model(spark, folder))
     return done.select("scan_id", F.col("feature").cast("bigint").alias("feature"), fixed("value").alias("value"))
@@ -195,8 +189,6 @@ def combat_apply_long(spark: SparkSession, folder: str) -> DataFrame:
 
 @query()
 def combat_spline(spark: SparkSession, folder: str) -> DataFrame:
-    from cohortloom.operators import harmonize
-
     rows = feature_rows(spark, folder)
     return harmonize.apply(rows, harmonize.fit(rows, "site"))
 
@@ -207,8 +199,6 @@ SELECT protocol, 'outer_train' AS fit_scope, protocol = 'kfold' AS applied_to_te
   CASE protocol WHEN 'kfold' THEN 'known_dataset_known_age_test' ELSE 'source_only' END AS policy_label,
   count(*) FILTER (WHERE is_test) AS n_test, count(*) FILTER (WHERE NOT is_test OR protocol = 'kfold') AS n_transformed FROM f, p GROUP BY protocol""")
 def harmonization_policy(spark: SparkSession, folder: str) -> DataFrame:
-    from cohortloom.operators import harmonize
-
     rows = table(spark, folder, "embeddings").select(
         (F.col("label") % 5 == 0).alias("is_test"), F.explode(F.array(F.lit("kfold"), F.lit("lodo"))).alias("protocol"))
     tagged = rows.select("protocol", "is_test", *harmonize.policy_columns(F.col("protocol")))
@@ -221,7 +211,5 @@ def harmonization_policy(spark: SparkSession, folder: str) -> DataFrame:
   CAST(CAST(round(o_totalprice * 100) AS BIGINT) AS VARCHAR))), 1, 8))::BIGINT) AS BIGINT) AS row_sum FROM orders)
 SELECT n_rows, row_sum, sha256(concat_ws('|', 'eb=1;smooth=age', CAST(n_rows AS VARCHAR), CAST(row_sum AS VARCHAR))) AS signature FROM t""")
 def input_signature(spark: SparkSession, folder: str) -> DataFrame:
-    from cohortloom.operators import harmonize
-
     rows = table(spark, folder, "orders").withColumn("cents", F.round(F.col("o_totalprice") * 100).cast("bigint"))
     return harmonize.content_signature(rows, ["o_orderkey", "o_orderstatus", "cents"], "eb=1;smooth=age")
