@@ -113,20 +113,14 @@ def fit(rows: DataFrame, site: str, features: str = "features", covariate: str |
     inverse = np.linalg.pinv(gram, rcond=1e-12, hermitian=True)
     counts, total = blocks[:, 0, 0], blocks[:, 0, 0].sum()
 
-    site_field = rows.schema[site]
     moments = T.StructType([
-        site_field, T.StructField("feature", T.IntegerType()), T.StructField("n", T.DoubleType()),
+        rows.schema[site], T.StructField("feature", T.IntegerType()), T.StructField("n", T.DoubleType()),
         T.StructField("grand", T.DoubleType()), T.StructField("scale", T.DoubleType()),
         T.StructField("zmean", T.DoubleType()), T.StructField("zvar", T.DoubleType()),
         T.StructField("coef", T.ArrayType(T.DoubleType()))])
 
-    def per_feature(part: pd.DataFrame) -> pd.DataFrame:
-        x = np.zeros((len(sites), k + 1))
-        xx = np.zeros(len(sites))
-        linear = part[part["j"] <= k + n_features]
-        x[linear[site].map(place), linear["i"]] = linear["value"]
-        square = part[(part["j"] > k + n_features) & (part["i"] == 0)]
-        xx[square[site].map(place)] = square["value"]
+    def feature_moments(x: np.ndarray, xx: np.ndarray) -> dict:
+        """Fit of one feature from its per-site sums (sites x [1, basis]) and sums of squares."""
         right = np.concatenate([x[:, 0], x[:, 1:].sum(axis=0)])
         beta = inverse @ right
         coef = beta[len(sites):]
@@ -139,14 +133,25 @@ def fit(rows: DataFrame, site: str, features: str = "features", covariate: str |
         scale = scale if scale > 0 else 1.0
         mean = s1 / counts / scale
         var = np.maximum(0.0, s2 / scale ** 2 - counts * mean ** 2) / np.maximum(1.0, counts - 1)
-        return pd.DataFrame({
-            site: sites, "feature": int(part["feature"].iloc[0]), "n": counts, "grand": grand, "scale": scale,
-            "zmean": mean, "zvar": var, "coef": [coef.tolist()] * len(sites)})
+        return {"n": counts, "grand": grand, "scale": scale, "zmean": mean, "zvar": var,
+                "coef": [coef.tolist()] * len(sites)}
+
+    def per_feature(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for feature, cells in zip(batch["feature"], batch["cells"]):
+                x, xx = np.zeros((len(sites), k + 1)), np.zeros(len(sites))
+                for c in cells:
+                    if c["j"] <= k + n_features:
+                        x[place[c["site"]], c["i"]] = c["value"]
+                    elif c["i"] == 0:
+                        xx[place[c["site"]]] = c["value"]
+                yield pd.DataFrame({site: sites, "feature": feature, **feature_moments(x, xx)})
 
     feature = F.when(F.col("j") <= k + n_features, F.col("j") - k - 1).otherwise(F.col("j") - k - 1 - n_features)
     tables = (
         sums.where(F.col("j") > k).withColumn("feature", feature)
-        .groupBy("feature").applyInPandas(per_feature, moments)
+        .groupBy("feature").agg(F.collect_list(F.struct(F.col(site).alias("site"), "i", "j", "value")).alias("cells"))
+        .mapInPandas(per_feature, moments)
     )
     parameters = cut_lineage(shrink(tables, site, empirical_bayes, tolerance))
     return SiteModel(parameters, site, covariate, kind, bounds)

@@ -15,12 +15,22 @@ from cohortloom.functions.scalars import missing_if_not_finite
 
 # Forbidden text content. Group 1 is the finding; what stands left of it is a boundary, so
 # that the slash of a closing HTML tag does not start a path.
+PATH_ROOTS = ["Users", "home", "root", "mnt", "media", "data", "private", "tmp", "var", "opt", "srv", "scratch", "Volumes"]
+SOURCE_FOLDERS = ["sourcedata", "rawdata", "derivatives"]
 TEXT_PATTERNS = {
-    "ABSOLUTE_POSIX_PATH": r"""(?:^|[\s"'(=:,])(/(?:Users|home|root|mnt|media|data|private|tmp|var|opt|srv|scratch|Volumes)/[^\s"'<>)]+)""",
+    "ABSOLUTE_POSIX_PATH": r"""(?:^|[\s"'(=:,])(/(?:""" + "|".join(PATH_ROOTS) + r""")/[^\s"'<>)]+)""",
     "ABSOLUTE_WINDOWS_PATH": r"""(?:^|[\s"'(=])([A-Za-z]:\\[^\s"'<>]+)""",
     "BIDS_PARTICIPANT_IDENTIFIER": r"(?:^|[^A-Za-z0-9])((?:sub|ses)-[A-Za-z0-9]+)",
     "EMAIL_ADDRESS": r"([A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+)",
-    "RELATIVE_SOURCE_PATH": r"""(?:^|[\s"'(=])((?:sourcedata|rawdata|derivatives)/[^\s"'<>]+)""",
+    "RELATIVE_SOURCE_PATH": r"""(?:^|[\s"'(=])((?:""" + "|".join(SOURCE_FOLDERS) + r""")/[^\s"'<>]+)""",
+}
+# Literals of which every match contains one: a text without any is settled by plain substring search.
+PATTERN_LITERALS = {
+    "ABSOLUTE_POSIX_PATH": [f"/{root}/" for root in PATH_ROOTS],
+    "ABSOLUTE_WINDOWS_PATH": [":\\"],
+    "BIDS_PARTICIPANT_IDENTIFIER": ["sub-", "ses-"],
+    "EMAIL_ADDRESS": ["@"],
+    "RELATIVE_SOURCE_PATH": [f"{folder}/" for folder in SOURCE_FOLDERS],
 }
 
 # Forbidden metadata columns, exact names and name parts.
@@ -60,9 +70,17 @@ def privacy_findings(texts: DataFrame, ids: Sequence[str], text: str = "text",
                      allowed_emails: Sequence[str] = ()) -> DataFrame:
     """One row per forbidden match in the whole text. Row by row, no shuffle."""
     patterns = {**TEXT_PATTERNS, **(custom or {})}
-    hits = F.array(*[
-        F.struct(F.lit(code).alias("code"), F.regexp_extract_all(F.col(text), F.lit(p), F.lit(1)).alias("found"))
-        for code, p in patterns.items()])
+
+    def matches(code: str, pattern: str) -> Column:
+        found = F.regexp_extract_all(F.col(text), F.lit(pattern), F.lit(1))
+        if code not in PATTERN_LITERALS or pattern != TEXT_PATTERNS[code]:
+            return found
+        present = F.lit(False)
+        for literal in PATTERN_LITERALS[code]:
+            present = present | F.col(text).contains(literal)
+        return F.when(present, found)
+
+    hits = F.array(*[F.struct(F.lit(c).alias("code"), matches(c, p).alias("found")) for c, p in patterns.items()])
     found = texts.select(*ids, F.explode(hits).alias("h")).where(F.size("h.found") > 0)
     rows = found.select(*ids, F.col("h.code").alias("code"), F.explode("h.found").alias("_m"))
     if allowed_emails:

@@ -182,6 +182,13 @@ def result_panels(archive: DataFrame, runs: DataFrame,
     )
 
 
+def variant_panels(archive: DataFrame, runs: DataFrame,
+                   panels: Sequence[tuple[str, str, bool]] = registry.RESULT_PANELS) -> DataFrame:
+    """Ablation panels: points of every variant, harmonized or not, in the same long form."""
+    named = runs.withColumnRenamed("variant", "model")
+    return result_panels(archive, named, panels)
+
+
 def baseline_summary(points: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Mean and population deviation of the baseline's points, with the figure caption beside them."""
     table = points.groupBy(*keys).agg(

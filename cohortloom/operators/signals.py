@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 from cohortloom.functions import registry
 from cohortloom.functions.scalars import missing_if_not_finite
 from cohortloom.operators.ranking import exact_quantiles
-from cohortloom.operators.sums import product_sums, with_one
+from cohortloom.operators.sums import cell_tables, gathered_cells, product_sums, with_one
 from cohortloom.sizing import join_small
 
 
@@ -122,17 +122,17 @@ def confound_residuals(readings: DataFrame, scan: str = "scan_id", t: str = "t",
     design = readings.select(scan, with_one(confounds).alias("_d"),
                              F.concat(with_one(confounds), F.col(signals)).alias("_r"))
     sums = product_sums(design, [scan], "_d", "_r")
-    scan_field = readings.schema[scan]
-    out = T.StructType([scan_field, T.StructField("_coef", T.ArrayType(T.ArrayType(T.DoubleType())))])
+    out = T.StructType([readings.schema[scan], T.StructField("_coef", T.ArrayType(T.ArrayType(T.DoubleType())))])
 
-    def solve(table: pd.DataFrame) -> pd.DataFrame:
-        q, width = table["i"].max() + 1, table["j"].max() + 1
-        m = np.zeros((q, width))
-        m[table["i"], table["j"]] = table["value"]
-        coef = np.linalg.lstsq(m[:, :q], m[:, q:], rcond=None)[0]
-        return pd.DataFrame({scan: [table[scan].iloc[0]], "_coef": [[list(c) for c in coef.T]]})
+    def solve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            coefs = []
+            for m in cell_tables(batch):
+                q = m.shape[0]
+                coefs.append([list(c) for c in np.linalg.lstsq(m[:, :q], m[:, q:], rcond=None)[0].T])
+            yield pd.DataFrame({scan: batch[scan], "_coef": coefs})
 
-    fitted = sums.groupBy(scan).applyInPandas(solve, out)
+    fitted = gathered_cells(sums, [scan]).mapInPandas(solve, out)
 
     def dot(coef: "F.Column") -> "F.Column":
         pairs = F.zip_with(coef, with_one(confounds), lambda a, b: a * b)
@@ -168,18 +168,17 @@ def high_variance_confounds(voxels: DataFrame, n_confounds: int = 5, top_percent
     out = T.StructType([voxels.schema[scan], T.StructField("component", T.IntegerType()),
                         T.StructField("_at", T.IntegerType()), T.StructField("value", T.DoubleType())])
 
-    def lead(table: pd.DataFrame) -> pd.DataFrame:
-        size = int(table["_len"].iloc[0])
-        m = np.zeros((size, size))
-        m[table["i"], table["j"]] = table["value"]
-        m = m + np.triu(m, 1).T
-        vectors = np.linalg.eigh(m)[1][:, ::-1][:, :n_confounds]
-        vectors = vectors * np.where(vectors[np.abs(vectors).argmax(axis=0), range(vectors.shape[1])] < 0, -1, 1)
-        k = vectors.shape[1]
-        return pd.DataFrame({scan: table[scan].iloc[0], "component": np.tile(np.arange(k), size),
-                             "_at": np.repeat(np.arange(size), k), "value": vectors.ravel()})
-
-    components = sums.groupBy(scan).applyInPandas(lead, out)
+    def lead(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for key, m in zip(batch[scan], cell_tables(batch)):
+                vectors = np.linalg.eigh(m, UPLO="U")[1][:, ::-1][:, :n_confounds]
+                peak = vectors[np.abs(vectors).argmax(axis=0), range(vectors.shape[1])]
+                vectors = vectors * np.where(peak < 0, -1, 1)
+                size, k = vectors.shape
+                yield pd.DataFrame({scan: key, "component": np.tile(np.arange(k), size),
+                                    "_at": np.repeat(np.arange(size), k), "value": vectors.ravel()})
+
+    components = gathered_cells(sums, [scan]).mapInPandas(lead, out)
     times = points.select(scan, F.posexplode("_times").alias("_at", t))
     return components.join(times, [scan, "_at"]).select(scan, t, "component", "value")
 

@@ -120,17 +120,20 @@ def split_problems(sides: DataFrame, scans: DataFrame, scan: str, group: str,
         F.sum("_te").alias("_te"), F.sum("_tr").alias("_tr"))
     empty = per_group.groupBy(*keys).agg(F.sum("_te").alias("_te"), F.sum("_tr").alias("_tr"))
 
-    def report(rows: DataFrame, problem: str, what) -> DataFrame:
-        return rows.select(*keys, F.lit(problem).alias("problem"), what.cast("string").alias("item"))
+    per_scan_found = F.array_compact(F.array(
+        F.when((F.col("_te") > 1) | (F.col("_tr") > 1), "scan_repeated"),
+        F.when((F.col("_te") > 0) & (F.col("_tr") > 0), "scan_on_both_sides")))
+    sides_found = F.array_compact(F.array(
+        F.when(F.col("_te") == 0, "empty_test"), F.when(F.col("_tr") == 0, "empty_train")))
+
+    def report(rows: DataFrame, problem, item) -> DataFrame:
+        return rows.select(*keys, problem.alias("problem"), item.cast("string").alias("item"))
 
     out = [
-        report(per_scan.where("_te > 1 OR _tr > 1"),
-               "scan_repeated", F.col(scan)),
-        report(per_scan.where("_te > 0 AND _tr > 0"), "scan_on_both_sides", F.col(scan)),
-        report(per_group.where("_te > 0 AND _tr > 0"), "group_on_both_sides", F.col(group)),
-        report(empty.where("_te = 0"), "empty_test", F.lit(None)),
-        report(empty.where("_tr = 0"), "empty_train", F.lit(None)),
-        report(sides.join(scans.select(scan), scan, "left_anti"), "unknown_scan", F.col(scan)),
+        report(per_scan, F.explode(per_scan_found), F.col(scan)),
+        report(per_group.where("_te > 0 AND _tr > 0"), F.lit("group_on_both_sides"), F.col(group)),
+        report(empty, F.explode(sides_found), F.lit(None)),
+        report(sides.join(scans.select(scan), scan, "left_anti"), F.lit("unknown_scan"), F.col(scan)),
     ]
     table = out[0]
     for part in out[1:]:

@@ -19,6 +19,17 @@ def _block(column: pa.Array) -> np.ndarray:
     return flat.reshape(len(column), -1)
 
 
+def _groups(batch: pa.RecordBatch, n_keys: int) -> list[np.ndarray]:
+    """Row numbers of each distinct key of a batch."""
+    code = np.zeros(batch.num_rows, dtype=np.int64)
+    for c in range(n_keys):
+        part = batch.column(c).dictionary_encode()
+        number = part.indices.fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64) + 1
+        _, code = np.unique(code * (len(part.dictionary) + 1) + number, return_inverse=True)
+    order = np.argsort(code, kind="stable")
+    return np.split(order, np.flatnonzero(np.diff(code[order])) + 1)
+
+
 def product_sums(rows: DataFrame, keys: Sequence[str], left: str, right: str | None = None,
                  held_groups: int = HELD_GROUPS) -> DataFrame:
     """Per group, sum over rows of left[i] * right[j] as (keys, i, j, value); upper half if no ``right``.
@@ -35,40 +46,33 @@ def product_sums(rows: DataFrame, keys: Sequence[str], left: str, right: str | N
     columns = [left] if right is None else [left, right]
     n_keys = len(keys)
 
-    def emit(held: dict, arrow_types: list[pa.DataType], names: list[str]) -> Iterator[pa.RecordBatch]:
-        for key, total in held.items():
-            if right is None:
-                i, j = np.triu_indices(total.shape[0])
-            else:
-                i, j = (a.ravel() for a in np.indices(total.shape))
-            arrays = [pa.array([k] * len(i), type=t) for k, t in zip(key, arrow_types)]
-            arrays += [pa.array(i.astype(np.int32)), pa.array(j.astype(np.int32)), pa.array(total[i, j])]
-            yield pa.RecordBatch.from_arrays(arrays, names=names)
+    def emit(held: dict, schema: pa.Schema) -> pa.RecordBatch:
+        cells = next(iter(held.values()))
+        i, j = np.triu_indices(len(cells)) if right is None else (a.ravel() for a in np.indices(cells.shape))
+        owner = pa.array(np.repeat(np.arange(len(held)), len(i)))
+        arrays = [pa.array([k[c] for k in held], type=schema.field(c).type).take(owner) for c in range(n_keys)]
+        arrays += [pa.array(np.tile(x.astype(np.int32), len(held))) for x in (i, j)]
+        arrays.append(pa.array(np.concatenate([total[i, j] for total in held.values()])))
+        return pa.RecordBatch.from_arrays(arrays, names=[*keys, "i", "j", "value"])
 
     def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[tuple, np.ndarray] = {}
-        names = [*keys, "i", "j", "value"]
-        arrow_types: list[pa.DataType] = []
+        schema = None
         for batch in batches:
             if batch.num_rows == 0:
                 continue
-            arrow_types = [batch.schema.field(c).type for c in range(n_keys)]
+            schema = batch.schema
             a = _block(batch.column(n_keys))
             b = a if right is None else _block(batch.column(n_keys + 1))
-            if n_keys:
-                marks = list(zip(*[batch.column(c).to_pylist() for c in range(n_keys)]))
-                places: dict[tuple, list[int]] = {}
-                for row, mark in enumerate(marks):
-                    places.setdefault(mark, []).append(row)
-            else:
-                places = {(): list(range(batch.num_rows))}
-            for key, where in places.items():
+            for where in _groups(batch, n_keys):
+                key = tuple(batch.column(c)[int(where[0])].as_py() for c in range(n_keys))
                 part = a[where].T @ b[where]
                 held[key] = held[key] + part if key in held else part
             if len(held) > held_groups:
-                yield from emit(held, arrow_types, names)
+                yield emit(held, schema)
                 held = {}
-        yield from emit(held, arrow_types, names)
+        if held:
+            yield emit(held, schema)
 
     partial = rows.select(*keys, *columns).mapInArrow(add_up, out)
     return partial.groupBy(*keys, "i", "j").agg(F.sum("value").alias("value"))
@@ -77,3 +81,18 @@ def product_sums(rows: DataFrame, keys: Sequence[str], left: str, right: str | N
 def with_one(vector: str) -> "F.Column":
     """Vector with a leading 1, so that counts and sums come out of the same products."""
     return F.concat(F.array(F.lit(1.0)), F.col(vector))
+
+
+def gathered_cells(sums: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """One row per group with its cells. A group has one cell per (i, j), so its size is fixed by the
+    vectors, not by the rows behind them."""
+    return sums.groupBy(*keys).agg(F.collect_list(F.struct("i", "j", "value")).alias("_cells"))
+
+
+def cell_tables(batch) -> Iterator[np.ndarray]:
+    """The cells of each row of a gathered batch as a 2-D array."""
+    for cells in batch["_cells"]:
+        i, j, value = (np.array([c[f] for c in cells]) for f in ("i", "j", "value"))
+        table = np.zeros((i.max() + 1, j.max() + 1))
+        table[i, j] = value
+        yield table

@@ -52,6 +52,13 @@ def cohort_join(spark: SparkSession, folder: str) -> DataFrame:
     return prepare.join_phenotype(phenotype, keyed, ["SubjectID", "Session"])
 
 
+@query("""SELECT c_custkey AS "SubjectID", c_name AS "Site", c_acctbal AS "Age", coalesce(CASE c_mktsegment WHEN 'BUILDING' THEN 'M' WHEN 'MACHINERY' THEN 'F' END,
+  c_mktsegment) AS "Sex" FROM customer""")
+def common_schema(spark: SparkSession, folder: str) -> DataFrame:
+    names = {"c_custkey": "SubjectID", "c_name": "Site", "c_acctbal": "Age", "c_mktsegment": "Sex"}
+    return prepare.to_common_schema(table(spark, folder, "customer"), names, {"Sex": {"BUILDING": "M", "MACHINERY": "F"}})
+
+
 @query("""SELECT o_orderkey AS scan_id, coalesce(CASE o_orderstatus WHEN 'F' THEN 'female' WHEN 'O' THEN 'male' END,
   o_orderstatus) AS sex, CASE WHEN o_orderpriority = '5-LOW' THEN 0 ELSE 1 END AS flagged
 FROM orders WHERE NOT regexp_matches(o_orderpriority, '4.NOT') AND NOT regexp_matches(o_orderpriority, '3.MED')""")

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from cohortloom.session import ship_package
+
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
@@ -15,7 +18,12 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
     """Register a query under its function name, with the SQL that must give the same rows."""
 
     def add(build: Query) -> Query:
-        QUERIES[build.__name__] = build
+        @functools.wraps(build)
+        def shipped(spark: SparkSession, folder: str) -> DataFrame:
+            ship_package(spark)
+            return build(spark, folder)
+
+        QUERIES[build.__name__] = shipped
         if sql is not None:
             ORACLES[build.__name__] = sql
         return build

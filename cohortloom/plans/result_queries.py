@@ -326,3 +326,49 @@ def _best_sql(score: str) -> str:
   arg_max(age_bias_slope, abs(age_bias_slope)) AS largest_abs_age_bias_slope FROM long GROUP BY held_out_dataset""")
 def lodo_extrema(spark: SparkSession, folder: str) -> DataFrame:
     return results.lodo_extrema(results.lodo_long(archive(spark, folder)))
+
+
+# ---- single-cohort and ablation archives (MAE only, no ranks needed)
+
+
+def small_archive(rows: DataFrame) -> DataFrame:
+    table = metrics.regression_metrics(rows, ["file_name", "fold"], names=["MAE"])
+    long = metrics.metric_long(table, ["file_name", "fold"], ["MAE"])
+    return long.select("file_name", "metric", "fold", F.expr("substring(fold, 2)").alias("fold_position"),
+                       fixed("value").alias("value"))
+
+
+SINGLE_SQL = f"""{PREDICTIONS_SQL},
+runs AS (SELECT '[' || year(run_date) || '-01-01 00:00:00]' || dataset || '_' || ['Dummy_AgeReg_mean', 'Ridge_AgeReg_TS_x', 'CorrVec_Ridge_AgeReg', 'SPDNet_AgeReg_e'][part_id % 4 + 1] || '.csv' AS file_name,
+  dataset, ['Dummy', 'Ridge', 'VecCorrRidge', 'SPDNet'][part_id % 4 + 1] AS model, year(run_date) AS y0, 'R' || CAST(subject_id % 5 + 1 AS VARCHAR) AS fold, y, yhat FROM predictions),
+m AS (SELECT dataset, model, y0, fold, round(avg(abs(yhat - y)), 6) + 0.0 AS mae FROM runs GROUP BY ALL),
+last AS (SELECT * FROM m QUALIFY y0 = max(y0) OVER (PARTITION BY dataset, model))"""
+
+
+@query(f"WITH {SINGLE_SQL} SELECT dataset, model, fold, mae AS value, -mae AS negated FROM last")
+def single_fold_table(spark: SparkSession, folder: str) -> DataFrame:
+    names = ["Dummy_AgeReg_mean", "Ridge_AgeReg_TS_x", "CorrVec_Ridge_AgeReg", "SPDNet_AgeReg_e"]
+    part = F.element_at(F.array(*[F.lit(n) for n in names]), (F.col("part_id") % 4 + 1).cast("int"))
+    rows = predictions(spark, folder).select(
+        F.concat(F.lit("["), F.year("run_date"), F.lit("-01-01 00:00:00]"), F.col("dataset"), F.lit("_"), part, F.lit(".csv")).alias("file_name"),
+        F.concat(F.lit("R"), F.col("subject_id") % 5 + 1).alias("fold"), "y", "yhat")
+    stored = small_archive(rows)
+    runs = results.latest_single_runs(rows.select("file_name").distinct(), ["A", "N", "R"])
+    return results.fold_table(stored, runs, "MAE")
+
+
+@query(f"""WITH {PREDICTIONS_SQL}, runs AS (SELECT ['quarterdim', 'halfdim', 'one', 'base', 'two', '2layer'][part_id % 6 + 1] AS token, year(run_date) AS y0, status = 'O' AS harmonized,
+  'R' || CAST(subject_id % 5 + 1 AS VARCHAR) AS fold, y, yhat FROM predictions),
+m AS (SELECT token, CASE token WHEN 'base' THEN 'one' WHEN '2layer' THEN 'two' ELSE token END AS variant, harmonized, y0, fold, round(avg(abs(yhat - y)), 6) + 0.0 AS mae FROM runs GROUP BY ALL),
+best AS (SELECT variant, harmonized, y0, token FROM (SELECT DISTINCT variant, harmonized, y0, token FROM m)
+  QUALIFY row_number() OVER (PARTITION BY variant, harmonized ORDER BY y0 DESC, token DESC) = 1)
+SELECT 'GKF5 MAE' AS panel, variant || CASE WHEN harmonized THEN ' (harmonization)' ELSE ' (original)' END AS model, 'P' || substr(fold, 2) AS point, -mae AS value
+FROM m JOIN best USING (variant, harmonized, y0, token)""")
+def variant_panels(spark: SparkSession, folder: str) -> DataFrame:
+    token = F.element_at(F.array(*[F.lit(v) for v in VARIANTS]), (F.col("part_id") % 6 + 1).cast("int"))
+    rows = predictions(spark, folder).select(
+        F.concat(F.lit("["), F.year("run_date"), F.lit("-01-01 00:00:00]ALL_SPDNet_"), token, F.lit("_AgeReg_GKF5"),
+                 F.when(F.col("status") == "O", "_harm").otherwise(""), F.lit(".csv")).alias("file_name"),
+        F.concat(F.lit("R"), F.col("subject_id") % 5 + 1).alias("fold"), "y", "yhat")
+    runs = results.latest_variant_runs(rows.select("file_name").distinct(), experiments=["GKF5"])
+    return results.variant_panels(small_archive(rows), runs)

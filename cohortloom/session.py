@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import shutil
 import tempfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
+_SHIPPED: set[str] = set()
+
 
 def get_session(app: str = "cohortloom", master: str | None = None, **conf: str) -> SparkSession:
     """Session with UTC timestamps and adaptive execution; other settings stay the cluster's."""
@@ -22,6 +26,20 @@ def get_session(app: str = "cohortloom", master: str | None = None, **conf: str)
     return builder.getOrCreate()
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the Python workers, once per application.
+
+    Needed where it is not installed on the executors; the same as ``--py-files``.
+    """
+    context = spark.sparkContext
+    if context.applicationId in _SHIPPED:
+        return
+    package = Path(__file__).resolve().parent
+    base = Path(tempfile.mkdtemp(prefix="cohortloom-package-")) / package.name
+    context.addPyFile(shutil.make_archive(str(base), "zip", package.parent, package.name))
+    _SHIPPED.add(context.applicationId)
+
+
 def shared_folder(spark: SparkSession) -> str:
     """Folder every executor can reach: the one the cluster names in ``spark.checkpoint.dir``.
 
