@@ -146,7 +146,7 @@ def fit_by_gradient(train: DataFrame, alpha: float, features: str = "features",
     from pyspark.ml.functions import array_to_vector
     from pyspark.ml.regression import LinearRegression
 
-    shape = train.agg(F.count("*").alias("n"), F.stddev_pop(y).alias("s")).first()
+    shape = train.agg(F.count("*").alias("n"), F.stddev_samp(y).alias("s")).first()
     ready = train.select(array_to_vector(features).alias("_x"), F.col(y).cast("double").alias("_y"))
     model = LinearRegression(
         featuresCol="_x", labelCol="_y", regParam=alpha / shape["n"] * shape["s"], elasticNetParam=0.0,

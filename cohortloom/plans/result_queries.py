@@ -91,17 +91,17 @@ def metric_long(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @query(f"""WITH {FOLD_METRICS_SQL} SELECT protocol, metric, count(*) AS n_folds, count(value) AS n_present,
-  round(avg(value), 5) + 0.0 AS "Avg" FROM kept GROUP BY protocol, metric""")
+  round(avg(value), 8) + 0.0 AS "Avg" FROM kept GROUP BY protocol, metric""")
 def fold_average(spark: SparkSession, folder: str) -> DataFrame:
     table = metrics.fold_average(fold_metrics(spark, folder), ["protocol", "metric"])
-    return table.withColumn("Avg", fixed("Avg", 5))
+    return table.withColumn("Avg", fixed("Avg", 8))
 
 
 @query(f"""WITH {FOLD_METRICS_SQL} SELECT metric, count(*) AS n_folds, count(value) AS n_present,
-  round(avg(value), 5) + 0.0 AS "Avg" FROM kept WHERE protocol = 'GKF5' GROUP BY metric""")
+  round(avg(value), 8) + 0.0 AS "Avg" FROM kept WHERE protocol = 'GKF5' GROUP BY metric""")
 def fold_average_strict(spark: SparkSession, folder: str) -> DataFrame:
     rows = fold_metrics(spark, folder, registry.GROUPED_METRICS).where("protocol = 'GKF5'")
-    return metrics.fold_average(rows, ["metric"], n_folds=5).withColumn("Avg", fixed("Avg", 5))
+    return metrics.fold_average(rows, ["metric"], n_folds=5).withColumn("Avg", fixed("Avg", 8))
 
 
 @query(f"""WITH {FOLD_METRICS_SQL} SELECT protocol, fold, string_agg(replace(metric, '_', ' ') || ' ' || printf('%.4f', value), ' | '
@@ -113,11 +113,11 @@ def metric_log_lines(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @query(f"""WITH {FOLD_METRICS_SQL} SELECT metric, {', '.join(f"max(value) FILTER (WHERE fold = 'R{i}') AS \"R{i}\"" for i in range(1, 6))},
-  round(avg(value), 5) + 0.0 AS "Avg" FROM kept WHERE protocol = 'GKF5' GROUP BY metric""")
+  round(avg(value), 8) + 0.0 AS "Avg" FROM kept WHERE protocol = 'GKF5' GROUP BY metric""")
 def wide_metrics(spark: SparkSession, folder: str) -> DataFrame:
     rows = fold_metrics(spark, folder, registry.GROUPED_METRICS).where("protocol = 'GKF5'")
     wide = results.wide_metrics(rows, [f"R{i}" for i in range(1, 6)])
-    return wide.withColumn("Avg", fixed("Avg", 5))
+    return wide.withColumn("Avg", fixed("Avg", 8))
 
 
 @query("""SELECT event_id, 'NaN' AS prediction FROM events WHERE event_type = 'error' ORDER BY event_id LIMIT 10""")
@@ -258,12 +258,12 @@ def fold_points(spark: SparkSession, folder: str) -> DataFrame:
     return results.point_table(rows, runs, ["experiment", "model", "harmonized"], "MAE", negate=True)
 
 
-@query(f"""WITH {ARCHIVE_SQL} SELECT experiment, long_name AS model, harmonized, round(avg(value), 5) + 0.0 AS value
+@query(f"""WITH {ARCHIVE_SQL} SELECT experiment, long_name AS model, harmonized, round(avg(value), 8) + 0.0 AS value
 FROM archive JOIN newest USING (file_name) WHERE metric = 'MAE' AND experiment = 'GKF5' GROUP BY 1, 2, 3""")
 def average_by_model(spark: SparkSession, folder: str) -> DataFrame:
     rows = archive(spark, folder, ["MAE"])
     runs = results.latest_pooled_runs(rows.select("file_name").distinct(), experiments=["GKF5"])
-    return results.average_table(rows, runs, "MAE").withColumn("value", fixed("value", 5))
+    return results.average_table(rows, runs, "MAE").withColumn("value", fixed("value", 8))
 
 
 @query(f"""WITH {ARCHIVE_SQL}
@@ -278,14 +278,14 @@ def result_panels(spark: SparkSession, folder: str) -> DataFrame:
     return results.result_panels(rows, runs).withColumn("model", display_model("model"))
 
 
-@query(f"""WITH {ARCHIVE_SQL} SELECT experiment, count(value) AS n, round(avg(value), 5) + 0.0 AS mean, round(stddev_pop(value), 5) + 0.0 AS std
+@query(f"""WITH {ARCHIVE_SQL} SELECT experiment, count(value) AS n, round(avg(value), 8) + 0.0 AS mean, round(stddev_pop(value), 8) + 0.0 AS std
 FROM archive JOIN newest USING (file_name) WHERE long_name = 'Dummy' AND metric = 'MAE' AND NOT harmonized GROUP BY experiment""")
 def dummy_summary(spark: SparkSession, folder: str) -> DataFrame:
     rows = archive(spark, folder, ["MAE"])
     runs = results.latest_pooled_runs(rows.select("file_name").distinct(), models=["Dummy"]).where("NOT harmonized")
     points = results.point_table(rows, runs, ["experiment", "model"], "MAE")
     return results.baseline_summary(points, ["experiment"]).select(
-        "experiment", "n", fixed("mean", 5).alias("mean"), fixed("std", 5).alias("std"))
+        "experiment", "n", fixed("mean", 8).alias("mean"), fixed("std", 8).alias("std"))
 
 
 LODO_SQL = f"""{ARCHIVE_SQL}, long AS (SELECT substr(fold, 6) AS held_out_dataset, model, harmonization,

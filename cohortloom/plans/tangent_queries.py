@@ -122,7 +122,8 @@ p AS (SELECT u.*, r_name AS dataset, (c_acctbal + 1000.0) / 100.0 AS y FROM u JO
   JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey),
 t AS (SELECT a.dataset, a.y, (SELECT avg(y) FROM p b WHERE b.dataset <> a.dataset) AS yhat FROM p a)
 SELECT 'Dummy' AS model, 'lodo' AS cv, 'none' AS harmonization, 'TEST_' || dataset AS fold, unnest(['MAE', 'R2', 'Pearson_r', 'Spearman_rho',
-  'corr(BAG,age)', 'age_bias_slope']) AS metric, unnest([round(avg(abs(yhat - y)), 6), round(1 - avg(pow(yhat - y, 2)) / var_pop(y), 6) + 0.0, NULL, NULL, -1.0, -1.0]) AS value
+  'corr(BAG,age)', 'age_bias_slope']) AS metric, unnest([round(avg(abs(yhat - y)), 6), round(1 - avg(pow(yhat - y, 2)) / nullif(var_pop(y), 0), 6) + 0.0, NULL, NULL,
+  CASE WHEN var_pop(y) > 0 THEN -1.0 END, CASE WHEN var_pop(y) > 0 THEN -1.0 END]) AS value
 FROM t GROUP BY dataset""")
 def study_dummy_lodo(spark: SparkSession, folder: str) -> DataFrame:
     done = benchmark.run(study_scans(spark, folder), "lodo", "Dummy")

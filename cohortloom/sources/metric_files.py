@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cohortloom.functions.scalars import number_or_missing
 from cohortloom.operators.release import schema_findings
 from cohortloom.operators.results import wide_metrics
 from cohortloom.sources.prepared import list_files
@@ -15,46 +16,43 @@ from cohortloom.sources.prepared import list_files
 BLOCKED_OUTPUTS = ["subject_level", "scan_level", "participants", "subject_ids", "excluded_subjects"]
 
 
+# A comma outside quotes.
+CSV_COMMA = r',(?=(?:[^"]*"[^"]*")*[^"]*$)'
+
+
 def read_archive(spark: SparkSession, folder: str, pattern: str = "*.csv") -> DataFrame:
     """All wide metric files of a folder as (file_name, metric, fold, fold_position, value).
 
-    Files of one header are read together in one scan; a folder holds few distinct headers (one per
-    protocol), found from the first line of every file.
+    A metric file is a handful of lines, so each is read as one text and taken apart in place; files with
+    different fold columns can lie side by side. The name is the real one, time stamp included.
     """
-    lines = (
-        spark.read.option("pathGlobFilter", pattern).text(folder)
-        .select(F.col("_metadata.file_path").alias("file"), F.col("value"))
+    files = (
+        spark.read.option("pathGlobFilter", pattern).text(folder, wholetext=True)
+        .select(F.url_decode(F.replace("_metadata.file_name", F.lit("+"), F.lit("%2B"))).alias("file_name"), F.split("value", r"\r?\n").alias("_lines"))
     )
-    heads = lines.where(F.col("value").startswith(",") | F.lower("value").startswith("metric,"))
-    groups = heads.groupBy("value").agg(F.collect_list("file").alias("files")).collect()
-    if not groups:
-        raise FileNotFoundError(f"no metric files like {pattern} in {folder}")
-    parts = []
-    for group in groups:
-        names = group["value"].split(",")[1:]
-        schema = ", ".join(["metric string"] + [f"`{n}` double" for n in names])
-        wide = spark.read.csv(list(group["files"]), schema=schema, header=True).withColumn(
-            "file_name", F.url_decode(F.col("_metadata.file_name")))
-        cells = F.array(*[
-            F.struct(F.lit(n).alias("fold"), F.lit(i + 1).alias("fold_position"),
-                     F.when(~F.isnan(f"`{n}`"), F.col(f"`{n}`")).alias("value"))
-            for i, n in enumerate(names)])
-        parts.append(wide.select("file_name", "metric", F.explode(cells).alias("c")).select("file_name", "metric", "c.*"))
-    table = parts[0]
-    for part in parts[1:]:
-        table = table.unionByName(part)
-    return table
+
+    def cells(line):
+        return F.transform(F.split(line, CSV_COMMA), lambda c: F.trim(F.replace(c, F.lit('"'))))
+
+    rows = files.select("file_name", cells(F.col("_lines")[0]).alias("_head"),
+                        F.explode(F.slice("_lines", 2, 1_000_000)).alias("_line")).where("trim(_line) <> ''")
+    parted = rows.select("file_name", "_head", cells(F.col("_line")).alias("_cells"))
+    long = parted.select(
+        "file_name", F.col("_cells")[0].alias("metric"),
+        F.posexplode(F.slice(F.arrays_zip("_head", "_cells"), 2, 1_000_000)).alias("_at", "_c"))
+    return long.select("file_name", "metric", F.col("_c._head").alias("fold"),
+                       (F.col("_at") + 1).alias("fold_position"), number_or_missing("_c._cells").alias("value"))
 
 
 def metric_points(archive: DataFrame, metric: str, prefix: str = "R") -> DataFrame:
     """Fold values of one metric; a file without it, or without such folds, stops the job."""
-    flags = archive.groupBy("file_name").agg(
-        F.count_if((F.col("metric") == metric) & F.col("fold").startswith(prefix)).alias("_n"))
+    wanted = (F.col("metric") == metric) & F.col("fold").startswith(prefix)
+    found = archive.groupBy("file_name").agg(
+        F.collect_list(F.when(wanted, F.struct("fold", "fold_position", "value"))).alias("_p"))
     message = F.concat(F.lit(f"no {metric} with {prefix} folds in "), F.col("file_name"))
-    checked = flags.select(F.when(F.col("_n") > 0, F.col("file_name")).otherwise(
-        F.raise_error(message).cast("string")).alias("file_name"))
-    rows = archive.where((F.col("metric") == metric) & F.col("fold").startswith(prefix))
-    return rows.join(checked, "file_name")
+    checked = F.when(F.size("_p") > 0, F.col("_p")).otherwise(F.raise_error(message).cast(found.schema["_p"].dataType))
+    points = found.select("file_name", F.explode(checked).alias("c"))
+    return points.select("file_name", F.lit(metric).alias("metric"), "c.*")
 
 
 def write_wide(long: DataFrame, folds: Sequence[str], path: str, seconds: float, strict: bool = False) -> DataFrame:
