@@ -43,7 +43,7 @@ def shrunk_covariance(covariance: DataFrame, scan: str, eps: float = registry.CO
     mu = F.sum(F.when(diagonal, F.col("s"))).over(whole) / F.col("p")
     square = F.col("s") * F.col("s")
     a = F.sum(F.when(diagonal, square).otherwise(2.0 * square)).over(whole) / (F.col("p") * F.col("p"))
-    stats = covariance.withColumn("mu", mu).withColumn("_a", a)
+    stats = covariance.withColumns({"mu": mu, "_a": a})
     m2 = F.col("mu") * F.col("mu")
     below = (F.col("n") + 1.0) * (F.col("_a") - m2 / F.col("p"))
     rho = F.when(below == 0, 1.0).otherwise(F.least(F.lit(1.0), F.try_divide(F.col("_a") + m2, below)))

@@ -1,18 +1,22 @@
 """Ranks, running totals and exact quantiles over groups of any size.
 
 A window partitioned by cohort puts a whole cohort in one task. Here rows are range-partitioned by
-(group, value) instead, each range is summed on its own, and the ranges are chained by their totals, so
-a group that holds most of the table is spread over as many tasks as its size asks for.
+(group, value) instead, each range is summed in place, and the ranges are chained by their totals, so a
+group that holds most of the table is spread over as many tasks as its size asks for.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from cohortloom.session import cut_lineage
+from cohortloom.sizing import settle_small
 
 
 def with_running_total(
@@ -21,12 +25,17 @@ def with_running_total(
 ) -> DataFrame:
     """Add the inclusive running sum of an integer ``weight`` in ``order`` and the group's total.
 
-    ``(keys, order)`` should be unique; callers pre-aggregate ties. Partition numbers are written down
-    with the rows, so both reads below see the same ranges.
+    ``(keys, order)`` should be unique; callers pre-aggregate ties. One shuffle: rows are range-partitioned
+    and sorted, each range adds up its own rows in place, and only the totals per (group, range) are
+    chained. Range numbers are written down with the rows, so both reads below see the same ranges.
     """
-    ranged = cut_lineage(
-        df.repartitionByRange(*keys, *order).withColumn("_range", F.spark_partition_id())
+    named = df.withColumn(weight, F.col(weight).cast("bigint"))
+    sorted_ranges = (
+        named.repartitionByRange(*keys, *order).sortWithinPartitions(*keys, *order)
+        .withColumn("_range", F.spark_partition_id())
     )
+    out = T.StructType([*sorted_ranges.schema.fields, T.StructField("_local", T.LongType())])
+    ranged = cut_lineage(sorted_ranges.mapInArrow(_adder(list(keys), weight), out))
     grouped = [*keys, "_range"]
     in_group = Window.partitionBy(*keys)
     offsets = (
@@ -35,18 +44,44 @@ def with_running_total(
             F.sum("_part").over(in_group.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)),
             F.lit(0)))
         .withColumn(total, F.sum("_part").over(in_group))
-        .drop("_part")
+        .select(*[F.col(c).alias(f"_o_{c}") for c in grouped], "_before", total)
     )
-    local = F.sum(weight).over(Window.partitionBy(*grouped).orderBy(*order))
-    offsets = offsets.select(*[F.col(c).alias(f"_o_{c}") for c in grouped], "_before", total)
+    offsets, fits = settle_small(offsets)
     same_range = [F.col(c).eqNullSafe(F.col(f"_o_{c}")) for c in grouped]
     return (
-        ranged.withColumn("_local", local).join(offsets, same_range)
+        ranged.join(F.broadcast(offsets) if fits else offsets, same_range)
         .withColumn(running, F.col("_local") + F.col("_before"))
         .drop("_local", "_before", "_range", *[f"_o_{c}" for c in grouped])
     )
 
 
+def _adder(keys: list[str], weight: str):
+    """Running sum of the weight over sorted rows, starting again at every new key."""
+
+    def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last_key, carried = None, 0
+        for batch in batches:
+            if batch.num_rows == 0:
+                continue
+            fresh = np.zeros(batch.num_rows, dtype=bool)
+            for key in keys:
+                codes = batch.column(key).dictionary_encode().indices.fill_null(-1).to_numpy(zero_copy_only=False)
+                fresh[1:] |= codes[1:] != codes[:-1]
+            sums = np.cumsum(batch.column(weight).to_numpy(zero_copy_only=False))
+            starts = np.flatnonzero(fresh)
+            before = np.zeros(batch.num_rows, dtype=np.int64)
+            first = tuple(batch.column(key)[0].as_py() for key in keys)
+            base = np.concatenate([[-carried if first == last_key else 0], sums[starts - 1]])
+            before[:] = base[np.cumsum(fresh)]
+            local = sums - before
+            last_key = tuple(batch.column(key)[batch.num_rows - 1].as_py() for key in keys)
+            carried = int(local[-1])
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns, pa.array(local, type=pa.int64())], names=[*batch.schema.names, "_local"])
+
+    return add_up
+
+
 def row_positions(df: DataFrame, keys: Sequence[str], order: Sequence[str],
                   position: str = "position") -> DataFrame:
     """1-based position of every row inside its group; ``order`` must be unique inside a group."""

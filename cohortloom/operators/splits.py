@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from cohortloom.functions import registry
 from cohortloom.functions.scalars import seeded_key
 from cohortloom.operators.ranking import row_positions
+from cohortloom.session import cut_lineage
 from cohortloom.sizing import join_small
 
 
@@ -45,7 +46,7 @@ def grouped_kfold(scans: DataFrame, group: str, n_folds: int = registry.OUTER_FO
     Only the histogram of group sizes reaches the driver. A group's fold follows from its rank among the
     groups of its size (ties by id), which is computed over ranges.
     """
-    sizes = scans.groupBy(group).agg(F.count("*").alias("size"))
+    sizes = cut_lineage(scans.groupBy(group).agg(F.count("*").alias("size")))  # read for histogram and ranks
     histogram = [(r["size"], r["n"]) for r in sizes.groupBy("size").agg(F.count("*").alias("n")).collect()]
     if sum(n for _, n in histogram) < n_folds:
         raise ValueError(f"fewer than {n_folds} groups")
@@ -100,7 +101,7 @@ def protocol_folds(scans: DataFrame, protocol: str, group: str, dataset: str = "
 def grouped_validation(train: DataFrame, group: str, share: float = registry.VALIDATION_SHARE,
                        seed: int = registry.SEED) -> DataFrame:
     """Train or validation side per group: the first ceil(share x groups) groups in seeded order."""
-    groups = train.select(group).distinct().withColumn("_key", seeded_key(seed, group))
+    groups = cut_lineage(train.select(group).distinct()).withColumn("_key", seeded_key(seed, group))
     total = groups.count()
     placed = row_positions(groups, [], ["_key", group], "_place")
     wanted = -(-total * round(share * 1_000_000) // 1_000_000)

@@ -9,6 +9,7 @@ from cohortloom.functions import registry
 from cohortloom.functions.scalars import display_model, fixed
 from cohortloom.operators import metrics, results
 from cohortloom.plans.register import query
+from cohortloom.session import cut_lineage
 from cohortloom.sources.standins import PREDICTIONS_SQL, predictions
 
 
@@ -154,7 +155,9 @@ def archive(spark: SparkSession, folder: str, names: list[str] = ARCHIVE_METRICS
     long = metrics.metric_long(table, ["file_name", "fold"], names)
     position = F.when(F.col("fold").startswith("R"), F.expr("substring(fold, 2)")).otherwise(
         F.translate(F.expr("substring(fold, 6)"), "ANR", "123"))
-    return long.select("file_name", "metric", "fold", position.alias("fold_position"), fixed("value").alias("value"))
+    # an archive is a stored table: the queries below read it several times
+    return cut_lineage(long.select(
+        "file_name", "metric", "fold", position.alias("fold_position"), fixed("value").alias("value")))
 
 
 ARCHIVE_SQL = f"""{PREDICTIONS_SQL},
