@@ -14,6 +14,9 @@ from cohortloom.session import cut_lineage
 from cohortloom.sizing import join_small
 
 
+MAX_SENT_SUBJECTS = 2_000_000
+
+
 def cycle_plan(sizes: Sequence[tuple[int, int]], n_folds: int) -> list[tuple[int, int, list[int]]]:
     """Fold cycles of the rule "largest group first, to the lightest fold, lowest index on ties".
 
@@ -91,7 +94,8 @@ def protocol_folds(scans: DataFrame, protocol: str, group: str, dataset: str = "
     parts = []
     if name in ("kfold", "both"):
         folds = grouped_kfold(scans, group, n_folds).select(group, "fold")
-        parts.append(scans.join(folds, group).withColumn("protocol", F.lit("kfold")))
+        # scans may carry whole matrices: keep them in place as long as the subject list can be sent to them
+        parts.append(join_small(scans, folds, group, max_rows=MAX_SENT_SUBJECTS).withColumn("protocol", F.lit("kfold")))
     if name in ("lodo", "both"):
         require_two_cohorts(scans, dataset)
         parts.append(lodo_folds(scans, dataset).withColumn("protocol", F.lit("lodo")))

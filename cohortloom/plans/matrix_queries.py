@@ -78,7 +78,7 @@ SELECT f.scan_id, round(shrinkage, 6) + 0.0 AS shrinkage, i * 5 + j AS cell, rou
 def scan_matrices(spark: SparkSession, folder: str) -> DataFrame:
     cells = connectome.scan_matrices(event_cells(spark, folder))
     return cells.select("scan_id", fixed("shrinkage").alias("shrinkage"), F.posexplode("matrix").alias("cell", "value")).select(
-        "scan_id", "shrinkage", F.col("cell").cast("bigint").alias("cell"), fixed("value").alias("value"))
+        "scan_id", "shrinkage", "cell", fixed("value").alias("value"))
 
 
 @query(f"""WITH {EVENT_OAS} SELECT scan_id, row_number() OVER (PARTITION BY scan_id ORDER BY i, j) - 1 AS place,

@@ -7,19 +7,18 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cohortloom.session import cut_lineage
+
 BROADCAST_ROWS = 50_000
 
 
 def settle_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> tuple[DataFrame, bool]:
-    """Fetch at most ``max_rows + 1`` rows of an aggregate.
+    """Write an aggregate to a table once and count it: (table, at most ``max_rows`` rows?).
 
-    When it fits it comes back as a local table (computed once, safe to broadcast); when it does not,
-    ``df`` comes back untouched and the flag is False.
+    Either way the table is used from then on, so nothing is computed twice.
     """
-    rows = df.limit(max_rows + 1).collect()
-    if len(rows) > max_rows:
-        return df, False
-    return df.sparkSession.createDataFrame(rows, df.schema), True
+    table = cut_lineage(df)
+    return table, table.count() <= max_rows
 
 
 def join_small(
