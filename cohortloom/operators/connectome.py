@@ -182,7 +182,7 @@ def smallest_eigenvalue(matrix: Column | str, p: Column | str) -> Column:
                 out.append(None)
             else:
                 out.append(float(np.linalg.eigvalsh(values.reshape(int(size), int(size)))[0]))
-        return pd.Series(out, dtype="float64").astype(object).where(lambda s: s.notna(), None)
+        return pd.Series(out, dtype="float64")
 
     return work(col_of(matrix), col_of(p))
 

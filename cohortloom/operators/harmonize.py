@@ -98,10 +98,10 @@ def fit(rows: DataFrame, site: str, features: str = "features", covariate: str |
         raise ValueError("no rows to fit")
     n_features = (width - k) // 2
 
+    if sums.where("i = 0 AND j = 0").count() + k > MAX_DESIGN:
+        raise ValueError(f"more than {MAX_DESIGN} sites and basis terms")
     design = sums.where(F.col("j") <= k).toPandas()
     sites = sorted(design[site].unique().tolist())
-    if len(sites) + k > MAX_DESIGN:
-        raise ValueError(f"more than {MAX_DESIGN} sites and basis terms")
     place = {s: i for i, s in enumerate(sites)}
     blocks = np.zeros((len(sites), k + 1, k + 1))
     blocks[design[site].map(place), design["i"], design["j"]] = design["value"]

@@ -14,6 +14,7 @@ from cohortloom.functions import registry
 from cohortloom.session import cut_lineage
 
 ROOT2 = float(np.sqrt(2.0))
+MAX_FOLDS = 200
 
 
 def spectral(matrices: np.ndarray, change: Callable[[np.ndarray], np.ndarray]) -> np.ndarray:
@@ -100,7 +101,11 @@ def reference_matrices(matrices: DataFrame, matrix: str = "matrix", fold: str |
     if first is None:
         raise ValueError("no matrices")
     size = int(round(np.sqrt(first)))
-    labels = [None] if fold is None else sorted(r[fold] for r in rows.select(fold).distinct().collect())
+    labels = [None]
+    if fold is not None:
+        labels = sorted(r[fold] for r in rows.select(fold).distinct().limit(MAX_FOLDS + 1).collect())
+        if len(labels) > MAX_FOLDS:
+            raise ValueError(f"more than {MAX_FOLDS} folds")
     if metric == "logeuclid":
         sums = _summed(rows, matrix, fold, labels, lambda k, x: spectral(x, np.log), size)
         return {labels[k]: spectral((s / n)[None], np.exp)[0] for k, (s, n) in sums.items()}

@@ -5,9 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from cohortloom.functions import registry
 from cohortloom.functions.scalars import (
-    after_first_dash, any_label_flag, counted_label, extract_or_missing, fixed, last_part, namespaced,
+    after_first_dash, any_label_flag, counted_label, extract_or_missing, last_part, namespaced,
     number_or_missing, order_of, recode, session_key,
 )
 from cohortloom.operators import describe, prepare, shift
