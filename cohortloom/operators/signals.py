@@ -14,6 +14,7 @@ from cohortloom.functions import registry
 from cohortloom.functions.scalars import missing_if_not_finite
 from cohortloom.operators.ranking import exact_quantiles
 from cohortloom.operators.sums import cell_tables, gathered_cells, product_sums, with_one
+from cohortloom.session import cut_lineage
 from cohortloom.sizing import join_small
 
 
@@ -145,26 +146,32 @@ def confound_residuals(readings: DataFrame, scan: str = "scan_id", t: str = "t",
 def high_variance_confounds(voxels: DataFrame, n_confounds: int = 5, top_percent: float = 2.0,
                             scan: str = "scan_id", t: str = "t", voxel: str = "voxel",
                             value: str = "value") -> DataFrame:
-    """Main time courses of the most variable voxels: (scan, t, component, value).
+    """Main time courses of the most variable voxels: (scan, t, component, value), trend taken out.
 
-    Voxel variances and their cut-off are distributed; the kept voxels' unit series enter a time x time
-    product sum, whose leading eigenvectors are the confounds. Series length is bounded by the scanner
-    protocol, voxel counts are not, which is why the small side is time.
+    Two passes over the voxels: one for trends and variances, one for the few voxels above the cut-off.
+    Their unit series enter a time x time product sum, whose leading eigenvectors are the confounds.
+    Series length is bounded by the scanner protocol, voxel counts are not, which is why the small side
+    is time.
     """
-    flat = detrended(voxels, scan, t, voxel, value)
-    spread = flat.groupBy(scan, voxel).agg(F.var_pop("value").alias("_v"))
-    cut = exact_quantiles(spread, [scan], "_v", {"_cut": 1.0 - top_percent / 100.0})
-    kept = join_small(spread, cut, scan).where("_v >= _cut AND _v > 0").select(scan, voxel)
-    frames = flat.select(scan, t).distinct()
-    points = frames.groupBy(scan).agg(F.sort_array(F.collect_list(t)).alias("_times"))
-    ordered = F.sort_array(F.collect_list(F.struct(F.col(t).alias("t"), F.col("value").alias("v"))))
-    series = (
-        flat.join(kept, [scan, voxel], "left_semi").groupBy(scan, voxel)
-        .agg(F.transform(ordered, lambda e: e["v"]).alias("_x"))
-    )
-    norm = F.sqrt(F.aggregate("_x", F.lit(0.0), lambda total, x: total + x * x))
-    series = series.withColumn("_u", F.transform("_x", lambda x: x / norm))
-    sums = product_sums(_equal_length_keys(series, scan), [scan, "_len"], "_u").where("j < _len")
+    keys = [scan, voxel]
+    x, y = F.col(t).cast("double"), F.col(value)
+    fits = cut_lineage(voxels.groupBy(*keys).agg(
+        F.avg(x).alias("_mx"), F.avg(y).alias("_my"), F.covar_pop(x, y).alias("_c"),
+        F.coalesce(F.try_divide(F.covar_pop(x, y), F.var_pop(x)), F.lit(0.0)).alias("_b"),
+        F.var_pop(y).alias("_vy")).withColumn("_v", F.col("_vy") - F.col("_b") * F.col("_c")))
+    cut = exact_quantiles(fits, [scan], "_v", {"_cut": 1.0 - top_percent / 100.0})
+    kept = join_small(fits, cut, scan).where("_v >= _cut AND _v > 0").select(*keys, "_mx", "_my", "_b")
+    rest = y - F.col("_my") - F.col("_b") * (x - F.col("_mx"))
+    ordered = F.sort_array(F.collect_list(F.struct(F.col(t).alias("t"), F.col("_rest").alias("v"))))
+    series = cut_lineage(
+        join_small(voxels, kept, keys, max_rows=2_000_000).select(*keys, t, rest.alias("_rest"))
+        .groupBy(*keys).agg(ordered.alias("_s"))
+        .select(*keys, F.transform("_s", lambda e: e["t"]).alias("_times"), F.transform("_s", lambda e: e["v"]).alias("_x")))
+    points = series.groupBy(scan).agg(F.max("_times").alias("_times"))
+    norm = F.sqrt(F.aggregate("_x", F.lit(0.0), lambda total, v: total + v * v))
+    unit = series.withColumn("_norm", norm).where("_norm > 0").select(
+        scan, F.transform("_x", lambda v: v / F.col("_norm")).alias("_u"))
+    sums = product_sums(_equal_length_keys(unit, scan), [scan, "_len"], "_u").where("j < _len")
     out = T.StructType([voxels.schema[scan], T.StructField("component", T.IntegerType()),
                         T.StructField("_at", T.IntegerType()), T.StructField("value", T.DoubleType())])
 
@@ -190,17 +197,6 @@ def _equal_length_keys(series: DataFrame, scan: str) -> DataFrame:
     return series.select(scan, F.size("_u").alias("_len"), padded.alias("_u"))
 
 
-def detrended(voxels: DataFrame, scan: str, t: str, voxel: str, value: str) -> DataFrame:
-    """Residual of a linear trend per scan and voxel, unscaled."""
-    keys = [scan, voxel]
-    x, y = F.col(t).cast("double"), F.col(value)
-    fits = voxels.groupBy(*keys).agg(
-        F.avg(x).alias("_mx"), F.avg(y).alias("_my"),
-        F.coalesce(F.try_divide(F.covar_pop(x, y), F.var_pop(x)), F.lit(0.0)).alias("_b"))
-    rest = y - F.col("_my") - F.col("_b") * (x - F.col("_mx"))
-    return join_small(voxels, fits, keys).select(*keys, t, rest.alias("value"))
-
-
 def drop_failed(scans: DataFrame, needed: Sequence[str]) -> tuple[DataFrame, DataFrame]:
     """Scans with every needed value, and the count of those without."""
     good = F.lit(True)
