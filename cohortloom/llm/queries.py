@@ -6,7 +6,7 @@ import functools
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cohortloom.llm import quality_rules, setsketch, winnowing
+from cohortloom.llm import quality_rules, secrets, sentencepiece_codec, setsketch, winnowing
 from cohortloom.llm import sql as twins
 from cohortloom.llm.common import table
 from cohortloom.session import ship_package
@@ -36,12 +36,22 @@ def op1_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return found.withColumnRenamed("id", "doc_id")
 
 
+@query()
+def op3_secret_scans(spark: SparkSession, folder: str) -> DataFrame:
+    return secrets.scan_secrets(table(spark, folder, "documents")).withColumnRenamed("id", "doc_id")
+
+
 @query(twins.DECONTAMINATION)
 def op4_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     found = winnowing.decontaminate(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
     return found.drop("row").withColumnRenamed("id", "doc_id")
 
 
+@query()
+def op6_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
+    return sentencepiece_codec.encode_texts(table(spark, folder, "documents")).withColumnRenamed("id", "doc_id")
+
+
 @query(twins.NEAR_DUPLICATES)
 def op10_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
     found = setsketch.near_duplicates(table(spark, folder, "documents"), k=2)

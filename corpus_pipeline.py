@@ -1,3 +1,72 @@
-"""The corpus pipeline: rules, near duplicates, decontamination, secrets, tokens."""
-PIPELINE_QUERIES: dict = {}
-PIPELINE_ORACLES: dict = {}
+"""The corpus pipeline: quality rules, near duplicates, decontamination, secrets, tokens.
+
+Each stage takes what its predecessor kept and returns it with the columns of ``documents``; the last one returns
+tokens. Stages are functions of (spark, documents, folder of the tables).
+"""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+
+from cohortloom.llm import quality_rules, secrets, sentencepiece_codec, setsketch, winnowing
+from cohortloom.llm.common import table
+from cohortloom.session import shared_folder, ship_package
+
+
+def passing_rules(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
+    """Documents that pass the rules and whose host is not rejected."""
+    ship_package(spark)
+    return quality_rules.kept_documents(docs)
+
+
+def without_near_duplicates(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
+    """One document of each group that shares runs of five words at a similarity of 0.8 or more."""
+    ship_package(spark)
+    return setsketch.one_per_group(docs)
+
+
+def without_benchmark(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
+    """Documents that hold no window of a benchmark item."""
+    ship_package(spark)
+    return winnowing.clean_documents(docs, table(spark, folder, "benchmark"))
+
+
+def without_secrets(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
+    """All documents, secrets masked."""
+    ship_package(spark)
+    return secrets.mask_secrets(docs)
+
+
+def as_tokens(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
+    """(doc_id, n_ids, ids, decoded, round_trip): piece ids of every document and the text they give back."""
+    ship_package(spark)
+    return sentencepiece_codec.encode_texts(docs).withColumnRenamed("id", "doc_id")
+
+
+STAGES = [
+    ("quality_rules", passing_rules),
+    ("near_duplicates", without_near_duplicates),
+    ("decontamination", without_benchmark),
+    ("secret_scans", without_secrets),
+    ("sentencepiece", as_tokens),
+]
+
+#: Automata learned from the corpus and pieces of a model file have no SQL twin; tests hold the rows against brute force.
+ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``; each result is written to the shared folder and read as the next one's input."""
+    docs = table(spark, sf_dir, "documents")
+    folder = f"{shared_folder(spark)}/corpus-pipeline-{uuid.uuid4().hex}"
+    for number, (name, stage) in enumerate(STAGES):
+        path = f"{folder}/{number}-{name}"
+        stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
+    return docs
+
+
+PIPELINE_QUERIES = {"pipeline": run}
+PIPELINE_ORACLES: dict[str, str] = {} if ORACLE_SQL is None else {"pipeline": ORACLE_SQL}
