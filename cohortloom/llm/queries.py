@@ -6,7 +6,9 @@ import functools
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cohortloom.llm import quality_rules, secrets, sentencepiece_codec, setsketch, winnowing
+from cohortloom.llm import (
+    huffman, langid, passages, quality_rules, rendezvous, secrets, sentencepiece_codec, setsketch, warc, winnowing,
+)
 from cohortloom.llm import sql as twins
 from cohortloom.llm.common import table
 from cohortloom.session import ship_package
@@ -36,6 +38,12 @@ def op1_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return found.withColumnRenamed("id", "doc_id")
 
 
+@query()
+def op2_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
+    found = passages.score(table(spark, folder, "documents"), table(spark, folder, "labels"))
+    return found.withColumnRenamed("id", "doc_id")
+
+
 @query()
 def op3_secret_scans(spark: SparkSession, folder: str) -> DataFrame:
     return secrets.scan_secrets(table(spark, folder, "documents")).withColumnRenamed("id", "doc_id")
@@ -47,11 +55,34 @@ def op4_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     return found.drop("row").withColumnRenamed("id", "doc_id")
 
 
+@query(twins.ARCHIVES)
+def op5_warc(spark: SparkSession, folder: str) -> DataFrame:
+    return warc.round_trip(table(spark, folder, "pages")).select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 @query()
 def op6_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
     return sentencepiece_codec.encode_texts(table(spark, folder, "documents")).withColumnRenamed("id", "doc_id")
 
 
+@query()
+def op7_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    return langid.identify(table(spark, folder, "documents")).withColumnRenamed("id", "doc_id")
+
+
+@query()
+def op8_token_files(spark: SparkSession, folder: str) -> DataFrame:
+    found = huffman.round_trip(table(spark, folder, "documents"))
+    return found.selectExpr("id AS doc_id", "start", "n_tokens", "ids_crc32")
+
+
+@query()
+def op9_sharding(spark: SparkSession, folder: str) -> DataFrame:
+    found = rendezvous.assign_shards(table(spark, folder, "documents"), [1.0] * 40, [1.0] * 41)
+    return found.withColumnRenamed("id", "doc_id")
+
+
 @query(twins.NEAR_DUPLICATES)
 def op10_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
     found = setsketch.near_duplicates(table(spark, folder, "documents"), k=2)

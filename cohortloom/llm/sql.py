@@ -96,3 +96,15 @@ SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, coalesce(low.other, d.d
   d.doc_id = coalesce(low.other, d.doc_id) AS kept
 FROM d LEFT JOIN n USING (doc_id) LEFT JOIN low USING (doc_id)
 """
+
+ARCHIVES = """
+WITH p AS (
+  SELECT page_id, sha256(coalesce(html, '')) AS payload_digest, strlen(coalesce(html, ''))::BIGINT AS payload_bytes FROM pages
+), f AS (
+  SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS head FROM p
+)
+SELECT page_id, payload_bytes, payload_digest,
+  CASE WHEN payload_bytes >= 100 AND page_id <> head THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN payload_bytes >= 100 AND page_id <> head THEN head END AS refers_to
+FROM f
+"""
