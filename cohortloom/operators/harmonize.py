@@ -22,7 +22,6 @@ from cohortloom.functions.scalars import zero_if_not_finite
 from cohortloom.operators.sums import product_sums
 from cohortloom.session import cut_lineage, shared_folder
 
-MAX_DESIGN = 3_000
 MAX_PARAMETERS = 20_000_000
 SPLINE_DEGREE = 3
 SPLINE_INNER_KNOTS = 6
@@ -98,20 +97,15 @@ def fit(rows: DataFrame, site: str, features: str = "features", covariate: str |
         raise ValueError("no rows to fit")
     n_features = (width - k) // 2
 
-    if sums.where("i = 0 AND j = 0").count() + k > MAX_DESIGN:
-        raise ValueError(f"more than {MAX_DESIGN} sites and basis terms")
     design = sums.where(F.col("j") <= k).toPandas()
     sites = sorted(design[site].unique().tolist())
     place = {s: i for i, s in enumerate(sites)}
     blocks = np.zeros((len(sites), k + 1, k + 1))
     blocks[design[site].map(place), design["i"], design["j"]] = design["value"]
-    gram = np.zeros((len(sites) + k, len(sites) + k))
-    gram[range(len(sites)), range(len(sites))] = blocks[:, 0, 0]
-    gram[: len(sites), len(sites):] = blocks[:, 0, 1:]
-    gram[len(sites):, : len(sites)] = blocks[:, 0, 1:].T
-    gram[len(sites):, len(sites):] = blocks[:, 1:, 1:].sum(axis=0)
-    inverse = np.linalg.pinv(gram, rcond=1e-12, hermitian=True)
     counts, total = blocks[:, 0, 0], blocks[:, 0, 0].sum()
+    # the sites' own block is diagonal, so they are eliminated and only the k basis terms are solved for
+    share = blocks[:, 0, 1:] / counts[:, None]
+    inverse = np.linalg.pinv(blocks[:, 1:, 1:].sum(axis=0) - blocks[:, 0, 1:].T @ share, rcond=1e-12, hermitian=True)
 
     moments = T.StructType([
         rows.schema[site], T.StructField("feature", T.IntegerType()), T.StructField("n", T.DoubleType()),
@@ -121,11 +115,11 @@ def fit(rows: DataFrame, site: str, features: str = "features", covariate: str |
 
     def feature_moments(x: np.ndarray, xx: np.ndarray) -> dict:
         """Fit of one feature from its per-site sums (sites x [1, basis]) and sums of squares."""
-        right = np.concatenate([x[:, 0], x[:, 1:].sum(axis=0)])
-        beta = inverse @ right
-        coef = beta[len(sites):]
-        scale = np.sqrt(max(0.0, (xx.sum() - beta @ right) / total))
-        grand = counts @ beta[: len(sites)] / total
+        coef = inverse @ (x[:, 1:].sum(axis=0) - share.T @ x[:, 0])
+        level = x[:, 0] / counts - share @ coef
+        explained = level @ x[:, 0] + coef @ x[:, 1:].sum(axis=0)
+        scale = np.sqrt(max(0.0, (xx.sum() - explained) / total))
+        grand = counts @ level / total
         trend = blocks[:, 0, 1:] @ coef
         s1 = x[:, 0] - counts * grand - trend
         s2 = (xx + counts * grand ** 2 + np.einsum("a,sab,b->s", coef, blocks[:, 1:, 1:], coef)
@@ -182,6 +176,8 @@ def shrink(moments: DataFrame, site: str, empirical_bayes: bool = True, toleranc
                     shift, spread = new_shift, new_spread
                     if change < tolerance:
                         break
+                else:
+                    raise ValueError(f"no posterior for site {part[site].iloc[0]!r} within 1000 steps")
                 g, d = shift, spread
         return part.assign(zmean=g, zvar=d).rename(columns={"zmean": "shift", "zvar": "spread"})
 
@@ -273,25 +269,36 @@ def policy_columns(protocol: Column) -> list[Column]:
 # ---- cached results
 
 
-def content_signature(rows: DataFrame, columns: Sequence[str], settings: str = "") -> DataFrame:
-    """One row: digest of the row multiset and the settings. Row order and partitioning do not matter."""
-    text = F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("\\N")) for c in columns])
-    digits = F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("bigint")
-    table = rows.agg(F.count("*").alias("n_rows"), F.coalesce(F.sum(digits), F.lit(0)).alias("row_sum"))
-    joined = F.concat_ws("|", F.lit(settings), F.col("n_rows").cast("string"), F.col("row_sum").cast("string"))
-    return table.select("n_rows", "row_sum", F.sha2(joined, 256).alias("signature"))
-
+def content_signature(rows: DataFrame, columns: Sequence[str] | None = None, settings: str = "") -> DataFrame:
+    """One row: digest of the row multiset (all columns unless named) and the settings.
 
-def reuse_or_compute(rows: DataFrame, columns: Sequence[str], settings: str, compute, folder: str | None = None) -> DataFrame:
+    A row is written as JSON with its column names and types, NULL fields included, so different rows never look
+    alike, and hashed with SHA-256. The sums of the digest's four parts do not depend on row order or partitioning.
+    """
+    columns = list(columns or rows.columns)
+    kinds = ",".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in columns)
+    text = F.to_json(F.struct(*[F.col(f"`{c}`") for c in columns]), {"ignoreNullFields": "false"})
+    digest = F.sha2(text, 256)
+    parts = [F.conv(F.substring(digest, 1 + 16 * k, 16), 16, 10).cast("decimal(38,0)") for k in range(4)]
+    sums = [F.coalesce(F.sum(p), F.lit(0).cast("decimal(38,0)")).cast("string").alias(f"_s{k}") for k, p in enumerate(parts)]
+    table = rows.agg(F.count("*").alias("n_rows"), *sums)
+    joined = F.concat_ws("|", F.lit(settings), F.lit(kinds), F.col("n_rows").cast("string"), "_s0", "_s1", "_s2", "_s3")
+    return table.select("n_rows", F.concat_ws(" ", "_s0", "_s1", "_s2", "_s3").alias("row_sums"),
+                        F.sha2(joined, 256).alias("signature"))
+
+
+def reuse_or_compute(rows: DataFrame, columns: Sequence[str] | None, settings: str, compute, folder: str | None = None) -> DataFrame:
     """Stored result of ``compute()`` for exactly these rows and settings, else compute and store it.
 
-    Results of other inputs live under other signatures, so a stale result can never be picked up.
+    The signature covers every named column (all by default). A result counts once its marker, written last, is there,
+    so one that was interrupted is computed again.
     """
     spark = rows.sparkSession
     signature = content_signature(rows, columns, settings).first()["signature"]
     path = f"{folder or shared_folder(spark)}/cohortloom-results/signature={signature}"
     try:
-        return spark.read.parquet(path)
+        spark.read.parquet(f"{path}-done").count()
     except AnalysisException:
         compute().write.mode("overwrite").parquet(path)
-        return spark.read.parquet(path)
+        spark.range(1).write.mode("overwrite").parquet(f"{path}-done")
+    return spark.read.parquet(path)

@@ -155,9 +155,17 @@ def run_plan(protocol: str, models: Sequence[str], harmonization: str, cohorts:
     )
 
 
-def joined_by_row_key(left: DataFrame, right: DataFrame, row_key: str) -> DataFrame:
-    """Row i with row i, by the row key written at ingest; unequal key sets are an error to report."""
-    return left.join(right, row_key, "inner")
+def joined_by_row_key(left: DataFrame, right: DataFrame, row_key: str, report: bool = False) -> DataFrame:
+    """Row i with row i, by the row key written at ingest. A key of one side only stops the job, or with
+    ``report`` comes out as a row whose ``missing`` names the side without it."""
+    joined = left.withColumn("_l", F.lit(True)).join(right.withColumn("_r", F.lit(True)), row_key, "full")
+    missing = F.when(F.col("_l").isNull(), "left").when(F.col("_r").isNull(), "right")
+    if report:
+        return joined.withColumn("missing", missing).drop("_l", "_r")
+    message = F.concat(F.lit("row key of one side only: "), F.col(row_key).cast("string"))
+    key = F.when(missing.isNull(), F.col(row_key)).otherwise(
+        F.raise_error(message).cast(left.schema[row_key].dataType))
+    return joined.withColumn(row_key, key).drop("_l", "_r")
 
 
 def first_match(rows: DataFrame, keys: Sequence[str], path: str = "path") -> DataFrame:

@@ -15,10 +15,9 @@ from cohortloom.functions.scalars import missing_if_not_finite
 
 # Forbidden text content. Group 1 is the finding; what stands left of it is a boundary, so
 # that the slash of a closing HTML tag does not start a path.
-PATH_ROOTS = ["Users", "home", "root", "mnt", "media", "data", "private", "tmp", "var", "opt", "srv", "scratch", "Volumes"]
 SOURCE_FOLDERS = ["sourcedata", "rawdata", "derivatives"]
 TEXT_PATTERNS = {
-    "ABSOLUTE_POSIX_PATH": r"""(?:^|[\s"'(=:,])(/(?:""" + "|".join(PATH_ROOTS) + r""")/[^\s"'<>)]+)""",
+    "ABSOLUTE_POSIX_PATH": r"""(?:^|[\s"'(=:,])(/[A-Za-z0-9_.~-]+/[^\s"'<>)]+)""",
     "ABSOLUTE_WINDOWS_PATH": r"""(?:^|[\s"'(=])([A-Za-z]:\\[^\s"'<>]+)""",
     "BIDS_PARTICIPANT_IDENTIFIER": r"(?:^|[^A-Za-z0-9])((?:sub|ses)-[A-Za-z0-9]+)",
     "EMAIL_ADDRESS": r"([A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+)",
@@ -26,7 +25,7 @@ TEXT_PATTERNS = {
 }
 # Literals of which every match contains one: a text without any is settled by plain substring search.
 PATTERN_LITERALS = {
-    "ABSOLUTE_POSIX_PATH": [f"/{root}/" for root in PATH_ROOTS],
+    "ABSOLUTE_POSIX_PATH": ["/"],
     "ABSOLUTE_WINDOWS_PATH": [":\\"],
     "BIDS_PARTICIPANT_IDENTIFIER": ["sub-", "ses-"],
     "EMAIL_ADDRESS": ["@"],
@@ -69,11 +68,12 @@ def privacy_findings(texts: DataFrame, ids: Sequence[str], text: str = "text",
                      custom: Mapping[str, str] | None = None,
                      allowed_emails: Sequence[str] = ()) -> DataFrame:
     """One row per forbidden match in the whole text. Row by row, no shuffle."""
-    patterns = {**TEXT_PATTERNS, **(custom or {})}
+    # a custom pattern may lack a group, so all of its match is one
+    patterns = {**TEXT_PATTERNS, **{code: f"({pattern})" for code, pattern in (custom or {}).items()}}
 
     def matches(code: str, pattern: str) -> Column:
         found = F.regexp_extract_all(F.col(text), F.lit(pattern), F.lit(1))
-        if code not in PATTERN_LITERALS or pattern != TEXT_PATTERNS[code]:
+        if pattern != TEXT_PATTERNS.get(code):
             return found
         present = F.lit(False)
         for literal in PATTERN_LITERALS[code]:

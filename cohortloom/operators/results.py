@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cohortloom.functions import registry
-from cohortloom.functions.scalars import col_of, extract_or_missing, order_of, zero_if_not_finite
+from cohortloom.functions.scalars import col_of, extract_or_missing, missing_if_not_finite, order_of, zero_if_not_finite
 
 # Time stamp in square brackets, two styles.
 STAMP = r"\[(\d{4}-\d{2}-\d{2}[ _]\d{2}[:\-]\d{2}[:\-]\d{2})\]"
@@ -74,12 +74,23 @@ def latest_single_runs(files: DataFrame, datasets: Sequence[str],
     return _latest(candidates, ["dataset", "model"])
 
 
-def run_coverage(files: DataFrame, datasets: Sequence[str],
+def run_coverage(files: DataFrame, datasets: DataFrame | Sequence[str],
                  models: Sequence[str] = tuple(registry.SINGLE_FILE_PARTS)) -> DataFrame:
-    """Every wanted (dataset, model) with its latest file; NULL marks a missing result."""
-    wanted = files.sparkSession.createDataFrame(
-        [(d, m) for d in datasets for m in models], "dataset string, model string")
-    found = latest_single_runs(files, datasets, models)
+    """Every wanted (dataset, model) with its latest file; NULL marks a missing result.
+
+    ``datasets`` is a list, or a table with a column ``dataset``. A file names its dataset between the closing
+    bracket of the time and the next underscore that ends a wanted name.
+    """
+    if not isinstance(datasets, DataFrame):
+        datasets = files.sparkSession.createDataFrame([(d,) for d in datasets], "dataset string")
+    named = datasets.select("dataset", F.lower("dataset").alias("_name")).distinct()
+    wanted = named.select("dataset", F.explode(F.array(*[F.lit(m) for m in models])).alias("model"))
+    # every beginning that could be a dataset name, so that the names are joined by equality
+    tagged = _tag_models(files, registry.SINGLE_FILE_PARTS, models).withColumn(
+        "_words", F.split(F.regexp_extract(F.lower("file_name"), r"\](.*)$", 1), "_"))
+    starts = tagged.where(F.size("_words") > 1).select("file_name", "model", F.explode(F.transform(
+        F.sequence(F.lit(1), F.size("_words") - 1), lambda i: F.array_join(F.slice("_words", 1, i), "_"))).alias("_name"))
+    found = _latest(starts.join(named, "_name"), ["dataset", "model"])
     return wanted.join(found, ["dataset", "model"], "left").withColumn(
         "missing", F.col("file_name").isNull())
 
@@ -199,30 +210,38 @@ def baseline_summary(points: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 def lodo_long(archive: DataFrame) -> DataFrame:
-    """One row per held-out cohort, model and harmonization, from the latest run of each."""
+    """One row per leave-one-dataset-out file and held-out cohort, files of all runs, with or without a time."""
     rows = archive.where(F.col("file_name").contains("LODO") & F.col("fold").startswith("TEST_"))
     named = rows.select(
-        "file_name", "metric", "value", F.expr("substring(fold, 6)").alias("held_out_dataset"),
+        "file_name", "metric", "value", run_timestamp("file_name").alias("run_time"),
+        F.expr("substring(fold, 6)").alias("held_out_dataset"),
         model_of_file("file_name").alias("model"), harmonization_of_file("file_name").alias("harmonization"))
-    files = named.select("file_name", "model", "harmonization").distinct()
-    newest = _latest(files, ["model", "harmonization"]).select("file_name")
-    kept = named.join(newest, "file_name", "left_semi")
     return (
-        kept.groupBy("held_out_dataset", "model", "harmonization")
+        named.groupBy("file_name", "run_time", "held_out_dataset", "model", "harmonization")
         .pivot("metric", ["MAE", "R2", "Spearman_rho", "age_bias_slope"]).agg(F.max("value"))
         .withColumnsRenamed({"R2": "R_squared", "Spearman_rho": "Spearman_rank_correlation"})
     )
 
 
+def newest_lodo(long: DataFrame) -> DataFrame:
+    """Rows of the latest run of each model and harmonization; files without a time are left out."""
+    newest = _latest(long.select("file_name", "model", "harmonization").distinct(), ["model", "harmonization"])
+    return long.join(newest.select("file_name"), "file_name", "left_semi")
+
+
 LODO_METRICS = ["MAE", "R_squared", "Spearman_rank_correlation", "age_bias_slope"]
 
 
 def lodo_wide(long: DataFrame) -> DataFrame:
-    """One row per held-out cohort; a column per metric, model and harmonization."""
-    key = F.concat_ws("|", "model", "harmonization")
+    """One row per held-out cohort; a column per metric, model and harmonization. Repeats stop the job."""
+    keys = ["held_out_dataset", "model", "harmonization"]
     names = [f"{m}|{h}" for m in registry.MODEL_ORDER for h in registry.HARMONIZATION_ORDER]
+    once = long.groupBy(*keys).agg(F.count("*").alias("_n"), *[F.max(m).alias(m) for m in LODO_METRICS])
+    message = F.concat(F.lit("several rows for "), F.concat_ws(", ", *keys))
+    checked = F.when(F.col("_n") == 1, F.concat_ws("|", "model", "harmonization")).otherwise(
+        F.raise_error(message).cast("string"))
     wide = (
-        long.withColumn("_k", key).groupBy("held_out_dataset").pivot("_k", names)
+        once.withColumn("_k", checked).groupBy("held_out_dataset").pivot("_k", names)
         .agg(*[F.max(m).alias(m) for m in LODO_METRICS])
     )
     return wide.select("held_out_dataset", *[
@@ -256,9 +275,9 @@ def lodo_extrema(long: DataFrame) -> DataFrame:
 
 
 def wide_metrics(long: DataFrame, folds: Sequence[str], keys: Sequence[str] = ()) -> DataFrame:
-    """Metric rows with one column per fold and the average over the folds present."""
+    """Metric rows with one column per fold and the average over the folds with a finite value."""
     wide = long.groupBy(*keys, "metric").pivot("fold", list(folds)).agg(F.first("value", ignorenulls=True))
     total = sum((zero_if_not_finite(f"`{f}`") for f in folds), F.lit(0.0))
-    present = sum((F.when(F.col(f"`{f}`").isNotNull(), 1).otherwise(0) for f in folds), F.lit(0))
+    present = sum((F.when(missing_if_not_finite(f"`{f}`").isNotNull(), 1).otherwise(0) for f in folds), F.lit(0))
     return wide.select(*keys, "metric", *[F.col(f"`{f}`") for f in folds],
                        F.try_divide(total, present).alias("Avg"))

@@ -6,6 +6,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -13,10 +14,22 @@ from pyspark.sql import types as T
 HELD_GROUPS = 256
 
 
-def _block(column: pa.Array) -> np.ndarray:
-    """List column of equal lengths as a 2-D array."""
-    flat = column.flatten().to_numpy(zero_copy_only=False)
-    return flat.reshape(len(column), -1)
+def _block(batch: pa.RecordBatch, at: int, n_keys: int, width: int | None) -> np.ndarray:
+    """List column as a 2-D array. A NULL vector, a NULL cell or another length is an error that names the row's keys."""
+    column = batch.column(at)
+    lengths = pc.fill_null(pc.list_value_length(column), -1).to_numpy(zero_copy_only=False)
+    wanted = int(lengths[0]) if width is None else width
+    bad = np.flatnonzero((lengths != wanted) | (lengths < 0))
+    flat = column.flatten()
+    if not len(bad) and flat.null_count:
+        bad = np.flatnonzero(np.isin(np.arange(len(column)), np.flatnonzero(flat.is_null().to_numpy(zero_copy_only=False)) // max(1, wanted)))
+    if len(bad):
+        row = int(bad[0])
+        key = {batch.schema.names[c]: batch.column(c)[row].as_py() for c in range(n_keys)}
+        said = "NULL" if lengths[row] < 0 else "a NULL cell" if lengths[row] == wanted else f"{lengths[row]} cells, not {wanted}"
+        raise ValueError(f"vector {batch.schema.names[at]!r} of {key} has {said}" if said != "NULL" else
+                         f"vector {batch.schema.names[at]!r} of {key} is NULL")
+    return flat.to_numpy(zero_copy_only=False).reshape(len(column), wanted)
 
 
 def _groups(batch: pa.RecordBatch, n_keys: int) -> list[np.ndarray]:
@@ -58,12 +71,14 @@ def product_sums(rows: DataFrame, keys: Sequence[str], left: str, right: str | N
     def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[tuple, np.ndarray] = {}
         schema = None
+        widths: list[int | None] = [None, None]
         for batch in batches:
             if batch.num_rows == 0:
                 continue
             schema = batch.schema
-            a = _block(batch.column(n_keys))
-            b = a if right is None else _block(batch.column(n_keys + 1))
+            a = _block(batch, n_keys, n_keys, widths[0])
+            b = a if right is None else _block(batch, n_keys + 1, n_keys, widths[1])
+            widths = [a.shape[1], b.shape[1]]
             for where in _groups(batch, n_keys):
                 key = tuple(batch.column(c)[int(where[0])].as_py() for c in range(n_keys))
                 part = a[where].T @ b[where]

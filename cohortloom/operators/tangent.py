@@ -14,7 +14,6 @@ from cohortloom.functions import registry
 from cohortloom.session import cut_lineage
 
 ROOT2 = float(np.sqrt(2.0))
-MAX_FOLDS = 200
 
 
 def spectral(matrices: np.ndarray, change: Callable[[np.ndarray], np.ndarray]) -> np.ndarray:
@@ -103,9 +102,7 @@ def reference_matrices(matrices: DataFrame, matrix: str = "matrix", fold: str |
     size = int(round(np.sqrt(first)))
     labels = [None]
     if fold is not None:
-        labels = sorted(r[fold] for r in rows.select(fold).distinct().limit(MAX_FOLDS + 1).collect())
-        if len(labels) > MAX_FOLDS:
-            raise ValueError(f"more than {MAX_FOLDS} folds")
+        labels = sorted(r[fold] for r in rows.select(fold).distinct().collect())
     if metric == "logeuclid":
         sums = _summed(rows, matrix, fold, labels, lambda k, x: spectral(x, np.log), size)
         return {labels[k]: spectral((s / n)[None], np.exp)[0] for k, (s, n) in sums.items()}
@@ -132,8 +129,9 @@ def reference_matrices(matrices: DataFrame, matrix: str = "matrix", fold: str |
             if norm <= tolerance:
                 open_.discard(k)
         if not open_:
-            break
-    return {labels[k]: m for k, m in means.items()}
+            return {labels[k]: m for k, m in means.items()}
+    left = ", ".join(f"{labels[k]}: {norms[k]:.3g}" for k in sorted(open_))
+    raise ValueError(f"no geometric mean within {max_steps} steps, remaining pull of fold {left}")
 
 
 # ---- features

@@ -22,10 +22,15 @@ def dummy_scores(scans: DataFrame, y: str) -> DataFrame:
     return scans.join(F.broadcast(means), "fold")
 
 
+def _corrvec(scans: DataFrame) -> DataFrame:
+    """Upper-triangle correlations as features, rounded to single precision on every path."""
+    return scans.withColumn("features", F.transform(
+        connectome.upper_of_cells("matrix", "p"), lambda x: x.cast("float").cast("double"))).drop("matrix")
+
+
 def corrvec_scores(scans: DataFrame, y: str) -> DataFrame:
     """Ridge on upper-triangle correlations. Features do not depend on the fold: one pass for all folds."""
-    rows = scans.withColumn("features", F.transform(
-        connectome.upper_of_cells("matrix", "p"), lambda x: x.cast("float").cast("double"))).drop("matrix")
+    rows = _corrvec(scans)
     fitted = ridge.fit_folds(ridge.fold_blocks(rows, ["fold", "inner"], y=y), "fold", "inner")
     return ridge.predict(rows, ridge.model_frame(rows, "fold", fitted))
 
@@ -46,14 +51,14 @@ def harmonized_scores(scans: DataFrame, y: str, protocol: str, dataset: str, fea
     K-fold transforms test rows with their known cohort and true target (see the policy label);
     leave-one-dataset-out leaves test rows as they are.
     """
-    folds = sorted(r["fold"] for r in scans.select("fold").distinct().limit(1000).collect())
+    folds = sorted(r["fold"] for r in scans.select("fold").distinct().collect())
     references = tangent.reference_matrices(scans, "matrix", "fold", metric) if features == "tangent" else {}
     blocks, tests = None, None
     for fold in folds:
         if features == "tangent":
             rows = tangent.tangent_features(scans, references[fold])
         else:
-            rows = scans.withColumn("features", connectome.upper_of_cells("matrix", "p")).drop("matrix")
+            rows = _corrvec(scans)
         train, test, _ = harmonize.harmonize_folds(
             rows.where(F.col("fold") != fold), rows.where(F.col("fold") == fold), protocol, dataset, covariate=y)
         part = ridge.fold_blocks(train, ["inner"], y=y).withColumn("outer", F.lit(fold))

@@ -232,13 +232,17 @@ def id_sets(spark: SparkSession, folder: str) -> DataFrame:
     return both.unionByName(only).unionByName(a.distinct().withColumn("kind", F.lit("first")))
 
 
-@query("""SELECT p_partkey AS row_key, p_name AS phenotype, l.n_lines FROM part JOIN
-  (SELECT l_partkey, count(*) AS n_lines FROM lineitem GROUP BY l_partkey) l ON l_partkey = p_partkey""")
+@query("""SELECT coalesce(p_partkey, l_partkey) AS row_key, p_name AS phenotype, l.n_lines,
+  CASE WHEN p_partkey IS NULL THEN 'left' WHEN l_partkey IS NULL THEN 'right' END AS missing
+FROM (SELECT * FROM part WHERE p_partkey % 10 <> 3) FULL JOIN (SELECT l_partkey, count(*) AS n_lines FROM lineitem
+  WHERE l_partkey % 10 <> 4 GROUP BY l_partkey) l ON l_partkey = p_partkey""")
 def row_key_concat(spark: SparkSession, folder: str) -> DataFrame:
-    left = table(spark, folder, "part").select(F.col("p_partkey").alias("row_key"), F.col("p_name").alias("phenotype"))
-    right = table(spark, folder, "lineitem").groupBy(F.col("l_partkey").alias("row_key")).agg(
-        F.count("*").alias("n_lines"))
-    return prepare.joined_by_row_key(left, right, "row_key")
+    """Unequal key sets, planted on both sides, come out as rows of their own."""
+    left = table(spark, folder, "part").where("p_partkey % 10 <> 3").select(
+        F.col("p_partkey").alias("row_key"), F.col("p_name").alias("phenotype"))
+    right = table(spark, folder, "lineitem").where("l_partkey % 10 <> 4").groupBy(
+        F.col("l_partkey").alias("row_key")).agg(F.count("*").alias("n_lines"))
+    return prepare.joined_by_row_key(left, right, "row_key", report=True)
 
 
 @query("""SELECT host, min(url) AS path FROM (SELECT regexp_extract(url, '^https?://([^/]+)/', 1) AS host, url FROM pages)

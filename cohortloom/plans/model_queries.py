@@ -207,9 +207,13 @@ def harmonization_policy(spark: SparkSession, folder: str) -> DataFrame:
         F.count_if(~F.col("is_test") | F.col("applied_to_test")).alias("n_transformed"))
 
 
-@query("""WITH t AS (SELECT count(*) AS n_rows, CAST(sum(('0x' || substr(md5(concat_ws('|', CAST(o_orderkey AS VARCHAR), o_orderstatus,
-  CAST(CAST(round(o_totalprice * 100) AS BIGINT) AS VARCHAR))), 1, 8))::BIGINT) AS BIGINT) AS row_sum FROM orders)
-SELECT n_rows, row_sum, sha256(concat_ws('|', 'eb=1;smooth=age', CAST(n_rows AS VARCHAR), CAST(row_sum AS VARCHAR))) AS signature FROM t""")
+SIGNATURE_PARTS = ", ".join(f"CAST(sum(('0x' || substr(d, {1 + 16 * k}, 16))::UBIGINT) AS VARCHAR) AS s{k}" for k in range(4))
+
+
+@query(f"""WITH d AS (SELECT sha256('{{"o_orderkey":' || o_orderkey || ',"o_orderstatus":"' || o_orderstatus || '","cents":' ||
+  CAST(round(o_totalprice * 100) AS BIGINT) || '}}') AS d FROM orders), t AS (SELECT count(*) AS n_rows, {SIGNATURE_PARTS} FROM d)
+SELECT n_rows, concat_ws(' ', s0, s1, s2, s3) AS row_sums, sha256(concat_ws('|', 'eb=1;smooth=age',
+  'o_orderkey bigint,o_orderstatus string,cents bigint', CAST(n_rows AS VARCHAR), s0, s1, s2, s3)) AS signature FROM t""")
 def input_signature(spark: SparkSession, folder: str) -> DataFrame:
     rows = table(spark, folder, "orders").withColumn("cents", F.round(F.col("o_totalprice") * 100).cast("bigint"))
     return harmonize.content_signature(rows, ["o_orderkey", "o_orderstatus", "cents"], "eb=1;smooth=age")

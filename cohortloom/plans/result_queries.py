@@ -230,7 +230,7 @@ picked AS (SELECT * FROM names QUALIFY row_number() OVER (PARTITION BY n_name, m
 FROM (SELECT n_name, unnest(['Dummy', 'Ridge', 'SPDNet', 'VecCorrRidge']) AS model FROM nation) m
 LEFT JOIN picked USING (n_name, model)""")
 def run_coverage(spark: SparkSession, folder: str) -> DataFrame:
-    nations = [r.n_name for r in spark.read.parquet(f"{folder}/nation.parquet").select("n_name").limit(1000).collect()]
+    nations = spark.read.parquet(f"{folder}/nation.parquet").select(F.col("n_name").alias("dataset"))
     return results.run_coverage(single_files(spark, folder), nations)
 
 
@@ -297,8 +297,14 @@ LODO_SQL = f"""{ARCHIVE_SQL}, long AS (SELECT substr(fold, 6) AS held_out_datase
   max(value) FILTER (WHERE metric = 'age_bias_slope') AS age_bias_slope
   FROM archive JOIN newest USING (file_name) WHERE experiment = 'LODO' GROUP BY 1, 2, 3)"""
 
+LODO_ALL_SQL = f"""{ARCHIVE_SQL} SELECT file_name, run_time, substr(fold, 6) AS held_out_dataset, model, harmonization,
+  max(value) FILTER (WHERE metric = 'MAE') AS "MAE", max(value) FILTER (WHERE metric = 'R2') AS "R_squared",
+  max(value) FILTER (WHERE metric = 'Spearman_rho') AS "Spearman_rank_correlation",
+  max(value) FILTER (WHERE metric = 'age_bias_slope') AS age_bias_slope
+  FROM archive JOIN files USING (file_name) WHERE experiment = 'LODO' GROUP BY 1, 2, 3, 4, 5"""
+
 
-@query(f"WITH {LODO_SQL} SELECT * FROM long")
+@query(f"WITH {LODO_ALL_SQL}")
 def lodo_long(spark: SparkSession, folder: str) -> DataFrame:
     return results.lodo_long(archive(spark, folder))
 
@@ -313,7 +319,7 @@ def _wide_sql() -> str:
 
 @query(_wide_sql())
 def lodo_wide(spark: SparkSession, folder: str) -> DataFrame:
-    return results.lodo_wide(results.lodo_long(archive(spark, folder)))
+    return results.lodo_wide(results.newest_lodo(results.lodo_long(archive(spark, folder))))
 
 
 def _best_sql(score: str) -> str:
@@ -328,7 +334,7 @@ def _best_sql(score: str) -> str:
   {_best_sql('-abs(age_bias_slope)')} AS largest_abs_age_bias_slope_model,
   arg_max(age_bias_slope, abs(age_bias_slope)) AS largest_abs_age_bias_slope FROM long GROUP BY held_out_dataset""")
 def lodo_extrema(spark: SparkSession, folder: str) -> DataFrame:
-    return results.lodo_extrema(results.lodo_long(archive(spark, folder)))
+    return results.lodo_extrema(results.newest_lodo(results.lodo_long(archive(spark, folder))))
 
 
 # ---- single-cohort and ablation archives (MAE only, no ranks needed)

@@ -159,5 +159,4 @@ def reused_result(spark: SparkSession, folder: str) -> DataFrame:
 
     rows = feature_rows(spark, folder)
     return harmonize.reuse_or_compute(
-        rows.withColumn("first", F.round(F.col("features")[0] * 1e6).cast("bigint")), ["scan_id", "site", "first"],
-        "eb=1;kind=linear", lambda: harmonize.apply(rows, harmonize.fit(rows, "site", kind="linear")))
+        rows, None, "eb=1;kind=linear", lambda: harmonize.apply(rows, harmonize.fit(rows, "site", kind="linear")))

@@ -35,11 +35,11 @@ def read_archive(spark: SparkSession, folder: str, pattern: str = "*.csv") -> Da
         return F.transform(F.split(line, CSV_COMMA), lambda c: F.trim(F.replace(c, F.lit('"'))))
 
     rows = files.select("file_name", cells(F.col("_lines")[0]).alias("_head"),
-                        F.explode(F.slice("_lines", 2, 1_000_000)).alias("_line")).where("trim(_line) <> ''")
+                        F.explode(F.slice("_lines", F.lit(2), F.size("_lines"))).alias("_line")).where("trim(_line) <> ''")
     parted = rows.select("file_name", "_head", cells(F.col("_line")).alias("_cells"))
     long = parted.select(
         "file_name", F.col("_cells")[0].alias("metric"),
-        F.posexplode(F.slice(F.arrays_zip("_head", "_cells"), 2, 1_000_000)).alias("_at", "_c"))
+        F.posexplode(F.slice(F.arrays_zip("_head", "_cells"), F.lit(2), F.size(F.arrays_zip("_head", "_cells")))).alias("_at", "_c"))
     return long.select("file_name", "metric", F.col("_c._head").alias("fold"),
                        (F.col("_at") + 1).alias("fold_position"), number_or_missing("_c._cells").alias("value"))
 

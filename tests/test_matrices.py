@@ -253,6 +253,37 @@ def test_signature_ignores_order_and_sees_changes(spark, tmp_path):
     assert len(calls) == 2
 
 
+def test_signature_covers_every_column_and_cell(spark, tmp_path):
+    rows = [(i, "a|b", float(i), [1.0, 2.0]) for i in range(20)]
+    kind = "id int, site string, age double, features array<double>"
+
+    def sign(changed):
+        return harmonize.content_signature(spark.createDataFrame(changed, kind)).first()["signature"]
+
+    base = sign(rows)
+    for other in ((3, "a|b", 3.5, [1.0, 2.0]), (3, "a", 3.0, [1.0, 2.0]), (3, "a|b", 3.0, [1.0, 2.1]), (3, None, 3.0, [1.0, 2.0]),
+                  (3, "\\N", 3.0, [1.0, 2.0])):
+        assert sign(rows[:3] + [other] + rows[4:]) != base
+    df = spark.createDataFrame(rows, kind)
+    folder = f"{tmp_path}/cohortloom-results/signature={harmonize.content_signature(df).first()['signature']}"
+    df.limit(1).write.parquet(folder)  # left by a run that was interrupted
+    assert harmonize.reuse_or_compute(df, None, "", lambda: df, str(tmp_path)).count() == 20
+
+
+@pytest.mark.parametrize("bad, said", [
+    ([[1.0, 2.0, 3.0], [4.0, 5.0]], "2 cells, not 3"), ([[1.0, 2.0], None], "is NULL"), ([[1.0, 2.0], [3.0, None]], "NULL cell")])
+def test_vectors_of_one_width_only(spark, bad, said):
+    df = spark.createDataFrame([(f"k{i}", v) for i, v in enumerate(bad)], "k string, v array<double>").coalesce(1)
+    with pytest.raises(Exception, match=said):
+        sums.product_sums(df, ["k"], "v").collect()
+
+
+def test_more_sites_than_the_old_design_bound(spark):
+    rows = spark.range(7000).selectExpr("id % 3500 AS site", "array(double(id % 7), double(id % 3500) + id % 11) AS features", "double(id % 60) AS age")
+    model = harmonize.fit(rows, "site", kind="linear", empirical_bayes=False)
+    assert model.parameters.select("site").distinct().count() == 3500
+
+
 def test_confound_residuals_match_lstsq(spark):
     x = {s: (RNG.normal(size=(20 + s, 2)), RNG.normal(size=(20 + s, 3))) for s in range(3)}
     rows = [(s, t, c[t].tolist(), y[t].tolist()) for s, (c, y) in x.items() for t in range(len(c))]

@@ -140,8 +140,53 @@ def test_metric_files_round_trip(spark, tmp_path):
         metric_files.metric_points(archive, "R2", "R").collect()
     averages = {r["file_name"]: r["Avg"] for r in results.file_average(archive, "MAE").collect()}
     assert averages == {NAMES[1]: 2.0, kfold: 5.0}
-    long = results.lodo_long(archive).first()
-    assert long["model"] == "SPDNet" and long["harmonization"] == "original"
+    long = results.lodo_long(archive)
+    assert {r["held_out_dataset"] for r in long.where("model = 'SPDNet' AND harmonization = 'original'").collect()} == {"a", "b"}
+
+
+def test_every_lodo_file_is_kept_and_repeats_are_refused(spark):
+    names = ["[2026-04-18 16:46:01]ALL_SPDNet_LODO.csv", "[2026-05-18 16:46:01]ALL_SPDNet_LODO.csv", "ALL_SPDNet_LODO.csv"]
+    archive = spark.createDataFrame(
+        [(n, "MAE", "TEST_a", float(i)) for i, n in enumerate(names)], "file_name string, metric string, fold string, value double")
+    long = results.lodo_long(archive)
+    assert sorted(r["MAE"] for r in long.collect()) == [0.0, 1.0, 2.0]
+    with pytest.raises(Exception, match="several rows for a"):
+        results.lodo_wide(long).collect()
+    assert results.lodo_wide(results.newest_lodo(long)).first()["MAE|SPDNet|original"] == 1.0
+
+
+def test_average_skips_folds_without_a_finite_value(spark):
+    long = spark.createDataFrame([("MAE", "R1", float("nan")), ("MAE", "R2", 1.0), ("MAE", "R3", None)],
+                                 "metric string, fold string, value double")
+    assert results.wide_metrics(long, ["R1", "R2", "R3"]).first()["Avg"] == 1.0
+
+
+def test_unequal_row_keys_stop_or_are_reported(spark):
+    a = spark.createDataFrame([(1, "x"), (2, "y")], "row_key int, v string")
+    b = spark.createDataFrame([(2, 5), (3, 6)], "row_key int, w int")
+    with pytest.raises(Exception, match="row key of one side only"):
+        prepare.joined_by_row_key(a, b, "row_key").collect()
+    found = {r["row_key"]: r["missing"] for r in prepare.joined_by_row_key(a, b, "row_key", report=True).collect()}
+    assert found == {1: "right", 2: None, 3: "left"}
+
+
+def test_coverage_of_many_cohorts(spark):
+    files = spark.createDataFrame([(f"[2026-04-18 16:46:01]c_{i}_Dummy_AgeReg_mean.csv",) for i in range(1500)], "file_name string")
+    cohorts = spark.range(1500).selectExpr("concat('C_', id) AS dataset")
+    found = results.run_coverage(files, cohorts)
+    assert found.count() == 6000 and found.where("model = 'Dummy' AND missing").count() == 0
+
+
+def test_metric_file_of_many_columns_is_read_whole(spark, tmp_path):
+    (tmp_path / "wide.csv").write_text(",".join(["", *[f"R{i}" for i in range(3000)]]) + "\nMAE" + ",1.0" * 3000 + "\n")
+    assert metric_files.read_archive(spark, str(tmp_path)).count() == 3000
+
+
+def test_any_absolute_path_and_any_custom_pattern_are_found(spark):
+    texts = spark.createDataFrame(
+        [(1, "see /work/a/b and (/nfs/x/y)"), (2, "<p>and/or</p> http://host/a 1/2"), (3, "code XY-77")], "id int, text string")
+    found = release.privacy_findings(texts, ["id"], custom={"CODE": r"XY-\d+"}).collect()
+    assert sorted((r["id"], r["code"]) for r in found) == [(1, "ABSOLUTE_POSIX_PATH")] * 2 + [(3, "CODE")]
 
 
 def test_wide_writer_checks_fold_counts(spark, tmp_path):
