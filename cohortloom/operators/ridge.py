@@ -19,6 +19,7 @@ from cohortloom.session import cut_lineage
 
 MAX_FEATURES = 2_000
 MAX_CELLS = 50_000_000
+MODEL_BYTES = 64_000_000
 
 
 def dummy_predictions(rows: DataFrame, fold: str = "fold", y: str = "y") -> DataFrame:
@@ -45,7 +46,7 @@ def collect_blocks(blocks: DataFrame, folds: Sequence[str],
         raise ValueError("no rows to fit")
     width = shape["d"] + 1
     if width - 2 > max_features:
-        raise ValueError(f"{width - 2} features: use fit_by_gradient above {max_features}")
+        raise ValueError(f"{width - 2} features on the driver: use ridge_tiles above {max_features}")
     if shape["n"] > MAX_CELLS:
         raise ValueError("too many fold blocks for the driver")
     held: dict[tuple, np.ndarray] = {}
@@ -126,8 +127,13 @@ def fit_plain(blocks: DataFrame, fold: str, alpha: float) -> list[tuple[str, flo
 
 
 def predict(rows: DataFrame, models: DataFrame, fold: str = "fold", features: str = "features") -> DataFrame:
-    """Prediction of every row by the model that did not train on its fold. One model row per fold."""
-    joined = rows.join(F.broadcast(models.select(fold, "coef")), fold)
+    """Prediction of every row by the model that did not train on its fold. One model row per fold.
+
+    Models are broadcast if all coefficients fit in ``MODEL_BYTES``, else joined by shuffle.
+    """
+    models = cut_lineage(models.select(fold, "coef"))
+    size = models.agg(F.sum(F.size("coef"))).first()[0] or 0
+    joined = rows.join(F.broadcast(models) if 8 * size <= MODEL_BYTES else models, fold)
     z = F.concat(F.array(F.lit(1.0)), F.col(features))
     dot = F.aggregate(F.zip_with(z, "coef", lambda a, b: a * b), F.lit(0.0), lambda total, x: total + x)
     return joined.withColumn("yhat", dot).drop("coef")

@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 HELD_GROUPS = 256
 
 
-def _block(batch: pa.RecordBatch, at: int, n_keys: int, width: int | None) -> np.ndarray:
+def vector_block(batch: pa.RecordBatch, at: int, n_keys: int, width: int | None) -> np.ndarray:
     """List column as a 2-D array. A NULL vector, a NULL cell or another length is an error that names the row's keys."""
     column = batch.column(at)
     lengths = pc.fill_null(pc.list_value_length(column), -1).to_numpy(zero_copy_only=False)
@@ -76,8 +76,8 @@ def product_sums(rows: DataFrame, keys: Sequence[str], left: str, right: str | N
             if batch.num_rows == 0:
                 continue
             schema = batch.schema
-            a = _block(batch, n_keys, n_keys, widths[0])
-            b = a if right is None else _block(batch, n_keys + 1, n_keys, widths[1])
+            a = vector_block(batch, n_keys, n_keys, widths[0])
+            b = a if right is None else vector_block(batch, n_keys + 1, n_keys, widths[1])
             widths = [a.shape[1], b.shape[1]]
             for where in _groups(batch, n_keys):
                 key = tuple(batch.column(c)[int(where[0])].as_py() for c in range(n_keys))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-from cohortloom.operators import connectome, harmonize, metrics, ridge, splits, tangent
+from cohortloom.operators import connectome, harmonize, metrics, ridge, ridge_tiles, splits, tangent
 from cohortloom.session import cut_lineage
 
 
@@ -31,17 +31,15 @@ def _corrvec(scans: DataFrame) -> DataFrame:
 def corrvec_scores(scans: DataFrame, y: str) -> DataFrame:
     """Ridge on upper-triangle correlations. Features do not depend on the fold: one pass for all folds."""
     rows = _corrvec(scans)
-    fitted = ridge.fit_folds(ridge.fold_blocks(rows, ["fold", "inner"], y=y), "fold", "inner")
-    return ridge.predict(rows, ridge.model_frame(rows, "fold", fitted))
+    return ridge.predict(rows, ridge_tiles.tuned_models(rows, "fold", "inner", y=y))
 
 
 def tangent_scores(scans: DataFrame, y: str, metric: str = "riemann") -> DataFrame:
     """Ridge on tangent features, the reference refitted on every outer training set."""
     references = tangent.reference_matrices(scans, "matrix", "fold", metric)
     train = tangent.tangent_of_training(scans, references)
-    fitted = ridge.fit_train_blocks(ridge.fold_blocks(train, ["outer", "inner"], y=y), "outer", "inner")
-    test = tangent.tangent_of_own_fold(scans, references)
-    return ridge.predict(test, ridge.model_frame(test, "fold", fitted))
+    models = ridge_tiles.tuned_models(train, "outer", "inner", own_training=True, y=y)
+    return ridge.predict(tangent.tangent_of_own_fold(scans, references), models)
 
 
 def harmonized_scores(scans: DataFrame, y: str, protocol: str, dataset: str, features: str,
@@ -53,7 +51,7 @@ def harmonized_scores(scans: DataFrame, y: str, protocol: str, dataset: str, fea
     """
     folds = sorted(r["fold"] for r in scans.select("fold").distinct().collect())
     references = tangent.reference_matrices(scans, "matrix", "fold", metric) if features == "tangent" else {}
-    blocks, tests = None, None
+    trains, tests = None, None
     for fold in folds:
         if features == "tangent":
             rows = tangent.tangent_features(scans, references[fold])
@@ -61,11 +59,10 @@ def harmonized_scores(scans: DataFrame, y: str, protocol: str, dataset: str, fea
             rows = _corrvec(scans)
         train, test, _ = harmonize.harmonize_folds(
             rows.where(F.col("fold") != fold), rows.where(F.col("fold") == fold), protocol, dataset, covariate=y)
-        part = ridge.fold_blocks(train, ["inner"], y=y).withColumn("outer", F.lit(fold))
-        blocks = part if blocks is None else blocks.unionByName(part)
+        part = train.select("inner", "features", y, F.lit(fold).alias("outer"))
+        trains = part if trains is None else trains.unionByName(part)
         tests = test if tests is None else tests.unionByName(test)
-    fitted = ridge.fit_train_blocks(blocks, "outer", "inner")
-    return ridge.predict(tests, ridge.model_frame(tests, "fold", fitted))
+    return ridge.predict(tests, ridge_tiles.tuned_models(trains, "outer", "inner", own_training=True, y=y))
 
 
 def scored(predictions: DataFrame, y: str, protocol: str) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from cohortloom.functions import registry
 from cohortloom.functions.scalars import fixed
-from cohortloom.operators import harmonize, metrics, ridge
+from cohortloom.operators import harmonize, metrics, ridge, ridge_tiles
 from cohortloom.plans.register import query
 from cohortloom.sources.standins import table
 
@@ -90,12 +90,9 @@ SELECT fold, alpha, round(score, 4) + 0.0 AS inner_score, round((sy - wa * sa -
   round(wa, 6) + 0.0 AS w0, round(wb, 6) + 0.0 AS w1 FROM fit""")
 def ridge_grouped_tuning(spark: SparkSession, folder: str) -> DataFrame:
     rows = two_feature_rows(spark, folder)
-    fitted = ridge.fit_folds(ridge.fold_blocks(rows, ["fold", "inner"]), "fold", "inner")
-    table_ = spark.createDataFrame(
-        [(f, a, min(s), c) for f, a, c, s in fitted], "fold string, alpha double, score double, coef array<double>")
-    return table_.select("fold", "alpha", fixed("score", 4).alias("inner_score"),
-                         fixed(F.col("coef")[0], 5).alias("intercept"), fixed(F.col("coef")[1]).alias("w0"),
-                         fixed(F.col("coef")[2]).alias("w1"))
+    return ridge_tiles.tuned_models(rows, "fold", "inner").select(
+        "fold", "alpha", fixed("score", 4).alias("inner_score"), fixed(F.col("coef")[0], 5).alias("intercept"),
+        fixed(F.col("coef")[1]).alias("w0"), fixed(F.col("coef")[2]).alias("w1"))
 
 
 @query()
@@ -105,10 +102,8 @@ def ridge_many_features(spark: SparkSession, folder: str) -> DataFrame:
         F.concat(F.lit("TEST_"), F.col("label") % 5).alias("fold"), ridge.inner_fold("vec_id").alias("inner"),
         F.col("embedding")[0].cast("double").alias("y"),
         F.transform(F.slice("embedding", 2, 63), lambda x: x.cast("double")).alias("features"))
-    fitted = ridge.fit_folds(ridge.fold_blocks(rows, ["fold", "inner"]), "fold", "inner")
-    scored = metrics.regression_metrics(
-        ridge.predict(rows, ridge.model_frame(rows, "fold", fitted)), ["fold"], names=registry.LODO_METRICS)
-    return scored
+    models = ridge_tiles.tuned_models(rows, "fold", "inner")
+    return metrics.regression_metrics(ridge.predict(rows, models), ["fold"], names=registry.LODO_METRICS)
 
 
 # ---- harmonization: 64 features, site = label, covariate from the vector id

@@ -2,7 +2,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from cohortloom.operators import connectome, harmonize, ridge, signals, sums, tangent
+from cohortloom.functions import registry
+from cohortloom.operators import connectome, harmonize, ridge, ridge_tiles, signals, sums, tangent
 
 RNG = np.random.default_rng(0)
 
@@ -284,6 +285,38 @@ def test_more_sites_than_the_old_design_bound(spark):
     assert model.parameters.select("site").distinct().count() == 3500
 
 
+@pytest.mark.parametrize("n, d", [(40, 4950), (400, 300)])
+def test_tuned_ridge_of_any_width_matches_numpy(spark, n, d):
+    draw = np.random.default_rng(d)
+    x = draw.normal(size=(n, d))
+    y = x[:, :5] @ np.arange(1.0, 6.0) + draw.normal(size=n) + 50
+    fold, inner = np.arange(n) % 3, np.arange(n) % 4
+    df = spark.createDataFrame(
+        [(f"F{f}", int(i), float(t), v.tolist()) for f, i, t, v in zip(fold, inner, y, x)],
+        "fold string, inner int, y double, features array<double>")
+    found = {r["fold"]: r for r in ridge_tiles.tuned_models(df, "fold", "inner").collect()}
+
+    def fit(at, alpha):
+        mean = x[at].mean(axis=0)
+        c, t = x[at] - mean, y[at] - y[at].mean()
+        w = c.T @ np.linalg.solve(c @ c.T + alpha * np.eye(len(c)), t)
+        return y[at].mean() - mean @ w, w
+
+    for f in range(3):
+        scores = []
+        for alpha in registry.RIDGE_ALPHAS:
+            parts = []
+            for i in range(4):
+                b, w = fit((fold != f) & (inner != i), alpha)
+                at = (fold != f) & (inner == i)
+                parts.append(((y[at] - b - x[at] @ w) ** 2).mean())
+            scores.append(np.mean(parts))
+        row = found[f"F{f}"]
+        assert np.allclose(row["scores"], scores, rtol=1e-4) and row["alpha"] == registry.RIDGE_ALPHAS[int(np.argmin(scores))]
+        b, w = fit(fold != f, row["alpha"])
+        assert np.allclose(row["coef"], np.concatenate([[b], w]), atol=1e-5)
+
+
 def test_confound_residuals_match_lstsq(spark):
     x = {s: (RNG.normal(size=(20 + s, 2)), RNG.normal(size=(20 + s, 3))) for s in range(3)}
     rows = [(s, t, c[t].tolist(), y[t].tolist()) for s, (c, y) in x.items() for t in range(len(c))]
