@@ -157,7 +157,10 @@ def vector_contract(spark: SparkSession, folder: str) -> DataFrame:
     return connectome.vector_problems(rows, "event_id", ["value"], ["event_type"])
 
 
-@query()
+@query("""WITH s AS (SELECT DISTINCT user_id AS scan_id FROM events)
+SELECT scan_id, 'target' AS column_name, 'not_finite' AS problem FROM s WHERE scan_id % 7 = 0
+UNION ALL SELECT scan_id, 'dataset', 'missing_label' FROM s WHERE scan_id % 11 = 0
+UNION ALL SELECT scan_id, 'matrix', 'not_positive_definite' FROM s WHERE scan_id % 13 = 0""")
 def whole_contract(spark: SparkSession, folder: str) -> DataFrame:
     cells = connectome.scan_matrices(event_cells(spark, folder))
     tagged = cells.withColumns({

@@ -166,16 +166,18 @@ def combat_standardized(spark: SparkSession, folder: str) -> DataFrame:
                          fixed((z - F.col("shift")) / F.sqrt("spread"), 5).alias("z"))
 
 
-@query(f"""WITH RECURSIVE {EB_SQL} SELECT z.scan_id, z.feature, round(scale * (z - shift) / sqrt(spread) + grand + b * age, 6) + 0.0 AS value
-FROM z JOIN eb USING (site, feature)""")
+APPLIED_SQL = f"""WITH RECURSIVE {EB_SQL} SELECT z.scan_id, z.feature, round(scale * (z - shift) / sqrt(spread) + grand + b * age, 6) + 0.0 AS value
+FROM z JOIN eb USING (site, feature)"""
+
+
+@query(APPLIED_SQL)
 def combat_apply(spark: SparkSession, folder: str) -> DataFrame:
     done = harmonize.apply(feature_rows(spark, folder), linear_model(spark, folder))
     return done.select("scan_id", F.posexplode("features").alias("feature", "v")).select(
         "scan_id", F.col("feature").cast("bigint").alias("feature"), fixed("v").alias("value"))
 
 
-@query(f"""WITH RECURSIVE {EB_SQL} SELECT z.scan_id, z.feature, round(scale * (z - shift) / sqrt(spread) + grand + b * age, 6) + 0.0 AS value
-FROM z JOIN eb USING (site, feature)""")
+@query(APPLIED_SQL)
 def combat_apply_long(spark: SparkSession, folder: str) -> DataFrame:
     rows = feature_rows(spark, folder).select("scan_id", "site", "age", F.posexplode("features").alias("feature", "value"))
     done = harmonize.apply_long(rows, linear_model(spark, folder))

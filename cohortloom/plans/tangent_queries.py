@@ -9,6 +9,7 @@ from cohortloom.functions.scalars import fixed
 from cohortloom.operators import connectome, harmonize, tangent
 from cohortloom.plans import benchmark
 from cohortloom.plans.matrix_queries import EVENT_PAIRS, event_cells
+from cohortloom.plans.model_queries import APPLIED_SQL, feature_rows, linear_model
 from cohortloom.plans.register import query
 from cohortloom.sources.standins import event_series, table
 
@@ -152,11 +153,11 @@ def harmonized_matrices(spark: SparkSession, folder: str) -> DataFrame:
     return tangent.harmonized_matrices(rows.where(~is_test), rows.where(is_test), "kfold", "dataset", kind="linear")
 
 
-@query()
+@query(APPLIED_SQL)
 def reused_result(spark: SparkSession, folder: str) -> DataFrame:
-    """Harmonized features under their content signature: computed once, then read back."""
-    from cohortloom.plans.model_queries import feature_rows
-
+    """Harmonized features under the signature of all their input: computed once, then read back."""
     rows = feature_rows(spark, folder)
-    return harmonize.reuse_or_compute(
-        rows, None, "eb=1;kind=linear", lambda: harmonize.apply(rows, harmonize.fit(rows, "site", kind="linear")))
+    done = harmonize.reuse_or_compute(
+        rows, None, "eb=1;kind=linear;tolerance=1e-12", lambda: harmonize.apply(rows, linear_model(spark, folder)))
+    return done.select("scan_id", F.posexplode("features").alias("feature", "v")).select(
+        "scan_id", F.col("feature").cast("bigint").alias("feature"), fixed("v").alias("value"))
