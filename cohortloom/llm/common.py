@@ -105,25 +105,6 @@ def lists(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return column.flatten().to_numpy(zero_copy_only=False), starts
 
 
-def runs(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
-    """Consecutive rows with one key, from batches that are sorted by it. Holds one run at a time."""
-    held: list[pa.RecordBatch] = []
-    last = None
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        keys = batch.column(key).to_numpy(zero_copy_only=False)
-        cuts = [0, *(np.flatnonzero(keys[1:] != keys[:-1]) + 1), len(keys)]
-        for a, b in zip(cuts, cuts[1:]):
-            if held and keys[a] != last:
-                yield pa.Table.from_batches(held)
-                held = []
-            held.append(batch.slice(a, b - a))
-            last = keys[a]
-    if held:
-        yield pa.Table.from_batches(held)
-
-
 def texts(column: pa.Array) -> list[str]:
     """Texts of a batch, null as empty."""
     return [x if x is not None else "" for x in column.to_pylist()]

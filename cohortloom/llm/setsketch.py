@@ -12,9 +12,9 @@ is the maximum of the registers, and two registers agree about as often as the s
    of the overlap lies six standard errors below the threshold are dropped, the others are confirmed on the
    full sets, and components are formed.
 4. Buckets that still hold several components are searched in blocks: each member outside the bucket's
-   main component against all of the bucket. Only pairs with a sufficient estimate leave a block, once
-   each; they are confirmed as before. So each pair in a common bucket is either already connected or tested,
-   and a large group of near copies costs links to its hubs, not all pairs.
+   main component against all of the bucket. Small buckets name pairs with a sufficient estimate, once each,
+   that are confirmed as before; blocks of larger ones carry the sets and name links only. So each pair in a common
+   bucket is either already connected or tested, and a large group of near copies costs links to its hubs.
 
 Links use 64-bit hashes of word runs. Null and empty texts have the empty set. Rows with equal ids are rows
 of their own: each gets its set's component. A null id never names a component unless all its ids are null.
@@ -37,8 +37,10 @@ from cohortloom.llm import common, graphs
 from cohortloom.session import cut_lineage
 
 WHITE = " \\t-\\r"
-#: Members of a bucket that meet in one task of the block search, on either side.
+#: Members of a bucket that meet in one block of the block search, on either side.
 BLOCK = 256
+#: Buckets up to this size name plausible pairs instead of shipping their members' sets.
+SMALL = 16
 
 
 @dataclass(frozen=True)
@@ -189,37 +191,112 @@ def _plausible(sketch: Sketch, floor: float):
 
 
 def _blocks(sketch: Sketch, floor: float, similarity: tuple[int, int]):
-    """Pairs of different components inside a block, each in the first band the two share."""
-    num, den = similarity
+    """Pairs of different components inside blocks, each in the first band the two share.
+
+    Blocks of small buckets name plausible pairs. Blocks of others carry the full sets, confirm their pairs
+    themselves and name only links, one for components that others have joined already.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for unit in common.runs(batches, "unit"):
-            band = unit.column("band")[0].as_py()
-            outside = unit.column("outside").to_numpy()
-            regs = _matrix(unit.column("regs").combine_chunks(), sketch)
-            node, comp, n, minor = (unit.column(c).to_numpy() for c in ("node", "comp", "n", "minor"))
-            asked, others = np.flatnonzero(outside), np.flatnonzero(~outside)
-            pairs: list[np.ndarray] = []
-            for x in asked:
-                ok = (comp[others] != comp[x]) & (den * np.minimum(n[others], n[x]) >= num * np.maximum(n[others], n[x]))
-                ok &= ~minor[others] | (node[others] > node[x])  # two outsiders meet twice
-                y = others[ok]
-                if not len(y):
-                    continue
-                same = regs[y] == regs[x]
-                first = same.reshape(len(y), sketch.bands, sketch.rows).all(axis=2).argmax(axis=1)
-                above, equal = (regs[x] > regs[y]).sum(axis=1), same.sum(axis=1)
-                found = estimate(above, sketch.size - above - equal, equal, np.full(len(y), float(n[x])),
-                                 n[y].astype(np.float64), sketch.base)
-                y = y[(first == band) & (found >= floor)]
-                pairs.append(np.stack([np.minimum(node[y], node[x]), np.maximum(node[y], node[x])]))
-            if pairs:
-                a, b = np.concatenate(pairs, axis=1)
-                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            held.append(batch)
+            units = batch.column("unit").to_numpy()
+            if units[0] == units[-1] and (len(held) == 1 or held[0].column("unit")[0].as_py() == units[0]):
+                continue  # all of it may belong to a block that goes on
+            table = pa.Table.from_batches(held).combine_chunks()
+            units = table.column("unit").to_numpy()
+            last = int(np.flatnonzero(units != units[-1])[-1]) + 1
+            yield from _searched(table.slice(0, last), sketch, floor, similarity)
+            held = table.slice(last).to_batches()
+        if held:
+            yield from _searched(pa.Table.from_batches(held), sketch, floor, similarity)
 
     return run
 
 
+def _searched(table: pa.Table, sketch: Sketch, floor: float, similarity: tuple[int, int]) -> Iterator[pa.RecordBatch]:
+    """Results of whole blocks that lie one after another."""
+    num, den = similarity
+    unit, band, node, comp, n, minor, outside, large = (
+        table.column(c).to_numpy() for c in ("unit", "band", "node", "comp", "n", "minor", "outside", "large"))
+    regs = _matrix(table.column("regs").combine_chunks(), sketch)
+    cuts = np.concatenate([[0], np.flatnonzero(unit[1:] != unit[:-1]) + 1, [len(unit)]])
+    small: list[np.ndarray] = []
+
+    def plausible(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        ok = (comp[x] != comp[y]) & (den * np.minimum(n[x], n[y]) >= num * np.maximum(n[x], n[y]))
+        ok &= ~minor[y] | (node[y] > node[x])  # two outsiders meet twice
+        x, y = x[ok], y[ok]
+        keep = []
+        for at in range(0, len(x), 8_192):
+            p, q = x[at:at + 8_192], y[at:at + 8_192]
+            same = regs[p] == regs[q]
+            equal = same.sum(axis=1)
+            # far fewer equal registers than the floor asks for rule a pair out before the likelihood does
+            likely = np.flatnonzero(equal >= (floor - 0.05) * sketch.size)
+            p, q, same, equal = p[likely], q[likely], same[likely], equal[likely]
+            first = same.reshape(len(p), sketch.bands, sketch.rows).all(axis=2).argmax(axis=1)
+            above = (regs[p] > regs[q]).sum(axis=1)
+            found = estimate(above, sketch.size - above - equal, equal, n[p].astype(np.float64), n[q].astype(np.float64),
+                             sketch.base)
+            keep.append(np.stack([p, q])[:, (first == band[p]) & (found >= floor)])
+        return np.concatenate(keep, axis=1) if keep else np.zeros((2, 0), dtype=np.int64)
+
+    for a, b in zip(cuts, cuts[1:]):
+        asked, others = a + np.flatnonzero(outside[a:b]), a + np.flatnonzero(~outside[a:b])
+        pairs = np.stack([np.repeat(asked, len(others)), np.tile(others, len(asked))])
+        if not large[a]:
+            small.append(pairs)
+            continue
+        links = _linked(plausible(*pairs), table.column("members"), comp, num, den)
+        if links:
+            yield _pairs(node, np.array(links).T, True)
+    if small:
+        x, y = np.concatenate(small, axis=1)
+        yield _pairs(node, plausible(x, y), False)
+
+
+def _linked(pairs: np.ndarray, members: pa.ChunkedArray, comp: np.ndarray, num: int, den: int) -> list[tuple[int, int]]:
+    """Pairs whose full sets reach the threshold; components that are joined on the way are not asked again."""
+    parent: dict[int, int] = {}
+
+    def root(c: int) -> int:
+        while c in parent:
+            c = parent[c]
+        return c
+
+    found = []
+    sets = {int(i): np.sort(members[int(i)].values.to_numpy()) for i in np.unique(pairs)}
+    for x in np.unique(pairs[0]):
+        rest = pairs[1][pairs[0] == x]
+        while len(rest):
+            rest = rest[np.array([root(int(c)) != root(int(comp[x])) for c in comp[rest]])]
+            part, rest = rest[:32], rest[32:]
+            if not len(part):
+                break
+            flat = np.concatenate([sets[int(y)] for y in part])
+            sizes = np.array([len(sets[int(y)]) for y in part])
+            own = sets[int(x)]
+            at = np.minimum(np.searchsorted(own, flat), len(own) - 1)
+            both = np.add.reduceat((own[at] == flat).astype(np.int64), np.cumsum(sizes) - sizes)
+            for y in part[den * both >= num * (len(own) + sizes - both)]:
+                r, s = root(int(comp[x])), root(int(comp[y]))
+                if r != s:
+                    parent[r] = s
+                    found.append((int(x), int(y)))
+    return found
+
+
+def _pairs(node: np.ndarray, at: np.ndarray, confirmed: bool) -> pa.RecordBatch:
+    x, y = node[at[0]], node[at[1]]
+    return pa.RecordBatch.from_arrays(
+        [pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y)), pa.array(np.full(len(x), confirmed))],
+        names=["a", "b", "confirmed"])
+
+
 def _typed(df: DataFrame, **more: T.DataType) -> T.StructType:
     return T.StructType([*df.schema.fields, *[T.StructField(n, t) for n, t in more.items()]])
 
@@ -256,9 +333,10 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
     full = cut_lineage(_full_sets(docs, members, id_column, text_column, k))
     links = cut_lineage(_confirmed(first, full, similarity))
     joined = graphs.components(links)
-    open_pairs = _block_search(shared, joined, classes, sketch, floor, similarity)
-    more = cut_lineage(_confirmed(open_pairs, full, similarity))
-    joined = cut_lineage(graphs.components(links.union(more)))
+    met = cut_lineage(_block_search(shared, joined, classes, full, sketch, floor, similarity))
+    more = _confirmed(met.where("NOT confirmed").select("a", "b"), full, similarity)
+    joined = cut_lineage(graphs.components(
+        joined.selectExpr("node AS a", "component AS b").union(more).union(met.where("confirmed").select("a", "b"))))
     return _labelled(rows, classes, joined)
 
 
@@ -301,20 +379,24 @@ def _confirmed(pairs: DataFrame, full: DataFrame, similarity: tuple[int, int]) -
     return both.withColumn("_i", common_size).where(den * F.col("_i").cast("bigint") >= num * union.cast("bigint")).select("a", "b")
 
 
-def _block_search(shared: DataFrame, joined: DataFrame, classes: DataFrame, sketch: Sketch, floor: float,
-                  similarity: tuple[int, int]) -> DataFrame:
-    """Plausible pairs across components in buckets that hold several."""
+def _block_search(shared: DataFrame, joined: DataFrame, classes: DataFrame, full: DataFrame, sketch: Sketch,
+                  floor: float, similarity: tuple[int, int]) -> DataFrame:
+    """(a, b, confirmed): pairs across components in buckets that hold several."""
     labelled = shared.select("key", "band", "node").join(joined, "node", "left").select(
         "key", "band", "node", F.coalesce("component", "node").alias("comp"))
     sizes = labelled.groupBy("key", "comp").agg(F.count("*").alias("c"))
     several = (sizes.groupBy("key").agg(F.sum("c").alias("total"), F.count("*").alias("comps"),
                                         F.max_by("comp", F.struct("c", "comp")).alias("main"), F.max("c").alias("c"))
-               .where("comps > 1").select("key", "main",
+               .where("comps > 1").select("key", "main", (F.col("total") > SMALL).alias("large"),
                                           F.ceil(F.col("total") / BLOCK).cast("bigint").alias("all_blocks"),
                                           F.ceil((F.col("total") - F.col("c")) / BLOCK).cast("bigint").alias("out_blocks")))
-    found = labelled.join(several, "key").join(classes.select("node", "n", "regs"), "node")
+    found = cut_lineage(labelled.join(several, "key"))
+    about = classes.select("node", "n", "regs")
+    none = F.lit(None).cast("array<bigint>").alias("members")
+    found = found.where("NOT large").join(about, "node").select("*", none).unionByName(
+        found.where("large").join(about.join(full, "node"), "node"))
     found = found.withColumn("minor", F.col("comp") != F.col("main")).withColumn("_h", F.xxhash64(F.lit(7), "node"))
-    columns = ["band", "node", "comp", "n", "minor", "regs"]
+    columns = ["band", "node", "comp", "n", "minor", "large", "regs", "members"]
     outside = found.where("minor").select(
         "key", F.expr("pmod(_h, out_blocks)").alias("i"), F.explode(F.expr("sequence(0, all_blocks - 1)")).alias("j"),
         *columns, F.lit(True).alias("outside"))
@@ -323,7 +405,7 @@ def _block_search(shared: DataFrame, joined: DataFrame, classes: DataFrame, sket
         F.expr("pmod(_h, all_blocks)").alias("j"), *columns, F.lit(False).alias("outside"))
     units = outside.unionByName(everyone).select(F.xxhash64("key", "i", "j").alias("unit"), *columns, "outside")
     return (units.repartition("unit").sortWithinPartitions("unit")
-            .mapInArrow(_blocks(sketch, floor, similarity), "a bigint, b bigint").distinct())
+            .mapInArrow(_blocks(sketch, floor, similarity), "a bigint, b bigint, confirmed boolean").distinct())
 
 
 def _labelled(rows: DataFrame, classes: DataFrame, joined: DataFrame) -> DataFrame:
