@@ -22,16 +22,24 @@ class Automaton:
 
     states: list[State]
 
+    def __post_init__(self):
+        self.alphabet = {symbol for state in self.states for symbol in state.counts}
+        #: Where a state goes with a symbol it has not seen: the way most examples take.
+        self.usual = [s.next[max(s.counts, key=lambda c: (s.counts[c], c))] if s.counts else None for s in self.states]
+
     def log2_likelihood(self, text: str) -> float | None:
-        """log2 of the probability of a string and its end; None if no example takes this way."""
+        """log2 of the probability of a string and its end.
+
+        Symbols and ends that a state has not seen are rare, not impossible. None if the string holds a symbol no
+        example has, or goes on where all examples end.
+        """
         total, at = 0.0, 0
         for symbol in text:
             state = self.states[at]
-            if symbol not in state.next:
+            if symbol not in self.alphabet or self.usual[at] is None:
                 return None
-            total += math.log2(state.counts[symbol] / state.visits)
-            at = state.next[symbol]
-        # ends are smoothed: a length that no example has is rare, not impossible
+            total += math.log2(state.counts.get(symbol, 0.5) / (state.visits + 1))
+            at = state.next.get(symbol, self.usual[at])
         return total + math.log2((self.states[at].stops + 0.5) / (self.states[at].visits + 1))
 
 
