@@ -11,6 +11,7 @@ from cohortloom.functions import registry
 from cohortloom.functions.scalars import missing_if_not_finite, order_of
 from cohortloom.operators.ranking import with_running_total
 from cohortloom.session import cut_lineage
+from cohortloom.sizing import join_small
 
 
 def _varies(low: Column, high: Column) -> Column:
@@ -61,6 +62,16 @@ def spearman(rows: DataFrame, keys: Sequence[str], y: str = "y", yhat: str = "yh
     # read four times below, so written once
     pairs = cut_lineage(used.groupBy(*keys, "_t", "_p").agg(F.count("*").alias("_c")))
     whole = pairs.where("_t IS NOT NULL AND _p IS NOT NULL")
+    both = F.col("_t").isNotNull() & F.col("_p").isNotNull()
+    limits = cut_lineage(pairs.groupBy(*keys).agg(
+        F.sum("_c").alias("_all"), F.sum(F.when(both, F.col("_c"))).alias("_n"),
+        *[F.min(F.when(both, F.col(c))).alias(f"_lo{c}") for c in ("_t", "_p")],
+        *[F.max(F.when(both, F.col(c))).alias(f"_hi{c}") for c in ("_t", "_p")]))
+    fine = F.coalesce(
+        (F.col("_all") >= 2) & (F.col("_n") == F.col("_all"))
+        & _varies(F.col("_lo_t"), F.col("_hi_t")) & _varies(F.col("_lo_p"), F.col("_hi_p")), F.lit(False))
+    # groups with a constant side have no rank correlation, and their one value would be one key below
+    whole = join_small(whole, limits.where(fine).select(*keys), list(keys))
     # both sides are ranked in one pass over (side, value) counts
     sides = F.array(*[F.struct(F.lit(s).alias("side"), F.col(s).alias("v")) for s in ("_t", "_p")])
     counts = (
@@ -77,18 +88,10 @@ def spearman(rows: DataFrame, keys: Sequence[str], y: str = "y", yhat: str = "yh
     middle = (F.col("_n_t") + 1) / 2.0
     a, b = F.col("_r_t") - middle, F.col("_r_p") - middle
     sums = joined.groupBy(*keys).agg(
-        F.sum("_c").alias("_n"),
         F.sum(F.col("_c") * a * b).alias("_ab"), F.sum(F.col("_c") * a * a).alias("_aa"),
-        F.sum(F.col("_c") * b * b).alias("_bb"),
-        *[F.min(c).alias(f"_lo{c}") for c in ("_t", "_p")], *[F.max(c).alias(f"_hi{c}") for c in ("_t", "_p")])
-    everyone = pairs.groupBy(*keys).agg(F.sum("_c").alias("_all"))
-    fine = (
-        (F.col("_all") >= 2) & (F.col("_n") == F.col("_all"))
-        & _varies(F.col("_lo_t"), F.col("_hi_t")) & _varies(F.col("_lo_p"), F.col("_hi_p"))
-    )
-    return everyone.join(sums, list(keys), "left").select(
-        *keys,
-        F.when(fine, F.try_divide("_ab", F.sqrt("_aa") * F.sqrt("_bb"))).alias("Spearman_rho"))
+        F.sum(F.col("_c") * b * b).alias("_bb"))
+    return limits.select(*keys).join(sums, list(keys), "left").select(
+        *keys, F.try_divide("_ab", F.sqrt("_aa") * F.sqrt("_bb")).alias("Spearman_rho"))
 
 
 def regression_metrics(rows: DataFrame, keys: Sequence[str], y: str = "y", yhat: str = "yhat",

@@ -81,9 +81,13 @@ def fold_metrics(spark: SparkSession, folder: str, names: list[str] = registry.M
         F.when(grouped, "GKF5").otherwise("LODO").alias("protocol"),
         F.when(grouped, F.concat(F.lit("R"), F.col("subject_id") % 5 + 1))
         .otherwise(F.concat(F.lit("TEST_"), F.col("dataset"))).alias("fold"), "y", "yhat")
-    table = metrics.regression_metrics(rows, ["protocol", "fold"], names=names)
-    long = metrics.metric_long(table, ["protocol", "fold"], names)
-    return metrics.select_protocol_metrics(long.withColumn("value", fixed("value")))
+    keys, long = ["protocol", "fold"], None
+    for protocol in ("GKF5", "LODO"):  # grouped K-fold keeps no rank metric, so none is computed for it
+        kept = [m for m in names if m in metrics.protocol_metrics(protocol)]
+        table = metrics.regression_metrics(rows.where(F.col("protocol") == protocol), keys, names=kept)
+        part = metrics.metric_long(table, keys, kept)
+        long = part if long is None else long.unionByName(part)
+    return long.withColumn("value", fixed("value"))
 
 
 @query(f"WITH {FOLD_METRICS_SQL} SELECT protocol, fold, metric, value FROM kept")
@@ -150,8 +154,10 @@ def run_rows(spark: SparkSession, folder: str) -> DataFrame:
         fold.alias("fold"), "y", "yhat")
 
 
-def archive(spark: SparkSession, folder: str, names: list[str] = ARCHIVE_METRICS) -> DataFrame:
-    table = metrics.regression_metrics(run_rows(spark, folder), ["file_name", "fold"], names=names)
+def archive(spark: SparkSession, folder: str, names: list[str] = ARCHIVE_METRICS, experiment: str = "") -> DataFrame:
+    """Metric rows of the files, of one experiment if one is named."""
+    rows = run_rows(spark, folder).where(F.col("file_name").contains(experiment))
+    table = metrics.regression_metrics(rows, ["file_name", "fold"], names=names)
     long = metrics.metric_long(table, ["file_name", "fold"], names)
     position = F.when(F.col("fold").startswith("R"), F.expr("substring(fold, 2)")).otherwise(
         F.translate(F.expr("substring(fold, 6)"), "ANR", "123"))
@@ -306,7 +312,7 @@ LODO_ALL_SQL = f"""{ARCHIVE_SQL} SELECT file_name, run_time, substr(fold, 6) AS
 
 @query(f"WITH {LODO_ALL_SQL}")
 def lodo_long(spark: SparkSession, folder: str) -> DataFrame:
-    return results.lodo_long(archive(spark, folder))
+    return results.lodo_long(archive(spark, folder, experiment="LODO"))
 
 
 def _wide_sql() -> str:
@@ -319,7 +325,7 @@ def _wide_sql() -> str:
 
 @query(_wide_sql())
 def lodo_wide(spark: SparkSession, folder: str) -> DataFrame:
-    return results.lodo_wide(results.newest_lodo(results.lodo_long(archive(spark, folder))))
+    return results.lodo_wide(results.newest_lodo(results.lodo_long(archive(spark, folder, experiment="LODO"))))
 
 
 def _best_sql(score: str) -> str:
@@ -334,7 +340,7 @@ def _best_sql(score: str) -> str:
   {_best_sql('-abs(age_bias_slope)')} AS largest_abs_age_bias_slope_model,
   arg_max(age_bias_slope, abs(age_bias_slope)) AS largest_abs_age_bias_slope FROM long GROUP BY held_out_dataset""")
 def lodo_extrema(spark: SparkSession, folder: str) -> DataFrame:
-    return results.lodo_extrema(results.newest_lodo(results.lodo_long(archive(spark, folder))))
+    return results.lodo_extrema(results.newest_lodo(results.lodo_long(archive(spark, folder, experiment="LODO"))))
 
 
 # ---- single-cohort and ablation archives (MAE only, no ranks needed)
