@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from cohortloom.functions import registry
 from cohortloom.functions.scalars import col_of, fixed, lookup, order_of, seeded_key
@@ -116,31 +119,41 @@ def density(rows: DataFrame, value: str, dataset: str = "dataset",
             scale: float = registry.DENSITY_SCALE) -> DataFrame:
     """Gaussian kernel density per cohort on an even grid between its clipped extremes.
 
-    Exact over all values: equal values are merged first, each distinct value then adds to the grid
-    points of its own cohort, and the sums are combined before the shuffle, which carries at most
-    ``points`` rows per cohort and task.
+    Exact over all values: equal values are merged first, each task adds the kernels of its distinct values to the
+    grids of their cohorts, and only those sums, ``points`` rows per cohort and task, are shuffled.
     """
-    counts = rows.where(F.col(value).isNotNull()).groupBy(dataset, value).agg(F.count("*").alias("_w"))
-    n, s1, s2 = F.sum("_w"), F.sum(F.col("_w") * F.col(value)), F.sum(F.col("_w") * F.col(value) ** 2)
-    shape = counts.groupBy(dataset).agg(
-        n.alias("_n"), F.min(value).alias("_lo"), F.max(value).alias("_hi"),
-        s1.alias("_s1"), s2.alias("_s2"))
-    spread = F.sqrt((F.col("_s2") - F.col("_s1") ** 2 / F.col("_n")) / (F.col("_n") - 1))
-    start = F.greatest(F.col("_lo"), F.lit(clip[0]))
-    end = F.least(F.col("_hi"), F.lit(clip[1]))
+    clean = rows.where(F.col(value).isNotNull()).select(dataset, F.col(value).cast("double").alias("_v"))
+    counts = clean.groupBy(dataset, "_v").agg(F.count("*").alias("_w"))
+    shape = clean.groupBy(dataset).agg(
+        F.count("*").alias("_n"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.stddev_samp("_v").alias("_sd"))
+    start, end = F.greatest(F.col("_lo"), F.lit(clip[0])), F.least(F.col("_hi"), F.lit(clip[1]))
     shape = shape.where("_n > 1").select(
-        dataset, "_n", (spread * F.pow("_n", F.lit(-0.2)) * factor).alias("_h"), start.alias("_start"),
+        dataset, "_n", (F.col("_sd") * F.pow("_n", F.lit(-0.2)) * factor).alias("_h"), start.alias("_start"),
         ((end - start) / (points - 1)).alias("_step")).where("_h > 0")
-    grid = F.explode(F.sequence(F.lit(0), F.lit(points - 1))).alias("point")
-    at = F.col("_start") + F.col("point") * F.col("_step")
-    u = (at - F.col(value)) / F.col("_h")
-    weight = F.lit(scale) / (F.col("_n") * F.col("_h") * F.sqrt(F.lit(2.0) * F.pi()))
+    placed = join_small(counts, shape, dataset).select(dataset, "_v", "_w", "_n", "_h", "_start", "_step")
+    out = T.StructType([placed.schema[dataset], T.StructField("point", T.LongType()), T.StructField("x", T.DoubleType()),
+                        T.StructField("d", T.DoubleType())])
+
+    def add_up(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        grids: dict[object, tuple[np.ndarray, np.ndarray]] = {}
+        for batch in batches:
+            for key, part in batch.groupby(dataset, dropna=False):
+                first = part.iloc[0]
+                if key not in grids:
+                    grids[key] = (first["_start"] + np.arange(points) * first["_step"], np.zeros(points))
+                x, total = grids[key]
+                v, w = part["_v"].to_numpy(), part["_w"].to_numpy(dtype=float)
+                for at in range(0, len(v), 2_048):
+                    u = (x[:, None] - v[None, at:at + 2_048]) / first["_h"]
+                    total += np.exp(-u * u / 2.0) @ w[at:at + 2_048] * (
+                        scale / (first["_n"] * first["_h"] * np.sqrt(2.0 * np.pi)))
+        for key, (x, total) in grids.items():
+            yield pd.DataFrame({dataset: [key] * points, "point": np.arange(points), "x": x, "d": total})
+
     return (
-        join_small(counts, shape, dataset).select("*", grid)
-        .groupBy(dataset, "point")
-        .agg(F.first(at).alias("x"), (F.sum(F.col("_w") * F.exp(-u * u / 2.0) * weight)).alias("d"))
-        .select(F.col(dataset).alias("dataset"), F.col("point").cast("bigint").alias("point"),
-                fixed("x").alias("x"), fixed("d").alias("density"))
+        placed.mapInPandas(add_up, out).groupBy(F.col(dataset).alias("dataset"), "point")
+        .agg(F.first("x").alias("x"), F.sum("d").alias("d"))
+        .select("dataset", "point", fixed("x").alias("x"), fixed("d").alias("density"))
     )
 
 
