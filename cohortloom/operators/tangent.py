@@ -91,8 +91,8 @@ def reference_matrices(matrices: DataFrame, matrix: str = "matrix", fold: str |
                        metric: str = "riemann", tolerance: float = 1e-8, max_steps: int = 50) -> dict:
     """Mean matrix of each fold's training rows (all rows outside the fold); key None without folds.
 
-    ``riemann`` is the geometric mean by fixed-point steps, one job per step for all folds together;
-    ``logeuclid`` takes one pass. The driver only ever holds regions x regions sums.
+    ``logeuclid`` takes one pass. ``riemann`` is the geometric mean by fixed-point steps from there, one job per step
+    for all folds together; a fold that does not converge is an error. The driver only ever holds regions x regions sums.
     """
     columns = [matrix] if fold is None else [matrix, fold]
     rows = cut_lineage(matrices.select(*columns))  # read again at every step
@@ -103,13 +103,12 @@ def reference_matrices(matrices: DataFrame, matrix: str = "matrix", fold: str |
     labels = [None]
     if fold is not None:
         labels = sorted(r[fold] for r in rows.select(fold).distinct().collect())
-    if metric == "logeuclid":
-        sums = _summed(rows, matrix, fold, labels, lambda k, x: spectral(x, np.log), size)
-        return {labels[k]: spectral((s / n)[None], np.exp)[0] for k, (s, n) in sums.items()}
-    if metric != "riemann":
+    if metric not in ("logeuclid", "riemann"):
         raise ValueError(f"unknown metric {metric!r}")
-    sums = _summed(rows, matrix, fold, labels, lambda k, x: x, size)
-    means = {k: s / n for k, (s, n) in sums.items()}
+    sums = _summed(rows, matrix, fold, labels, lambda k, x: spectral(x, np.log), size)
+    means = {k: spectral((s / n)[None], np.exp)[0] for k, (s, n) in sums.items()}
+    if metric == "logeuclid":
+        return {labels[k]: m for k, m in means.items()}
     steps, norms, open_ = {k: 1.0 for k in means}, {k: np.inf for k in means}, set(means)
     for _ in range(max_steps):
         whiteners = {k: _whitener(means[k]) for k in open_}
