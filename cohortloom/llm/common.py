@@ -7,6 +7,7 @@ input never clash with internal ones.
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -105,6 +106,27 @@ def lists(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return column.flatten().to_numpy(zero_copy_only=False), starts
 
 
+def slices(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
+    """The batches in pieces of at most so many rows."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
+class Numbers(dict):
+    """Numbers of strings in order of their first use."""
+
+    def __missing__(self, key: str) -> int:
+        number = self[key] = len(self)
+        return number
+
+    def of(self, split: Sequence[Sequence[str]]) -> tuple[np.ndarray, list[str]]:
+        """Numbers of all strings one after another, and the strings that are new."""
+        before = len(self)
+        used = np.fromiter(map(self.__getitem__, chain.from_iterable(split)), dtype=np.int64)
+        return used, list(islice(self, before, None))
+
+
 def texts(column: pa.Array) -> list[str]:
     """Texts of a batch, null as empty."""
     return [x if x is not None else "" for x in column.to_pylist()]

@@ -30,7 +30,7 @@ MARK = "▁"
 PARTS = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
 #: Characters of parts that are solved in one block, and parts that a worker remembers.
 BLOCK_CHARS = 200_000
-REMEMBERED = 400_000
+REMEMBERED = 150_000
 UNKNOWN_COST = 10.0
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -252,16 +252,16 @@ def encode_texts(docs: DataFrame, id_column: str = "doc_id", text_column: str =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(model)
-        for whole in batches:
-            for batch in (whole.slice(at, 500) for at in range(0, whole.num_rows, 500)):
-                texts = common.texts(batch.column("_text"))
-                ids, starts = own.encode(texts)
-                flat = ids.tolist()
-                back = [own.decode(flat[a:b]) for a, b in zip(starts, starts[1:])]
-                yield common.with_columns(batch, ["id"], {
-                    "n_ids": pa.array(np.diff(starts)),
-                    "ids": pa.ListArray.from_arrays(pa.array(starts.astype(np.int32)), pa.array(ids)),
-                    "decoded": pa.array(back, pa.string()),
-                    "round_trip": pa.array([a == b for a, b in zip(texts, back)])})
+        for batch in common.slices(batches, 500):
+            texts = common.texts(batch.column("_text"))
+            ids, starts = own.encode(texts)
+            flat = ids.tolist()
+            back = [own.decode(flat[a:b]) for a, b in zip(starts, starts[1:])]
+            yield common.with_columns(batch, ["id"], {
+                "n_ids": pa.array(np.diff(starts)),
+                "ids": pa.ListArray.from_arrays(pa.array(starts.astype(np.int32)), pa.array(ids)),
+                "decoded": pa.array(back, pa.string()),
+                "round_trip": pa.array([a == b for a, b in zip(texts, back)])})
+        own.forget()  # the worker lives on and serves other stages
 
     return named.mapInArrow(run, out)

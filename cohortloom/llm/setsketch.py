@@ -39,6 +39,8 @@ from cohortloom.session import cut_lineage
 WHITE = " \\t-\\r"
 #: Members of a bucket that meet in one block of the block search, on either side.
 BLOCK = 256
+#: Rows of a batch that are sketched at a time, for the memory of a worker.
+SLICE = 1_000
 #: Buckets up to this size name plausible pairs instead of shipping their members' sets.
 SMALL = 16
 
@@ -132,9 +134,7 @@ def _digest(values: np.ndarray, starts: np.ndarray) -> list[bytes]:
 
 def _sketcher(keep: list[str], sketch: Sketch | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        for batch in common.slices(batches, SLICE):
             values, starts = common.lists(batch.column("_set"))
             sizes = np.diff(starts)
             more = {"n": pa.array(sizes), "digest": pa.array(_digest(values, starts), pa.binary())}
