@@ -1,6 +1,7 @@
 """Token ids in files of canonical, length-limited Huffman codes.
 
-Texts are encoded by a tokenizer of the ``tokenizers`` library and every document ends with id 0. One code for the
+Texts are encoded by a byte-level tokenizer of the ``tokenizers`` library, asked once for each distinct part between
+white space, and every document ends with id 0. One code for the
 whole corpus is built from the counts of all ids by package-merge, no code longer than ``MAX_BITS``; it is canonical,
 so a file's header only lists code lengths. A file holds the documents of one range of ids in ascending order,
 each in blocks of ``BLOCK_TOKENS`` ids. Checkpoints in the index give every block's bit offset, so each is decoded on
@@ -12,11 +13,13 @@ Null texts count as empty and consist of the end id. Rows that repeat an id foll
 
 from __future__ import annotations
 
+import gc
 import json
 import re
 import uuid
 import zlib
 from collections.abc import Iterator, Sequence
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -33,10 +36,13 @@ BLOCK_TOKENS = 1_024
 #: A file is closed at so many bytes. Blocks that are decoded together.
 FILE_BYTES, GROUP = 1 << 25, 4_096
 MAGIC = b"HUFIDS1\n"
-REMEMBERED = 400_000
+REMEMBERED = 1_000_000
 #: White space of the tokenizer's own splitting rule: its pieces never reach across these cuts.
 SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
-PARTS = re.compile(f" ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
+LETTERS = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff"
+#: Runs of common letters are parts of their own where the run surely ends, which makes for fewer distinct parts.
+PARTS = re.compile(f" ?[{LETTERS}]++(?![^\\x00-\\x7f])| ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
+PLAIN = re.compile(f" ?[{LETTERS}]+")
 _HELD: dict[str, "Tokens"] = {}
 
 
@@ -53,31 +59,48 @@ class Tokens:
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # tasks share the machine already
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        from tokenizers import Tokenizer, pre_tokenizers
+
+        self.tokenizer, self.unsplit = Tokenizer.from_file(path), Tokenizer.from_file(path)
+        if "ByteLevel" not in str(self.tokenizer.pre_tokenizer) or self.tokenizer.normalizer is not None:
+            raise ValueError(f"{path} does not split texts as byte-level tokenizers do")
+        for tokenizer in (self.tokenizer, self.unsplit):
+            tokenizer.encode_special_tokens = True
+        # for parts that the splitting rule leaves whole
+        self.unsplit.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         self.size = self.tokenizer.get_vocab_size()
         self.forget()
 
     def forget(self) -> None:
-        self.number: dict[str, int] = {}
+        self.number = common.Numbers()
         self.flat, self.ends = np.zeros(0, dtype=np.int32), np.zeros(1, dtype=np.int64)
 
+    def _ids(self, parts: list[str]) -> list[list[int]]:
+        """Ids of each part."""
+        plain = [PLAIN.fullmatch(w) is not None for w in parts]
+        collects = gc.isenabled()
+        gc.disable()  # so many small lists would start the collector again and again, for nothing
+        try:
+            whole = iter([e.ids for e in self.unsplit.encode_batch_fast(
+                [w for w, p in zip(parts, plain) if p], add_special_tokens=False)])
+            others = iter([e.ids for e in self.tokenizer.encode_batch_fast(
+                [w for w, p in zip(parts, plain) if not p], add_special_tokens=False)])
+            return [next(whole if p else others) for p in plain]
+        finally:
+            if collects:
+                gc.enable()
+
     def encode(self, texts: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts one after another, each with the end id, and where each starts."""
-        split = [PARTS.findall(t) for t in texts]
-        new = list({w for words in split for w in words if w not in self.number})
-        if len(self.number) + len(new) > REMEMBERED:
+        if len(self.number) > REMEMBERED:
             self.forget()
-            new = list({w for words in split for w in words})
+        split = [PARTS.findall(t) for t in texts]
+        counts = np.array([len(words) for words in split], dtype=np.int64)
+        used, new = self.number.of(split)
         if new:
-            got = [e.ids for e in self.tokenizer.encode_batch_fast(new, add_special_tokens=False)]
-            self.number.update(zip(new, range(len(self.number), len(self.number) + len(new))))
-            self.flat = np.concatenate([self.flat, np.array([i for ids in got for i in ids], dtype=np.int32)])
+            got = self._ids(new)
+            self.flat = np.concatenate([self.flat, np.fromiter(chain.from_iterable(got), dtype=np.int32)])
             self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum([len(ids) for ids in got])])
-        counts = np.array([len(words) for words in split], dtype=np.int64)
-        used = np.array([self.number[w] for words in split for w in words], dtype=np.int64)
         sizes = np.diff(self.ends)[used]
         upto = np.concatenate([[0], np.cumsum(sizes)])
         ids = self.flat[np.repeat(self.ends[:-1][used] - upto[:-1], sizes) + np.arange(upto[-1])]
