@@ -1,20 +1,26 @@
-"""SentencePiece encoding and decoding by Viterbi over the pieces of a model file, whole batches at a time.
+"""SentencePiece encoding and decoding with the pieces of a model file, whole batches at a time.
 
 A text is written as the library does it without further normalization: every space becomes the mark ``▁`` and one
 mark is put in front. It is cut before each mark that follows another character; no piece reaches across such
-a cut, so the best segmentation of the text is made of the best ones of its parts. Distinct parts of a batch are
-solved together: those of equal length advance as the rows of a matrix. Hashes of all substrings come from
-prefix hashes and are looked up among the sorted hashes of the pieces; at each place the piece with the largest
-sum of scores so far is stored as the way back. Ties go to the longest piece.
-
-A character without a piece of its own costs the lowest score less ten and is written as its bytes, or as the unknown
-piece where the model has no bytes. Decoding joins the pieces and turns marks into spaces, so a text comes
+a cut, so the segmentation of the text is made of those of its parts. Distinct parts of a batch are solved together:
+those of equal length advance as the rows of a matrix. Hashes of substrings come from prefix hashes and are looked
+up among the sorted hashes of the pieces.
+
+A BPE model merges: of all neighbours that make a piece together, those with the highest score are joined, the
+leftmost of equals, until none are left. Every row loses one symbol a step, so rows keep one width until
+they are done. Parts of more than ``LONG_PART`` characters are merged one by one with a heap. A unigram model
+takes the segmentation with the largest sum of scores (Viterbi): at each place the piece with the largest sum
+so far is stored as the way back. Ties go to the longest piece.
+
+A character without a piece of its own (in Viterbi it costs the lowest score less ten) is written as its bytes, or as the
+unknown piece where the model has no bytes. Decoding joins the pieces and turns marks into spaces, so a text comes
 back as it was unless it holds the mark itself (which comes back as a space) or, without byte pieces, unknown
 characters. Null texts count as empty; empty texts have no pieces.
 """
 
 from __future__ import annotations
 
+import heapq
 import re
 from collections.abc import Iterator, Sequence
 
@@ -31,6 +37,8 @@ PARTS = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
 #: Characters of parts that are solved in one block, and parts that a worker remembers.
 BLOCK_CHARS = 200_000
 REMEMBERED = 150_000
+#: Characters up to which a part is merged as the row of a matrix; the steps of a row cost the square of its length.
+LONG_PART = 48
 UNKNOWN_COST = 10.0
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -56,7 +64,8 @@ def codec(path: str | None) -> "Codec":
 
 class Codec:
     def __init__(self, pieces: Sequence[str], scores: Sequence[float], ids: Sequence[int],
-                 byte_ids: dict[int, int], unknown_id: int, size: int):
+                 byte_ids: dict[int, int], unknown_id: int, size: int, merges: bool = False):
+        self.merges = merges
         self.pieces, self.unknown_id = list(pieces), unknown_id
         self.text = [""] * size
         for piece, i in zip(pieces, ids):
@@ -69,6 +78,7 @@ class Codec:
         order = np.argsort(keys)
         self.keys, self.scores = keys[order], np.array(scores, dtype=np.float64)[order]
         self.ids = np.array(ids, dtype=np.int64)[order]
+        self.place = {pieces[i]: k for k, i in enumerate(order.tolist())}
         if (self.keys[1:] == self.keys[:-1]).any():
             raise ValueError("two pieces with one hash")
         self.maybe = np.zeros(1 << 21, dtype=bool)
@@ -89,8 +99,16 @@ class Codec:
         plain = [i for i in range(size) if not (
             model.is_control(i) or model.is_unknown(i) or model.is_unused(i) or model.is_byte(i))]
         bytes_ = {int(model.id_to_piece(i)[3:-1], 16): i for i in range(size) if model.is_byte(i)}
+        from sentencepiece import sentencepiece_model_pb2
+
+        proto = sentencepiece_model_pb2.ModelProto.FromString(model.serialized_model_proto())
+        spec, kinds = proto.trainer_spec, proto.SentencePiece
+        if spec.model_type not in (spec.BPE, spec.UNIGRAM):
+            raise ValueError(f"{path}: neither a BPE nor a unigram model")
+        if any(p.type in (kinds.USER_DEFINED, kinds.UNUSED) for p in proto.pieces):
+            raise ValueError(f"{path}: user-defined and unused pieces are not supported")
         return cls([model.id_to_piece(i) for i in plain], [model.get_score(i) for i in plain], plain, bytes_,
-                   model.unk_id(), size)
+                   model.unk_id(), size, merges=spec.model_type == spec.BPE)
 
     def _hash_one(self, piece: str) -> int:
         h = np.zeros(1, dtype=np.uint64)
@@ -115,7 +133,15 @@ class Codec:
         self.flat, self.ends = np.zeros(0, dtype=np.int32), np.zeros(1, dtype=np.int64)
 
     def solve(self, words: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all words one after another, and the length of each word's share."""
+        """Ids of the largest sums of all words one after another, and the length of each word's share."""
+        return self._in_blocks(words, self._solve_block)
+
+    def merge(self, words: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The same by merging."""
+        return self._in_blocks(words, self._merge_block)
+
+    @staticmethod
+    def _in_blocks(words: Sequence[str], solve_block) -> tuple[np.ndarray, np.ndarray]:
         by_length: dict[int, list[int]] = {}
         for at, word in enumerate(words):
             by_length.setdefault(len(word), []).append(at)
@@ -124,7 +150,7 @@ class Codec:
             step = max(1, BLOCK_CHARS // length)
             for first in range(0, len(members), step):
                 part = members[first:first + step]
-                ids, counts = self._solve_block([words[i] for i in part], length)
+                ids, counts = solve_block([words[i] for i in part], length)
                 order += part
                 shares.append(ids)
                 lengths.append(counts)
@@ -134,13 +160,100 @@ class Codec:
         place = np.argsort(np.array(order))
         return _gathered(np.concatenate(shares), np.cumsum(sizes) - sizes, sizes, place), sizes[place]
 
-    def _solve_block(self, words: list[str], length: int) -> list[np.ndarray]:
+    def _prefixes(self, words: list[str], length: int) -> np.ndarray:
         n = len(words)
         points = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), dtype=np.uint32).reshape(n, length)
         spread = self._spread(points.astype(np.uint64))
         prefix = np.zeros((n, length + 1), dtype=np.uint64)
         for j in range(length):
             prefix[:, j + 1] = prefix[:, j] * _BASE + spread[:, j]
+        return prefix
+
+    def _numbers(self, prefix: np.ndarray, rows: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Numbers of the pieces that lie from ``start`` to ``end`` in the given rows, -1 where there is none."""
+        size = end - start
+        key = prefix[rows, end] - prefix[rows, start] * self.powers[np.minimum(size, self.longest)]
+        found = np.full(key.shape, -1, dtype=np.int32)
+        may = self.maybe[(key >> np.uint64(43)).astype(np.int64)] & (size <= self.longest)
+        key = key[may]
+        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        found[may] = np.where(self.keys[at] == key, at, -1)
+        return found
+
+    def _merge_block(self, words: list[str], length: int) -> tuple[np.ndarray, np.ndarray]:
+        if length > LONG_PART:
+            ways = [self._merge_long(w) for w in words]
+            ids = np.full((len(words), max(map(len, ways))), -1, dtype=np.int64)
+            for row, way in enumerate(ways):
+                ids[row, :len(way)] = way
+            return self._written(words, ids)
+        n = len(words)
+        prefix = self._prefixes(words, length)
+        gains = np.append(self.scores, -np.inf)  # number -1 is no piece
+        rows, ids = np.arange(n), np.full((n, length), -1, dtype=np.int64)
+        bound = np.tile(np.arange(length + 1), (n, 1))
+        symbol = self._numbers(prefix, rows[:, None], bound[:, :-1], bound[:, 1:])
+        pair = self._numbers(prefix, rows[:, None], bound[:, :-2], bound[:, 2:])
+        gain = gains[pair]
+        for width in range(length, 0, -1):
+            at = np.arange(len(rows))
+            j = gain.argmax(axis=1) if width > 1 else None  # the first of equals
+            on = gain[at, j] > -np.inf if width > 1 else np.zeros(len(rows), dtype=bool)
+            if not on.all():
+                off = ~on
+                ids[rows[off], :width] = np.where(symbol[off] >= 0, self.ids[np.maximum(symbol[off], 0)], -2 - bound[off, :-1])
+                if not on.any():
+                    break
+                rows, bound, symbol, pair, gain, j = rows[on], bound[on], symbol[on], pair[on], gain[on], j[on]
+                at = np.arange(len(rows))
+            symbol[at, j] = pair[at, j]
+            symbol, bound = _without(symbol, at, j + 1), _without(bound, at, j + 1)
+            pair, gain = _without(pair, at, j), _without(gain, at, j)
+            for first in (j - 1, j):  # the pairs the new symbol is in
+                some = np.flatnonzero((first >= 0) & (first < width - 2))
+                k = first[some]
+                number = self._numbers(prefix, rows[some], bound[some, k], bound[some, k + 2])
+                pair[some, k], gain[some, k] = number, gains[number]
+        return self._written(words, ids)
+
+    def _merge_long(self, word: str) -> list[int]:
+        """Ids of one word, -2 less the place for a character without a piece."""
+        n = len(word)
+        end, before = list(range(1, n + 1)), list(range(-1, n - 1))  # of the symbol that starts here; 0 once it is joined
+        heap: list[tuple[float, int, int, int]] = []
+
+        def offer(start: int, middle: int, stop: int) -> None:
+            if stop - start <= self.longest and (number := self.place.get(word[start:stop])) is not None:
+                heap.append((-self.scores[number], start, middle, stop))
+
+        for i in range(n - 1):
+            offer(i, i + 1, i + 2)
+        heapq.heapify(heap)
+        while heap:
+            _, start, middle, stop = heapq.heappop(heap)
+            if end[start] != middle or end[middle] != stop:
+                continue
+            end[start], end[middle] = stop, 0
+            offered = len(heap)
+            if before[start] >= 0:
+                offer(before[start], start, stop)
+            if stop < n:
+                before[stop] = start
+                offer(start, stop, end[stop])
+            new = heap[offered:]
+            del heap[offered:]
+            for item in new:
+                heapq.heappush(heap, item)
+        out, at = [], 0
+        while at < n:
+            number = self.place.get(word[at:end[at]])
+            out.append(-2 - at if number is None else int(self.ids[number]))
+            at = end[at]
+        return out
+
+    def _solve_block(self, words: list[str], length: int) -> tuple[np.ndarray, np.ndarray]:
+        n = len(words)
+        prefix = self._prefixes(words, length)
         longest = min(self.longest, length)
         # gain[l - 1, :, s]: score of the piece of l characters at s, and its number
         gain = np.full((longest, n, length), -np.inf)
@@ -178,7 +291,10 @@ class Codec:
             number = piece[np.maximum(size, 1) - 1, rows, np.maximum(start, 0)]
             steps.append(np.where(end > 0, np.where(number >= 0, self.ids[np.maximum(number, 0)], -2 - start), -1))
             end = start
-        ids = np.stack(steps[::-1], axis=1).astype(np.int64)
+        return self._written(words, np.stack(steps[::-1], axis=1).astype(np.int64))
+
+    def _written(self, words: list[str], ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids row after row without the filling (-1), characters without a piece (-2 less their place) written out."""
         for row in np.flatnonzero((ids < -1).any(axis=1)):  # characters without a piece
             full: list[int] = []
             for i in ids[row]:
@@ -201,7 +317,7 @@ class Codec:
         if len(self.number) + len(new) > REMEMBERED:
             self.forget()
             new = list({w for words in split for w in words})
-        ids, lengths = self.solve(new)
+        ids, lengths = self.merge(new) if self.merges else self.solve(new)
         self.number.update(zip(new, range(len(self.number), len(self.number) + len(new))))
         self.flat = np.concatenate([self.flat, ids])
         self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum(lengths)])
@@ -235,6 +351,13 @@ class Codec:
         return joined[1:] if joined.startswith(" ") else joined
 
 
+def _without(matrix: np.ndarray, rows: np.ndarray, columns: np.ndarray) -> np.ndarray:
+    """One column less: in each row the given one is left out."""
+    keep = np.ones(matrix.shape, dtype=bool)
+    keep[rows, columns] = False
+    return matrix[keep].reshape(len(matrix), matrix.shape[1] - 1)
+
+
 def _gathered(flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray, used: np.ndarray) -> np.ndarray:
     """The shares of ``flat`` with the given numbers, one after another."""
     lengths = sizes[used]

@@ -221,6 +221,21 @@ def test_viterbi_is_the_best_segmentation(spark, folder):
             assert sum(scores[codec.text[i]] for i in got) == pytest.approx(brute_viterbi(codec, scores, word))
 
 
+def test_ids_are_those_of_the_library(spark, folder):
+    import random
+
+    import sentencepiece
+
+    model = sentencepiece.SentencePieceProcessor(model_file=sentencepiece_codec.default_model())
+    draw = random.Random(5)
+    texts = [r["text"] for r in spark.read.parquet(f"{folder}/documents.parquet").collect()]
+    texts += ["Elle des hommes", "  two  spaces   and\ttabs\r\n ", "y" * 3_000, "aaa" * 40 + "ab" * 50, "日本語の文章" * 30,
+              "▁ mark▁s", "naïve ½ ☃ 𝄞😀", " ", " " * 40, *[r[1] for r in ROWS if r[1] is not None]]
+    texts += ["".join(draw.choice("abet ins▁é語😀") for _ in range(draw.randint(1, 200))) for _ in range(300)]
+    found = sentencepiece_codec.encode_texts(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string"))
+    assert {r["id"]: r["ids"] for r in found.collect()} == dict(enumerate(map(model.encode, texts)))
+
+
 def test_language(docs, none):
     found = rows(langid.identify(docs))
     assert len(found) == len(ROWS) and langid.identify(none).count() == 0
