@@ -1,8 +1,9 @@
 """Secret scans: fixed patterns, and further tokens whose format looks like the credentials found by them.
 
 What the patterns find is the labelled sample: per kind, the ``SAMPLE`` distinct values with the smallest hashes. For each
-kind a prefix tree of its values is merged into a probabilistic automaton. Every other token of credential
-characters that holds a letter and a digit is a candidate, and becomes a ``format`` span if some
+kind a prefix tree of its values is merged into a probabilistic automaton. Every run of credential
+characters from the shortest learned length on is a candidate unless a pattern's span covers it (so is one
+that only holds such a span), and becomes a ``format`` span if some
 automaton accepts it and explains it better than the characters of the candidates at large do, by
 ``MIN_BITS`` in all and ``MIN_BITS_EACH`` per character.
 
@@ -30,8 +31,10 @@ ASSIGN = re.compile(
     r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{16,}")
+#: Characters of the shortest credential the patterns find, and so the shortest a format can have.
+LEAST = 12
 #: Also the place of every hexadecimal run: its characters are among these.
-TOKEN = re.compile(r"[A-Za-z0-9+/_.=-]{16,}")
+TOKEN = re.compile(rf"[A-Za-z0-9+/_.=-]{{{LEAST},}}")
 KINDS = ("assign", "access", "hex", "format")
 #: Distinct credentials a kind's automaton and candidates the background model learn from, at most.
 SAMPLE = 400
@@ -45,19 +48,18 @@ def base_spans(text: str) -> tuple[list[tuple[int, int, int, int]], list[tuple[i
     """(kind, start, end, start of the value) of what the patterns find, and the candidate tokens besides."""
     found = []
     if "=" in text or ":" in text:
-        found += [(0, m.start(), m.end(), m.start(2)) for m in ASSIGN.finditer(text) if m.end(2) - m.start(2) >= 12]
+        found += [(0, m.start(), m.end(), m.start(2)) for m in ASSIGN.finditer(text) if m.end(2) - m.start(2) >= LEAST]
     if "AKIA" in text:
         found += [(1, m.start(), m.end(), m.start()) for m in ACCESS.finditer(text) if m.end() - m.start() >= 18]
     tokens = []
     for m in TOKEN.finditer(text):
-        hexes = [(2, a.start(), a.end(), a.start()) for a in HEX.finditer(text, m.start(), m.end())]
-        found += hexes
-        if not hexes:
-            token = m.group()
-            if any(c.isdigit() for c in token) and any(c.isalpha() for c in token):
-                tokens.append((m.start(), m.end()))
+        found += [(2, a.start(), a.end(), a.start()) for a in HEX.finditer(text, m.start(), m.end())]
+        tokens.append((m.start(), m.end()))
     found.sort(key=lambda x: (x[1], x[0]))
-    return found, [(a, b) for a, b in tokens if not any(s < b and a < e for _, s, e, _ in found)]
+    if found:  # an assignment inside a token goes on to its end; what stands before it is left
+        tokens = [(a, min([s for kind, s, _, _ in found if kind == 0 and a < s < b], default=b)) for a, b in tokens]
+        tokens = [(a, b) for a, b in tokens if b - a >= LEAST and not any(s <= a and b <= e for _, s, e, _ in found)]
+    return found, tokens
 
 
 def joined(spans: list[tuple[int, int, int]]) -> str:

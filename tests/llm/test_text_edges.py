@@ -182,6 +182,35 @@ def test_formats_of_learned_credentials_are_found(spark):
     assert not any(found[200 + i]["n_format"] for i in range(60))
 
 
+def test_short_lettered_and_mixed_credentials_are_found(spark):
+    """Of learned formats, without a keyword: 12-15 characters, no digit, a hexadecimal run inside; the whole of each."""
+    import random
+
+    draw = random.Random(4)
+
+    def drawn(letters, n):
+        return "".join(draw.choice(letters) for _ in range(n))
+
+    def keys(n):
+        return [k for _ in range(n) for k in (
+            "sk" + drawn("ABCDEFGHJKLMNPQRSTUVWXYZ23456789", draw.randint(10, 13)), "QT" + drawn("BCDFGHJKLMNPRSVWXZ", 16),
+            "pk_" + drawn("0123456789abcdef", 32) + "_Zq")]
+
+    free = keys(20)
+    texts = [(i, f"my password: {k} ok") for i, k in enumerate(keys(60))] + [
+        (1_000 + i, f"plain text with {k} inside") for i, k in enumerate(free)] + [
+        (2_000 + i, f"the {drawn('eeettaaooinnsshrdlucm', draw.randint(12, 18))} of 10.120.{i}.117 by mail{i % 10}.example.com")
+        for i in range(600)]
+    table = spark.createDataFrame(texts, "doc_id bigint, text string")
+    found = {r["id"]: r for r in rows(secrets.scan_secrets(table))}
+    for i, key in enumerate(free):
+        assert f"format:16:{16 + len(key)}" in found[1_000 + i]["spans"].split(","), key
+    assert not any(found[2_000 + i]["n_format"] for i in range(600))
+    masked = {r["doc_id"]: r["text"] for r in rows(secrets.mask_secrets(table, length_column=None))}
+    assert {masked[1_000 + i] for i in range(len(free))} == {"plain text with [SECRET] inside"}
+    assert all(masked[i] == text for i, text in texts if i >= 2_000)
+
+
 def test_sentencepiece(docs, none):
     found = rows(sentencepiece_codec.encode_texts(docs))
     assert len(found) == len(ROWS) and sentencepiece_codec.encode_texts(none).count() == 0
