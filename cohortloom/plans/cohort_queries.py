@@ -245,6 +245,16 @@ def row_key_concat(spark: SparkSession, folder: str) -> DataFrame:
     return prepare.joined_by_row_key(left, right, "row_key", report=True)
 
 
+@query("""SELECT coalesce(c_custkey, o_custkey) AS row_key, c_name AS phenotype, o.n_orders,
+  CASE WHEN c_custkey IS NULL THEN 'left' WHEN o_custkey IS NULL THEN 'right' END AS missing
+FROM customer FULL JOIN (SELECT o_custkey, count(*) AS n_orders FROM orders GROUP BY o_custkey) o ON o_custkey = c_custkey""")
+def row_key_concat_whole(spark: SparkSession, folder: str) -> DataFrame:
+    """All rows of both tables: their keys differ by themselves."""
+    left = table(spark, folder, "customer").select(F.col("c_custkey").alias("row_key"), F.col("c_name").alias("phenotype"))
+    right = table(spark, folder, "orders").groupBy(F.col("o_custkey").alias("row_key")).agg(F.count("*").alias("n_orders"))
+    return prepare.joined_by_row_key(left, right, "row_key", report=True)
+
+
 @query("""SELECT host, min(url) AS path FROM (SELECT regexp_extract(url, '^https?://([^/]+)/', 1) AS host, url FROM pages)
 GROUP BY host""")
 def scan_file_catalogue(spark: SparkSession, folder: str) -> DataFrame:

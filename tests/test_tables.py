@@ -1,8 +1,11 @@
+import datetime
+
 import pytest
 from pyspark.sql import functions as F
 
 from cohortloom.functions import registry, scalars
 from cohortloom.operators import describe, prepare, release, results, shift
+from cohortloom.plans.catalog import QUERIES
 from cohortloom.sources import metric_files, prepared
 
 
@@ -170,6 +173,22 @@ def test_unequal_row_keys_stop_or_are_reported(spark):
     assert found == {1: "right", 2: None, 3: "left"}
 
 
+def test_no_key_and_no_nation_is_left_out_of_the_whole_queries(spark, tmp_path):
+    def write(name, rows, schema):
+        spark.createDataFrame(rows, schema).write.parquet(str(tmp_path / f"{name}.parquet"))
+
+    day = datetime.date(1995, 3, 4)
+    write("customer", [(k, f"c{k}", k % 25, "BUILDING") for k in range(1, 41) if k != 24],
+          "c_custkey long, c_name string, c_nationkey long, c_mktsegment string")
+    write("orders", [(k, day) for k in range(2, 43)], "o_custkey long, o_orderdate date")
+    write("nation", [(k, f"N{k}") for k in range(25)], "n_nationkey long, n_name string")
+    write("region", [(0, "R0")], "r_regionkey long, r_name string")
+    keys = {r["row_key"]: r["missing"] for r in QUERIES["row_key_concat_whole"](spark, str(tmp_path)).collect()}
+    assert keys == {**dict.fromkeys(range(1, 43)), 1: "right", 24: "left", 41: "left", 42: "left"}
+    cover = QUERIES["run_coverage_whole"](spark, str(tmp_path)).where("model = 'Dummy' AND missing").collect()
+    assert {r["dataset"] for r in cover} == {"N24", "R0"}
+
+
 def test_coverage_of_many_cohorts(spark):
     files = spark.createDataFrame([(f"[2026-04-18 16:46:01]c_{i}_Dummy_AgeReg_mean.csv",) for i in range(1500)], "file_name string")
     cohorts = spark.range(1500).selectExpr("concat('C_', id) AS dataset")
