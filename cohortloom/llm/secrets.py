@@ -36,9 +36,8 @@ LEAST = 12
 #: Also the place of every hexadecimal run: its characters are among these.
 TOKEN = re.compile(rf"[A-Za-z0-9+/_.=-]{{{LEAST},}}")
 KINDS = ("assign", "access", "hex", "format")
-#: Distinct credentials a kind's automaton and candidates the background model learn from, at most.
+#: Distinct credentials a kind's automaton learns from, at most.
 SAMPLE = 400
-BACKGROUND = 4_000
 MIN_BITS = 16.0
 MIN_BITS_EACH = 0.5
 MASK = "[SECRET]"
@@ -67,11 +66,10 @@ def joined(spans: list[tuple[int, int, int]]) -> str:
 
 
 class Formats:
-    """The automata of the kinds and the background they compete with."""
+    """The automata of the kinds and the background they compete with: how often candidates hold each character."""
 
-    def __init__(self, credentials: dict[int, list[str]], others: list[str]):
+    def __init__(self, credentials: dict[int, list[str]], seen: Counter):
         self.automata = [grammars.infer(values) for values in credentials.values() if values]
-        seen = Counter(c for token in others for c in token)
         total = sum(seen.values()) + 68
         self.bits = {chr(c): math.log2((seen[chr(c)] + 1) / total) for c in range(128)}
 
@@ -115,8 +113,18 @@ def scanned(docs: DataFrame, text_column: str, **kept) -> DataFrame:
     return cut_lineage(named.mapInArrow(_scan(list(kept)), out))
 
 
+def _characters(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(character, count) over the values of a task."""
+    seen: Counter = Counter()
+    for batch in batches:
+        for token in batch.column("value").to_pylist():
+            seen.update(token)
+    yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], ["c", "n"])
+
+
 def learn(found: DataFrame) -> Formats:
-    """Formats from the sampled credentials of each kind. At most the two sample sizes reach the driver."""
+    """Formats from the sampled credentials of each kind and all distinct candidates. The samples and one
+    count per character reach the driver."""
     values = found.where("size(values) > 0").select(
         F.posexplode("values").alias("i", "value"), "base").selectExpr("base[3 * i] AS kind", "value")
     credentials = {}
@@ -124,9 +132,9 @@ def learn(found: DataFrame) -> Formats:
         rows = values.where(F.col("kind") == kind).select("value").distinct().orderBy(
             F.xxhash64("value"), "value").limit(SAMPLE).collect()
         credentials[kind] = [r["value"] for r in rows]
-    others = found.select(F.explode("others").alias("value")).distinct().orderBy(
-        F.xxhash64("value"), "value").limit(BACKGROUND).collect()
-    return Formats(credentials, [r["value"] for r in others])
+    others = found.select(F.explode("others").alias("value")).distinct()
+    seen = others.mapInArrow(_characters, "c string, n long").groupBy("c").agg(F.sum("n").alias("n")).collect()
+    return Formats(credentials, Counter({r["c"]: r["n"] for r in seen}))
 
 
 def scan_secrets(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:

@@ -1,6 +1,7 @@
 """Nulls, empty and very long texts, ties and repeated rows, empty tables, clashing columns."""
 
 import hashlib
+import math
 
 import pytest
 from pyspark.sql import functions as F
@@ -211,6 +212,15 @@ def test_short_lettered_and_mixed_credentials_are_found(spark):
     assert all(masked[i] == text for i, text in texts if i >= 2_000)
 
 
+def test_background_counts_every_candidate(spark):
+    tokens = [f"candidate-{i:06d}-of-many" for i in range(6_000)]
+    table = spark.createDataFrame([(i, t + " " + t) for i, t in enumerate(tokens)], "doc_id bigint, text string")
+    formats = secrets.learn(secrets.scanned(table, "text"))
+    total = sum(map(len, tokens)) + 68
+    for c in "c0-9z":
+        assert formats.bits[c] == pytest.approx(math.log2((sum(t.count(c) for t in tokens) + 1) / total))
+
+
 def test_sentencepiece(docs, none):
     found = rows(sentencepiece_codec.encode_texts(docs))
     assert len(found) == len(ROWS) and sentencepiece_codec.encode_texts(none).count() == 0
