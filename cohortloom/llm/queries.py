@@ -5,9 +5,10 @@ from __future__ import annotations
 import functools
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from cohortloom.llm import (
-    huffman, langid, passages, quality_rules, rendezvous, secrets, sentencepiece_codec, setsketch, warc, winnowing,
+    byte_pairs, huffman, langid, passages, quality_rules, rendezvous, secrets, sentencepiece_codec, setsketch, warc, winnowing,
 )
 from cohortloom.llm import sql as twins
 from cohortloom.llm.common import table
@@ -87,3 +88,11 @@ def op9_sharding(spark: SparkSession, folder: str) -> DataFrame:
 def op10_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
     found = setsketch.near_duplicates(table(spark, folder, "documents"), k=2)
     return found.selectExpr("id AS doc_id", "n_shingles", "component_id", "kept")
+
+
+@query()
+def op11_byte_pairs(spark: SparkSession, folder: str) -> DataFrame:
+    found = byte_pairs.encode_texts(table(spark, folder, "documents"))
+    return found.select(
+        F.col("id").alias("doc_id"), "n_tokens", F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"))
