@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cohortloom.llm import (
-    byte_pairs, huffman, langid, passages, quality_rules, rendezvous, secrets, sentencepiece_codec, setsketch, warc, winnowing,
+    byte_pairs, huffman, langid, passages, quality_rules, rendezvous, secrets, sentencepiece_codec, setsketch, spelling, warc,
+    winnowing,
 )
 from cohortloom.llm import sql as twins
 from cohortloom.llm.common import table
@@ -96,3 +97,8 @@ def op11_byte_pairs(spark: SparkSession, folder: str) -> DataFrame:
     return found.select(
         F.col("id").alias("doc_id"), "n_tokens", F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+@query(twins.SPELLING)
+def op12_spelling_variants(spark: SparkSession, folder: str) -> DataFrame:
+    return spelling.variants(spelling.word_counts(table(spark, folder, "documents")))

