@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cohortloom.llm import (
-    byte_pairs, huffman, langid, passages, quality_rules, rendezvous, secrets, sentencepiece_codec, setsketch, spelling, warc,
+    alignment, byte_pairs, huffman, langid, passages, quality_rules, rendezvous, secrets, sentencepiece_codec, setsketch, spelling, warc,
     winnowing,
 )
 from cohortloom.llm import sql as twins
@@ -102,3 +102,8 @@ def op11_byte_pairs(spark: SparkSession, folder: str) -> DataFrame:
 @query(twins.SPELLING)
 def op12_spelling_variants(spark: SparkSession, folder: str) -> DataFrame:
     return spelling.variants(spelling.word_counts(table(spark, folder, "documents")))
+
+
+@query()
+def op13_token_alignment(spark: SparkSession, folder: str) -> DataFrame:
+    return alignment.aligned(table(spark, folder, "documents")).withColumnRenamed("id", "doc_id")
