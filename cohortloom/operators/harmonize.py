@@ -3,6 +3,10 @@
 Model per feature: value = site effect + smooth(covariate) + site scale * noise. The rows are read once:
 per-site product sums of [1, basis] with [1, basis, features, features squared] hold everything the fit
 needs. After that all work is on parameter tables (sites x features), spread over features, then over sites.
+
+Models of all folds come from the same pass: sums are kept per (fold, site), and the training sums of a fold are those of
+the others added up, per feature and for all folds in one grouped step. Applying a model joins rows to the parameters of
+their site: whole, by broadcast, if these are few, else in blocks of features that meet salted blocks of rows.
 """
 
 from __future__ import annotations
@@ -12,6 +16,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -21,8 +26,13 @@ from cohortloom.functions import registry
 from cohortloom.functions.scalars import zero_if_not_finite
 from cohortloom.operators.sums import product_sums
 from cohortloom.session import cut_lineage, shared_folder
+from cohortloom.sizing import join_small
 
-MAX_PARAMETERS = 20_000_000
+#: Numbers of a model that are broadcast (32 MB); larger ones are joined in blocks of so many features and rows.
+BROADCAST_PARAMETERS = 4_000_000
+FEATURE_BLOCK, ROW_BLOCK = 512, 8_192
+#: Cells of product sums that a task unfolds at once.
+SLICE_CELLS = 4_000_000
 SPLINE_DEGREE = 3
 SPLINE_INNER_KNOTS = 6
 
@@ -66,93 +76,166 @@ def covariate_basis(covariate: str | None, kind: str, bounds: tuple[float, float
 
 @dataclass(frozen=True)
 class SiteModel:
-    """Fitted parameters: (site, feature, n, grand, scale, shift, spread, coef) plus how to rebuild the basis."""
+    """Fitted parameters: (site, feature, n, grand, scale, shift, spread, coef) plus how to rebuild the basis.
+
+    Models of several folds have a column ``fold`` in front, the fold that is left out.
+    """
 
     parameters: DataFrame
     site: str
     covariate: str | None
     kind: str
     bounds: tuple[float, float]
+    fold: str | None = None
+
+    @property
+    def keys(self) -> list[str]:
+        return [self.site] if self.fold is None else [self.fold, self.site]
 
 
 # ---- fit
 
 
-def site_sums(rows: DataFrame, site: str, features: str, basis: Sequence[Column]) -> DataFrame:
+def site_sums(rows: DataFrame, keys: Sequence[str], features: str, basis: Sequence[Column]) -> DataFrame:
     left = F.array(F.lit(1.0), *basis)
     squares = F.transform(features, lambda x: x * x)
-    design = rows.select(site, left.alias("_l"), F.concat(left, F.col(features), squares).alias("_r"))
-    return product_sums(design, [site], "_l", "_r")
+    design = rows.select(*keys, left.alias("_l"), F.concat(left, F.col(features), squares).alias("_r"))
+    return product_sums(design, list(keys), "_l", "_r")
 
 
 def fit(rows: DataFrame, site: str, features: str = "features", covariate: str | None = "age",
         kind: str = "spline", bounds: tuple[float, float] = registry.AGE_BOUNDS,
         empirical_bayes: bool = True, tolerance: float = 1e-4) -> SiteModel:
     """Learn the site effects from training rows."""
+    return _fitted(rows, None, False, site, features, covariate, kind, bounds, empirical_bayes, tolerance)
+
+
+def fit_folds(rows: DataFrame, fold: str, site: str, features: str = "features", covariate: str | None = "age",
+              kind: str = "spline", bounds: tuple[float, float] = registry.AGE_BOUNDS, empirical_bayes: bool = True,
+              tolerance: float = 1e-4, own_training: bool = False, outer: str = "outer") -> SiteModel:
+    """The models of all folds from one pass over the rows; parameters are keyed by ``outer``, the fold left out.
+
+    ``fold`` is the fold of a row, and the training rows of a fold are those of the others; with ``own_training`` it is the
+    fold a row trains for, as when features are refitted per fold.
+    """
+    named = rows.where(F.col(fold).isNotNull()).withColumn(outer, F.col(fold).cast("string"))
+    return _fitted(named, outer, own_training, site, features, covariate, kind, bounds, empirical_bayes, tolerance)
+
+
+def _fitted(rows: DataFrame, fold: str | None, own_training: bool, site: str, features: str, covariate: str | None,
+            kind: str, bounds: tuple[float, float], empirical_bayes: bool, tolerance: float) -> SiteModel:
     basis = covariate_basis(covariate, kind, bounds)
     k = len(basis)
-    sums = cut_lineage(site_sums(rows, site, features, basis))
+    keys = [site] if fold is None else [fold, site]
+    sums = cut_lineage(site_sums(rows, keys, features, basis))
     width = sums.agg(F.max("j").alias("m")).first()["m"]
     if width is None:
         raise ValueError("no rows to fit")
     n_features = (width - k) // 2
-
-    design = sums.where(F.col("j") <= k).toPandas()
-    sites = sorted(design[site].unique().tolist())
-    place = {s: i for i, s in enumerate(sites)}
-    blocks = np.zeros((len(sites), k + 1, k + 1))
-    blocks[design[site].map(place), design["i"], design["j"]] = design["value"]
-    counts, total = blocks[:, 0, 0], blocks[:, 0, 0].sum()
-    # the sites' own block is diagonal, so they are eliminated and only the k basis terms are solved for
-    share = blocks[:, 0, 1:] / counts[:, None]
-    inverse = np.linalg.pinv(blocks[:, 1:, 1:].sum(axis=0) - blocks[:, 0, 1:].T @ share, rcond=1e-12, hermitian=True)
-
-    moments = T.StructType([
-        rows.schema[site], T.StructField("feature", T.IntegerType()), T.StructField("n", T.DoubleType()),
-        T.StructField("grand", T.DoubleType()), T.StructField("scale", T.DoubleType()),
-        T.StructField("zmean", T.DoubleType()), T.StructField("zvar", T.DoubleType()),
+    design = Design(sums.where(F.col("j") <= k).toPandas(), fold, site, k, own_training)
+    cells = sums.where((F.col("j") > k) & ((F.col("j") <= k + n_features) | (F.col("i") == 0))).select(
+        F.when(F.col("j") <= k + n_features, F.col("j") - k - 1).otherwise(F.col("j") - k - 1 - n_features).alias("feature"),
+        (F.lit("") if fold is None else F.col(fold)).alias("fold"), F.col(site).alias("site"),
+        F.when(F.col("j") <= k + n_features, F.col("i")).otherwise(k + 1).alias("i"), "value")
+    gathered = cells.groupBy("feature").agg(F.collect_list(F.struct("fold", "site", "i", "value")).alias("c")).select(
+        "feature", "c.fold", "c.site", "c.i", "c.value")
+    out = T.StructType([
+        *([T.StructField(fold, T.StringType())] if fold else []), rows.schema[site],
+        T.StructField("feature", T.IntegerType()), *[T.StructField(c, T.DoubleType()) for c in MOMENTS],
         T.StructField("coef", T.ArrayType(T.DoubleType()))])
+    step = max(1, SLICE_CELLS // (design.pairs * (k + 2)))
 
-    def feature_moments(x: np.ndarray, xx: np.ndarray) -> dict:
-        """Fit of one feature from its per-site sums (sites x [1, basis]) and sums of squares."""
-        coef = inverse @ (x[:, 1:].sum(axis=0) - share.T @ x[:, 0])
-        level = x[:, 0] / counts - share @ coef
-        explained = level @ x[:, 0] + coef @ x[:, 1:].sum(axis=0)
-        scale = np.sqrt(max(0.0, (xx.sum() - explained) / total))
-        grand = counts @ level / total
-        trend = blocks[:, 0, 1:] @ coef
-        s1 = x[:, 0] - counts * grand - trend
-        s2 = (xx + counts * grand ** 2 + np.einsum("a,sab,b->s", coef, blocks[:, 1:, 1:], coef)
-              + 2 * grand * trend - 2 * grand * x[:, 0] - 2 * x[:, 1:] @ coef)
-        scale = scale if scale > 0 else 1.0
-        mean = s1 / counts / scale
-        var = np.maximum(0.0, s2 / scale ** 2 - counts * mean ** 2) / np.maximum(1.0, counts - 1)
-        return {"n": counts, "grand": grand, "scale": scale, "zmean": mean, "zvar": var,
-                "coef": [coef.tolist()] * len(sites)}
-
-    def per_feature(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def per_feature(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for feature, cells in zip(batch["feature"], batch["cells"]):
-                x, xx = np.zeros((len(sites), k + 1)), np.zeros(len(sites))
-                for c in cells:
-                    if c["j"] <= k + n_features:
-                        x[place[c["site"]], c["i"]] = c["value"]
-                    elif c["i"] == 0:
-                        xx[place[c["site"]]] = c["value"]
-                yield pd.DataFrame({site: sites, "feature": feature, **feature_moments(x, xx)})
-
-    feature = F.when(F.col("j") <= k + n_features, F.col("j") - k - 1).otherwise(F.col("j") - k - 1 - n_features)
-    tables = (
-        sums.where(F.col("j") > k).withColumn("feature", feature)
-        .groupBy("feature").agg(F.collect_list(F.struct(F.col(site).alias("site"), "i", "j", "value")).alias("cells"))
-        .mapInPandas(per_feature, moments)
-    )
-    parameters = cut_lineage(shrink(tables, site, empirical_bayes, tolerance))
-    return SiteModel(parameters, site, covariate, kind, bounds)
-
-
-def shrink(moments: DataFrame, site: str, empirical_bayes: bool = True, tolerance: float = 1e-4) -> DataFrame:
-    """Posterior site shift and spread per feature; each site's features are solved together."""
+            for at in range(0, batch.num_rows, step):
+                yield from design.moments(batch.slice(at, step), out.fieldNames())
+
+    tables = gathered.mapInArrow(per_feature, out)
+    parameters = cut_lineage(shrink(tables, keys, empirical_bayes, tolerance))
+    return SiteModel(parameters, site, covariate, kind, bounds, fold)
+
+
+MOMENTS = ("n", "grand", "scale", "zmean", "zvar")
+
+
+class Design:
+    """Product sums of [1, basis] of every (fold, site) that has rows, and the fits of features from them."""
+
+    def __init__(self, table: pd.DataFrame, fold: str | None, site: str, k: int, own_training: bool):
+        folds = [""] * len(table) if fold is None else table[fold].tolist()
+        sites = table[site].tolist()
+        self.folds, self.sites = sorted(set(folds)), sorted(set(sites))
+        named = sorted({(s, f) for s, f in zip(sites, folds)})
+        self.place = {pair: at for at, pair in enumerate(named)}
+        self.pairs, self.named_fold = len(named), fold is not None
+        blocks = np.zeros((len(named), k + 1, k + 1))
+        blocks[[self.place[pair] for pair in zip(sites, folds)], table["i"], table["j"]] = table["value"]
+        self.k, self.trained = k, []
+        number = {s: at for at, s in enumerate(self.sites)}
+        site_of = np.array([number[s] for s, _ in named])
+        fold_of = np.array([f for _, f in named], dtype=object)
+        for outer in self.folds:
+            if fold is None or own_training:
+                rows = np.flatnonzero(fold_of == outer)
+            else:
+                rows = np.flatnonzero(fold_of != outer)
+            if len(rows):
+                self.trained.append((outer, rows, *self._solved(blocks[rows], site_of[rows])))
+
+    def _solved(self, blocks: np.ndarray, sites: np.ndarray) -> tuple:
+        starts = np.flatnonzero(np.diff(sites, prepend=-1))
+        blocks = np.add.reduceat(blocks, starts, axis=0)
+        counts = blocks[:, 0, 0]
+        # the sites' own block is diagonal, so they are eliminated and only the k basis terms are solved for
+        share = blocks[:, 0, 1:] / counts[:, None]
+        inverse = np.linalg.pinv(blocks[:, 1:, 1:].sum(axis=0) - blocks[:, 0, 1:].T @ share, rcond=1e-12, hermitian=True)
+        return starts, sites[starts], blocks, share, inverse
+
+    def moments(self, batch: pa.RecordBatch, names: list[str]) -> Iterator[pa.RecordBatch]:
+        """Moments of the features of a batch, for one fold after the other."""
+        owner = np.repeat(np.arange(batch.num_rows), np.diff(batch.column("value").offsets.to_numpy()))
+        fold, site = (batch.column(c).flatten().dictionary_encode() for c in ("fold", "site"))
+        known_folds, known_sites = fold.dictionary.to_pylist(), site.dictionary.to_pylist()
+        place = np.array([[self.place.get((s, f), -1) for s in known_sites] for f in known_folds])
+        pair = place[fold.indices.to_numpy(), site.indices.to_numpy()]
+        i = batch.column("i").flatten().to_numpy()
+        cells = np.zeros((batch.num_rows, self.pairs, self.k + 2))
+        cells[owner, pair, i] = batch.column("value").flatten().to_numpy()
+        feature = batch.column("feature").to_numpy()
+        for outer, rows, starts, sites, blocks, share, inverse in self.trained:
+            sums = np.add.reduceat(cells[:, rows], starts, axis=1)
+            found = _feature_moments(sums[:, :, :-1], sums[:, :, -1], blocks, share, inverse)
+            n = len(feature) * len(sites)
+            coef = np.repeat(found.pop("coef"), len(sites), axis=0)
+            ends = pa.array(np.arange(n + 1, dtype=np.int32) * self.k)
+            arrays = [pa.array([self.sites[s] for s in sites] * len(feature), site.dictionary.type),
+                      pa.array(np.repeat(feature, len(sites))), *[pa.array(found[c].ravel()) for c in MOMENTS],
+                      pa.ListArray.from_arrays(ends, pa.array(coef.ravel()))]
+            yield pa.RecordBatch.from_arrays([*([pa.array([outer] * n)] if self.named_fold else []), *arrays], names=names)
+
+
+def _feature_moments(x: np.ndarray, xx: np.ndarray, blocks: np.ndarray, share: np.ndarray, inverse: np.ndarray) -> dict:
+    """Fits from the per-site sums of features, (features x sites x [1, basis]), and their sums of squares."""
+    counts = blocks[:, 0, 0]
+    total, level_sums, trend_sums = counts.sum(), x[:, :, 0], x[:, :, 1:]
+    coef = (trend_sums.sum(axis=1) - level_sums @ share) @ inverse
+    level = level_sums / counts - coef @ share.T
+    explained = (level * level_sums).sum(axis=1) + (coef * trend_sums.sum(axis=1)).sum(axis=1)
+    scale = np.sqrt(np.maximum(0.0, (xx.sum(axis=1) - explained) / total))[:, None]
+    grand = (level @ counts / total)[:, None]
+    trend = coef @ blocks[:, 0, 1:].T
+    s1 = level_sums - counts * grand - trend
+    s2 = (xx + counts * grand ** 2 + np.einsum("fa,sab,fb->fs", coef, blocks[:, 1:, 1:], coef, optimize=True)
+          + 2 * grand * trend - 2 * grand * level_sums - 2 * np.einsum("fsk,fk->fs", trend_sums, coef))
+    scale = np.where(scale > 0, scale, 1.0)
+    mean = s1 / counts / scale
+    var = np.maximum(0.0, s2 / scale ** 2 - counts * mean ** 2) / np.maximum(1.0, counts - 1)
+    return {"n": np.broadcast_to(counts, mean.shape), "grand": np.broadcast_to(grand, mean.shape),
+            "scale": np.broadcast_to(scale, mean.shape), "zmean": mean, "zvar": var, "coef": coef}
+
+
+def shrink(moments: DataFrame, keys: Sequence[str], empirical_bayes: bool = True, tolerance: float = 1e-4) -> DataFrame:
+    """Posterior site shift and spread per feature; the features of a site (and fold) are solved together."""
     if not empirical_bayes:
         return moments.withColumnsRenamed({"zmean": "shift", "zvar": "spread"})
     out = T.StructType([
@@ -177,63 +260,123 @@ def shrink(moments: DataFrame, site: str, empirical_bayes: bool = True, toleranc
                     if change < tolerance:
                         break
                 else:
-                    raise ValueError(f"no posterior for site {part[site].iloc[0]!r} within 1000 steps")
+                    raise ValueError(f"no posterior for site {part[keys[-1]].iloc[0]!r} within 1000 steps")
                 g, d = shift, spread
         return part.assign(zmean=g, zvar=d).rename(columns={"zmean": "shift", "zvar": "spread"})
 
-    return moments.groupBy(site).applyInPandas(posterior, out)
+    return moments.groupBy(*keys).applyInPandas(posterior, out)
 
 
 # ---- apply
 
 
 def apply(rows: DataFrame, model: SiteModel, features: str = "features", unseen: str = "error") -> DataFrame:
-    """Harmonized features. Rows of a site the model has not seen stop the job, or pass unchanged with
-    ``unseen="pass"``. Non-finite results become 0."""
-    fitted = model.parameters
-    size = fitted.agg(F.sum(4 + F.size("coef")).alias("n")).first()["n"] or 0
-    if size > MAX_PARAMETERS:
-        raise ValueError("parameters too large to ship with the tasks: use apply_long")
-    table = {}
-    for key, part in fitted.toPandas().groupby(model.site):
+    """Harmonized features. Rows of a site (and fold) the model has not seen stop the job, or pass unchanged with
+    ``unseen="pass"``. Non-finite results become 0. Models of several folds need their fold column in the rows."""
+    size = model.parameters.agg(F.sum(4 + F.size("coef")).alias("n")).first()["n"] or 0
+    whole = size <= BROADCAST_PARAMETERS
+    return (_apply_whole if whole else _apply_in_blocks)(rows, model, features, unseen)
+
+
+def _moved(values: np.ndarray, basis: np.ndarray, grand, scale, shift, spread, coef) -> np.ndarray:
+    """Harmonized values (rows x features) from the parameters of one site."""
+    fixed = grand + basis @ coef.T if coef is not None else grand
+    z = (values - fixed) / scale
+    with np.errstate(divide="ignore", invalid="ignore"):
+        values = scale * (z - shift) / np.sqrt(spread) + fixed
+    return np.nan_to_num(values, nan=0.0, posinf=0.0, neginf=0.0)
+
+
+def _with_basis(rows: DataFrame, model: SiteModel) -> DataFrame:
+    basis = covariate_basis(model.covariate, model.kind, model.bounds)
+    return rows.withColumn("_basis", F.array(*basis) if basis else F.array(F.lit(0.0)))
+
+
+def _unknown(key, unseen: str) -> None:
+    if unseen != "pass":
+        raise ValueError(f"site {key!r} was not in the training rows")
+
+
+def _apply_whole(rows: DataFrame, model: SiteModel, features: str, unseen: str) -> DataFrame:
+    """All parameters go to every task."""
+    keys, table = model.keys, {}
+    for key, part in model.parameters.toPandas().groupby(keys):
         part = part.sort_values("feature")
         coef = np.stack(part["coef"].map(np.asarray)).astype(float) if len(part["coef"].iloc[0]) else None
         table[key] = tuple(part[c].to_numpy() for c in ("grand", "scale", "shift", "spread")) + (coef,)
     held = rows.sparkSession.sparkContext.broadcast(table)
-    site = model.site
     kept = list(rows.columns)
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             result = [None] * len(batch)
-            for key, where in batch.groupby(site, sort=False).indices.items():
+            for key, where in batch.groupby(keys, sort=False, dropna=False).indices.items():
+                key = key if isinstance(key, tuple) else (key,)
                 values = np.stack(batch[features].iloc[where].to_numpy()).astype(float)
                 if key not in held.value:
-                    if unseen != "pass":
-                        raise ValueError(f"site {key!r} was not in the training rows")
+                    _unknown(key[-1], unseen)
                 else:
-                    grand, scale, shift, spread, coef = held.value[key]
-                    fixed = grand
-                    if coef is not None:
-                        fixed = grand + np.stack(batch["_basis"].iloc[where].to_numpy()) @ coef.T
-                    z = (values - fixed) / scale
-                    with np.errstate(divide="ignore", invalid="ignore"):
-                        values = scale * (z - shift) / np.sqrt(spread) + fixed
-                    values = np.nan_to_num(values, nan=0.0, posinf=0.0, neginf=0.0)
+                    values = _moved(values, np.stack(batch["_basis"].iloc[where].to_numpy()), *held.value[key])
                 for place, value in zip(where, values):
                     result[place] = value
             yield batch[kept].assign(**{features: result})
 
-    basis = covariate_basis(model.covariate, model.kind, model.bounds)
-    ready = rows.withColumn("_basis", F.array(*basis)) if basis else rows.withColumn("_basis", F.array(F.lit(0.0)))
-    return ready.mapInPandas(work, rows.schema)
+    return _with_basis(rows, model).mapInPandas(work, rows.schema)
+
+
+def _apply_in_blocks(rows: DataFrame, model: SiteModel, features: str, unseen: str) -> DataFrame:
+    """Blocks of features, and of rows of a site, meet the parameters of that site and block.
+
+    A site is cut into blocks of about ``ROW_BLOCK`` rows by a hash of the row, so a group never holds more than such a
+    block however many rows a site has.
+    """
+    keys = model.keys
+    tagged = cut_lineage(_with_basis(rows, model).withColumn("_row", F.monotonically_increasing_id()))
+    salts = tagged.groupBy(*keys).agg(F.ceil(F.count("*") / ROW_BLOCK).cast("int").alias("_salts"))
+    named = [F.col(c).alias(f"_k{at}") for at, c in enumerate(keys)]
+    own = [f"_k{at}" for at in range(len(keys))]
+    pieces = tagged.select("_row", *named, "_basis", F.posexplode(F.expr(
+        f"transform(sequence(0, (size(`{features}`) - 1) div {FEATURE_BLOCK}), "
+        f"b -> slice(`{features}`, b * {FEATURE_BLOCK} + 1, {FEATURE_BLOCK}))")).alias("_block", "_x"))
+    salts = salts.select(*named, "_salts")
+    pieces = join_small(pieces, salts, own).withColumn("_salt", F.pmod(F.xxhash64("_row"), F.col("_salts")).cast("int"))
+    blocks = join_small(model.parameters.select(
+        *named, F.floor(F.col("feature") / FEATURE_BLOCK).cast("int").alias("_block"), "feature", "grand", "scale", "shift", "spread",
+        "coef"), salts, own).withColumn("_salt", F.explode(F.sequence(F.lit(0), F.col("_salts") - 1))).drop("_salts")
+    groups = [*own, "_block", "_salt"]
+
+    def move(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
+        x = _matrix(left.column("_x"))
+        if len(x) and not right.num_rows:
+            _unknown(key[len(own) - 1].as_py(), unseen)
+        elif len(x):
+            right = right.sort_by("feature")
+            coef = _matrix(right.column("coef"))
+            x = _moved(x, _matrix(left.column("_basis")), *[right.column(c).to_numpy() for c in ("grand", "scale", "shift", "spread")],
+                       coef if coef.shape[1] else None)
+        ends = pa.array(np.arange(len(x) + 1, dtype=np.int32) * x.shape[1])
+        return pa.table({"_row": left.column("_row"), "_block": left.column("_block"),
+                         "_x": pa.ListArray.from_arrays(ends, pa.array(np.ascontiguousarray(x).ravel()))})
+
+    moved = pieces.drop("_salts").groupBy(*groups).cogroup(blocks.groupBy(*groups)).applyInArrow(
+        move, "_row bigint, _block int, _x array<double>")
+    whole = moved.groupBy("_row").agg(F.array_sort(F.collect_list(F.struct("_block", "_x"))).alias("_b"))
+    joined = tagged.drop(features).join(whole, "_row")
+    return joined.withColumn(features, F.flatten("_b._x")).select(*rows.columns)
+
+
+def _matrix(column: pa.ChunkedArray) -> np.ndarray:
+    """A list column of equal lengths as rows of a matrix."""
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    flat = column.flatten().to_numpy(zero_copy_only=False)
+    return flat.reshape(len(column), len(flat) // max(1, len(column)))
 
 
 def apply_long(rows: DataFrame, model: SiteModel, feature: str = "feature", value: str = "value",
                unseen: str = "error") -> DataFrame:
     """Same on (site, covariate, feature, value) rows by a join on (site, feature), for any table size."""
     basis = covariate_basis(model.covariate, model.kind, model.bounds)
-    joined = rows.join(model.parameters.drop("n"), [model.site, feature], "left")
+    joined = rows.join(model.parameters.drop("n"), [*model.keys, feature], "left")
     trend = F.lit(0.0)
     for i, b in enumerate(basis):
         trend = trend + F.col("coef")[i] * b

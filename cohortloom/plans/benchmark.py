@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-
+from cohortloom.functions import registry
 from cohortloom.operators import connectome, harmonize, metrics, ridge, ridge_tiles, splits, tangent
 from cohortloom.session import cut_lineage
 
@@ -44,25 +44,26 @@ def tangent_scores(scans: DataFrame, y: str, metric: str = "riemann") -> DataFra
 
 def harmonized_scores(scans: DataFrame, y: str, protocol: str, dataset: str, features: str,
                       metric: str = "riemann") -> DataFrame:
-    """Ridge on site-harmonized features, everything fitted on the outer training rows.
+    """Ridge on site-harmonized features, everything fitted on the outer training rows, all folds at once.
 
     K-fold transforms test rows with their known cohort and true target (see the policy label);
     leave-one-dataset-out leaves test rows as they are.
     """
-    folds = sorted(r["fold"] for r in scans.select("fold").distinct().collect())
-    references = tangent.reference_matrices(scans, "matrix", "fold", metric) if features == "tangent" else {}
-    trains, tests = None, None
-    for fold in folds:
-        if features == "tangent":
-            rows = tangent.tangent_features(scans, references[fold])
-        else:
-            rows = _corrvec(scans)
-        train, test, _ = harmonize.harmonize_folds(
-            rows.where(F.col("fold") != fold), rows.where(F.col("fold") == fold), protocol, dataset, covariate=y)
-        part = train.select("inner", "features", y, F.lit(fold).alias("outer"))
-        trains = part if trains is None else trains.unionByName(part)
-        tests = test if tests is None else tests.unionByName(test)
-    return ridge.predict(tests, ridge_tiles.tuned_models(trains, "outer", "inner", own_training=True, y=y))
+    if features == "tangent":
+        references = tangent.reference_matrices(scans, "matrix", "fold", metric)
+        train = tangent.tangent_of_training(scans, references)
+        test = tangent.tangent_of_own_fold(scans, references)
+        model = harmonize.fit_folds(train, "outer", dataset, covariate=y, own_training=True)
+    else:
+        test = _corrvec(scans)
+        model = harmonize.fit_folds(test, "fold", dataset, covariate=y)
+        folds = [r["fold"] for r in scans.select("fold").distinct().collect()]
+        train = test.withColumn("outer", F.explode(F.array(*map(F.lit, folds)))).where("outer <> fold")
+    _, to_test, _, _ = registry.HARMONIZATION_POLICY[protocol]
+    done = harmonize.apply(train.select("inner", "features", y, dataset, "outer"), model)
+    if to_test:
+        test = harmonize.apply(test.withColumn("outer", F.col("fold")), model).drop("outer")
+    return ridge.predict(test, ridge_tiles.tuned_models(done, "outer", "inner", own_training=True, y=y))
 
 
 def scored(predictions: DataFrame, y: str, protocol: str) -> DataFrame:

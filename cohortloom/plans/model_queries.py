@@ -184,6 +184,28 @@ def combat_apply_long(spark: SparkSession, folder: str) -> DataFrame:
     return done.select("scan_id", F.col("feature").cast("bigint").alias("feature"), fixed("value").alias("value"))
 
 
+@query(f"""WITH {LONG_SQL}, o AS (SELECT DISTINCT scan_id % 5 AS outer_fold FROM x),
+t AS (SELECT o.outer_fold, x.* FROM x JOIN o ON x.scan_id % 5 <> o.outer_fold),
+s AS (SELECT outer_fold, site, feature, count(*) AS n, avg(v) AS mv, avg(age) AS ma, covar_pop(age, v) * count(*) AS sxy,
+  var_pop(age) * count(*) AS sxx FROM t GROUP BY 1, 2, 3),
+b AS (SELECT outer_fold, feature, sum(sxy) / sum(sxx) AS b FROM s GROUP BY 1, 2),
+g AS (SELECT outer_fold, feature, any_value(b) AS b, sum(n * (mv - b * ma)) / sum(n) AS grand FROM s JOIN b USING (outer_fold, feature) GROUP BY 1, 2),
+r AS (SELECT outer_fold, t.feature, sqrt(avg(pow(v - (s.mv - b.b * s.ma) - b.b * age, 2))) AS scale
+  FROM t JOIN s USING (outer_fold, site, feature) JOIN b USING (outer_fold, feature) GROUP BY 1, 2),
+m AS (SELECT outer_fold, site, feature, avg((v - grand - b * age) / scale) AS zmean, var_samp((v - grand - b * age) / scale) AS zvar
+  FROM t JOIN g USING (outer_fold, feature) JOIN r USING (outer_fold, feature) GROUP BY 1, 2, 3)
+SELECT x.scan_id, x.feature, CAST(m.outer_fold AS VARCHAR) AS left_out,
+  round(scale * ((v - grand - b * age) / scale - zmean) / sqrt(zvar) + grand + b * age, 6) + 0.0 AS value
+FROM x JOIN m ON m.outer_fold = x.scan_id % 5 AND m.site = x.site AND m.feature = x.feature
+JOIN g ON g.outer_fold = m.outer_fold AND g.feature = m.feature JOIN r ON r.outer_fold = m.outer_fold AND r.feature = m.feature""")
+def combat_folds(spark: SparkSession, folder: str) -> DataFrame:
+    """Every row harmonized by the model of the folds it is not in; the models of all folds come from one pass."""
+    rows = feature_rows(spark, folder).withColumn("outer", (F.col("scan_id") % 5).cast("string"))
+    model = harmonize.fit_folds(rows, "outer", "site", kind="linear", empirical_bayes=False)
+    return harmonize.apply(rows, model).select("scan_id", "outer", F.posexplode("features").alias("feature", "v")).select(
+        "scan_id", F.col("feature").cast("bigint").alias("feature"), F.col("outer").alias("left_out"), fixed("v").alias("value"))
+
+
 @query()
 def combat_spline(spark: SparkSession, folder: str) -> DataFrame:
     rows = feature_rows(spark, folder)
