@@ -90,13 +90,16 @@ def vectors_with_diagonal(spark: SparkSession, folder: str) -> DataFrame:
         "scan_id", F.col("place").cast("bigint").alias("place"), fixed("v").alias("feature"))
 
 
-@query("""WITH d AS (SELECT user_id AS scan_id, CAST(ts AS DATE) AS t, avg(value) FILTER (WHERE event_type = 'view') AS v,
-  avg(value) FILTER (WHERE event_type = 'click') AS c FROM events GROUP BY 1, 2)
+CHANNELS = ("view", "click", "signup", "purchase", "error")
+
+
+@query(f"""WITH d AS (SELECT user_id AS scan_id, CAST(ts AS DATE) AS t,
+  {", ".join(f"avg(value) FILTER (WHERE event_type = '{c}') AS {c}" for c in CHANNELS)} FROM events GROUP BY 1, 2)
 SELECT scan_id, CASE WHEN count(*) < 2 THEN 'too_short' ELSE 'not_finite' END AS problem FROM d GROUP BY scan_id
-HAVING count(*) < 2 OR bool_or(v IS NULL OR c IS NULL)""")
+HAVING count(*) < 2 OR bool_or({" OR ".join(f"{c} IS NULL" for c in CHANNELS)})""")
 def series_contract(spark: SparkSession, folder: str) -> DataFrame:
     daily = table(spark, folder, "events").groupBy(F.col("user_id").alias("scan_id"), F.to_date("ts").alias("t")).agg(
-        F.array(*[F.avg(F.when(F.col("event_type") == c, F.col("value"))) for c in ("view", "click")]).alias("reading"))
+        F.array(*[F.avg(F.when(F.col("event_type") == c, F.col("value"))) for c in CHANNELS]).alias("reading"))
     return connectome.series_problems(connectome.gathered_series(daily, "scan_id"), "scan_id")
 
 

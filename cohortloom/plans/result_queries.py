@@ -205,7 +205,7 @@ def latest_run(spark: SparkSession, folder: str) -> DataFrame:
     return results.latest_pooled_runs(file_list(spark, folder))
 
 
-def single_files(spark: SparkSession, folder: str, nations: str = "c_nationkey < 20") -> DataFrame:
+def single_files(spark: SparkSession, folder: str) -> DataFrame:
     """Single-cohort file names: nation as cohort, market segment as model, month of the order as run."""
     orders = spark.read.parquet(f"{folder}/orders.parquet")
     customer = spark.read.parquet(f"{folder}/customer.parquet")
@@ -215,7 +215,7 @@ def single_files(spark: SparkSession, folder: str, nations: str = "c_nationkey <
         "AUTOMOBILE", "Ridge_AgeReg_VecCorr", "FURNITURE", "SPDNet_AgeReg_epochs100")])[F.col("c_mktsegment")]
     return (
         orders.join(customer, F.col("o_custkey") == F.col("c_custkey"))
-        .join(nation, F.col("c_nationkey") == F.col("n_nationkey")).where(nations)
+        .join(nation, F.col("c_nationkey") == F.col("n_nationkey"))
         .select(F.concat(F.lit("["), F.date_format("o_orderdate", "yyyy-MM-'01 10:00:00]'"), F.col("n_name"),
                          F.lit("_"), part, F.lit(".csv")).alias("file_name"))
         .distinct()
@@ -227,7 +227,7 @@ SINGLE_FILES_SQL = """names AS (SELECT DISTINCT '[' || strftime(o_orderdate, '%Y
   WHEN 'AUTOMOBILE' THEN 'Ridge_AgeReg_VecCorr' WHEN 'FURNITURE' THEN 'SPDNet_AgeReg_epochs100' END || '.csv' AS file_name,
   n_name, CASE c_mktsegment WHEN 'BUILDING' THEN 'Dummy' WHEN 'MACHINERY' THEN 'Ridge' WHEN 'FURNITURE' THEN 'SPDNet' ELSE 'VecCorrRidge' END AS model,
   date_trunc('month', o_orderdate) + INTERVAL 10 HOUR AS run_time
-  FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey WHERE c_nationkey < 20 AND c_mktsegment IN
+  FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey WHERE c_mktsegment IN
   ('BUILDING', 'MACHINERY', 'HOUSEHOLD', 'AUTOMOBILE', 'FURNITURE')),
 picked AS (SELECT * FROM names QUALIFY row_number() OVER (PARTITION BY n_name, model ORDER BY run_time DESC, file_name DESC) = 1)"""
 
@@ -240,14 +240,14 @@ def run_coverage(spark: SparkSession, folder: str) -> DataFrame:
     return results.run_coverage(single_files(spark, folder), nations)
 
 
-@query(f"""WITH {SINGLE_FILES_SQL.replace("c_nationkey < 20 AND ", "")} SELECT n_name AS dataset, m.model, file_name, run_time, file_name IS NULL AS missing
+@query(f"""WITH {SINGLE_FILES_SQL} SELECT n_name AS dataset, m.model, file_name, run_time, file_name IS NULL AS missing
 FROM (SELECT n_name, unnest(['Dummy', 'Ridge', 'SPDNet', 'VecCorrRidge']) AS model
   FROM (SELECT n_name FROM nation UNION ALL SELECT r_name FROM region)) m LEFT JOIN picked USING (n_name, model)""")
 def run_coverage_whole(spark: SparkSession, folder: str) -> DataFrame:
     """Files of all nations; regions are wanted too and have none."""
     nations = spark.read.parquet(f"{folder}/nation.parquet").select(F.col("n_name").alias("dataset"))
     regions = spark.read.parquet(f"{folder}/region.parquet").select(F.col("r_name").alias("dataset"))
-    return results.run_coverage(single_files(spark, folder, "true"), nations.unionByName(regions))
+    return results.run_coverage(single_files(spark, folder), nations.unionByName(regions))
 
 
 VARIANTS = ["quarterdim", "halfdim", "one", "base", "two", "2layer"]
