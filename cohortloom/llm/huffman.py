@@ -42,7 +42,10 @@ SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u
 LETTERS = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff"
 #: Runs of common letters are parts of their own where the run surely ends, which makes for fewer distinct parts.
 PARTS = re.compile(f" ?[{LETTERS}]++(?![^\\x00-\\x7f])| ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
-PLAIN = re.compile(f" ?[{LETTERS}]+")
+PLAIN = re.compile(f"[{LETTERS}]+")
+#: Parts that the splitting rule also separates where they follow one another; so many are asked for as one text.
+SPACED = re.compile(f" [{LETTERS}]+")
+JOINED = 100
 _HELD: dict[str, "Tokens"] = {}
 
 
@@ -69,26 +72,43 @@ class Tokens:
         # for parts that the splitting rule leaves whole
         self.unsplit.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         self.size = self.tokenizer.get_vocab_size()
+        self.bytes = np.zeros(self.size, dtype=np.int64)
+        for entry, i in self.tokenizer.get_vocab().items():
+            self.bytes[i] = len(entry)  # an entry has a letter for each byte
         self.forget()
 
     def forget(self) -> None:
         self.number = common.Numbers()
         self.flat, self.ends = np.zeros(0, dtype=np.int32), np.zeros(1, dtype=np.int64)
 
-    def _ids(self, parts: list[str]) -> list[list[int]]:
-        """Ids of each part."""
-        plain = [PLAIN.fullmatch(w) is not None for w in parts]
+    def _ids(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all parts one after another, and how many each has."""
+        kind = np.array([0 if SPACED.fullmatch(w) else 1 if PLAIN.fullmatch(w) else 2 for w in parts])
+        order = np.argsort(kind, kind="stable")
+        spaced, plain, others = ([parts[i] for i in np.flatnonzero(kind == k)] for k in range(3))
         collects = gc.isenabled()
         gc.disable()  # so many small lists would start the collector again and again, for nothing
         try:
-            whole = iter([e.ids for e in self.unsplit.encode_batch_fast(
-                [w for w, p in zip(parts, plain) if p], add_special_tokens=False)])
-            others = iter([e.ids for e in self.tokenizer.encode_batch_fast(
-                [w for w, p in zip(parts, plain) if not p], add_special_tokens=False)])
-            return [next(whole if p else others) for p in plain]
+            joined = self._flat(self.tokenizer, ["".join(spaced[i:i + JOINED]) for i in range(0, len(spaced), JOINED)])[0]
+            alone = [self._flat(self.unsplit, plain), self._flat(self.tokenizer, others)]
         finally:
             if collects:
                 gc.enable()
+        upto, ends = np.cumsum(self.bytes[joined]), np.cumsum([len(w.encode()) for w in spaced], dtype=np.int64)
+        cut = np.searchsorted(upto, ends) + 1
+        if len(cut) and (cut[-1] != len(joined) or (upto[cut - 1] != ends).any()):
+            raise ValueError("the tokenizer does not split before spaces")
+        sizes = np.concatenate([np.diff(cut, prepend=0), *[x[1] for x in alone]])
+        flat = np.concatenate([joined, *[x[0] for x in alone]])
+        back = np.argsort(order, kind="stable")  # from the order of kinds to that of the parts
+        starts, lengths = (np.cumsum(sizes) - sizes)[back], sizes[back]
+        upto = np.cumsum(lengths)
+        return flat[np.repeat(starts - (upto - lengths), lengths) + np.arange(len(flat))], lengths
+
+    @staticmethod
+    def _flat(tokenizer, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        ids = [e.ids for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        return np.fromiter(chain.from_iterable(ids), dtype=np.int32), np.fromiter(map(len, ids), dtype=np.int64, count=len(ids))
 
     def encode(self, texts: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts one after another, each with the end id, and where each starts."""
@@ -98,9 +118,9 @@ class Tokens:
         counts = np.array([len(words) for words in split], dtype=np.int64)
         used, new = self.number.of(split)
         if new:
-            got = self._ids(new)
-            self.flat = np.concatenate([self.flat, np.fromiter(chain.from_iterable(got), dtype=np.int32)])
-            self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum([len(ids) for ids in got])])
+            got, lengths = self._ids(new)
+            self.flat = np.concatenate([self.flat, got])
+            self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum(lengths)])
         sizes = np.diff(self.ends)[used]
         upto = np.concatenate([[0], np.cumsum(sizes)])
         ids = self.flat[np.repeat(self.ends[:-1][used] - upto[:-1], sizes) + np.arange(upto[-1])]
@@ -216,19 +236,31 @@ def encode_documents(docs: DataFrame, id_column: str = "doc_id", text_column: st
                      tokenizer: str | None = None) -> DataFrame:
     """(id, row, n, packed) of every row, written: its ids with the end id as deflated bytes.
 
-    The one pass over the texts; counting and coding read this table.
+    The one pass over the texts; coding reads this table. Every task adds a row without ``packed`` that lists the ids it
+    ``met`` and how many ``times``, for the counts of the corpus.
     """
     named = docs.select(F.col(id_column).alias("id"), F.col(text_column).alias("_text"))
-    out = T.StructType([named.schema["id"], T.StructField("n", T.LongType()), T.StructField("packed", T.BinaryType())])
+    pairs = T.ArrayType(T.LongType())
+    out = T.StructType([named.schema["id"], T.StructField("n", T.LongType()), T.StructField("packed", T.BinaryType()),
+                        T.StructField("met", pairs), T.StructField("times", pairs)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = tokens(tokenizer)
+        counts, id_type = np.zeros(own.size, dtype=np.int64), None
         for whole in batches:
+            id_type = whole.schema.field("id").type
             for batch in (whole.slice(at, 500) for at in range(0, whole.num_rows, 500)):
                 ids, starts = own.encode(common.texts(batch.column("_text")))
+                counts += np.bincount(ids, minlength=own.size)
+                none = pa.nulls(batch.num_rows, pa.list_(pa.int64()))
                 yield common.with_columns(batch, ["id"], {
                     "n": pa.array(np.diff(starts)),
-                    "packed": pa.array([shrunk(ids[a:b]) for a, b in zip(starts, starts[1:])], pa.binary())})
+                    "packed": pa.array([shrunk(ids[a:b]) for a, b in zip(starts, starts[1:])], pa.binary()), "met": none, "times": none})
+        if id_type is not None:
+            met = np.flatnonzero(counts)
+            yield pa.RecordBatch.from_arrays(
+                [pa.nulls(1, id_type), pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()),
+                 *[pa.array([x.tolist()], pa.list_(pa.int64())) for x in (met, counts[met])]], names=out.fieldNames())
 
     return cut_lineage(named.mapInArrow(run, out).withColumn("row", F.monotonically_increasing_id()))
 
@@ -244,23 +276,9 @@ def grown(data: bytes) -> np.ndarray:
 
 
 def id_counts(encoded: DataFrame) -> np.ndarray:
-    """Occurrences of every id over all documents; tasks add up their own rows first."""
-
-    def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(1, dtype=np.int64)
-        for batch in batches:
-            for data in batch.column("packed").to_pylist():
-                part = np.bincount(grown(data))
-                if len(part) > len(total):
-                    part[:len(total)] += total
-                    total = part
-                else:
-                    total[:len(part)] += part
-        used = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(total[used])], names=["i", "n"])
-
-    rows = encoded.select("packed").mapInArrow(add_up, "i bigint, n bigint").groupBy("i").agg(
-        F.sum("n").alias("n")).collect()  # at most the size of the vocabulary
+    """Occurrences of every id over all documents, from the counts of the tasks."""
+    rows = encoded.where("packed IS NULL").select(F.explode(F.arrays_zip("met", "times")).alias("x")).groupBy(
+        F.col("x.met").alias("i")).agg(F.sum("x.times").alias("n")).collect()  # at most the size of the vocabulary
     counts = np.zeros(max([r["i"] for r in rows], default=0) + 1, dtype=np.int64)
     for row in rows:
         counts[row["i"]] = row["n"]
@@ -279,7 +297,7 @@ def write_files(encoded: DataFrame, folder: str, lengths: np.ndarray) -> DataFra
     """
     codes = canonical_codes(lengths)
     storage.make_folder(folder)
-    ordered = encoded.repartitionByRange("id", "row").sortWithinPartitions("id", "row").select(
+    ordered = encoded.where("packed IS NOT NULL").select("id", "row", "packed").repartitionByRange("id", "row").sortWithinPartitions("id", "row").select(
         "id", "packed", F.spark_partition_id().alias("range"))
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
