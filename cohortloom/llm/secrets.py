@@ -1,10 +1,10 @@
 """Secret scans: fixed patterns, and further tokens whose format looks like the credentials found by them.
 
-What the patterns find is the labelled sample: per kind, the ``SAMPLE`` distinct values with the smallest hashes. For each
-kind a prefix tree of its values is merged into a probabilistic automaton. Every run of credential
-characters from the shortest learned length on is a candidate unless a pattern's span covers it (so is one
-that only holds such a span), and becomes a ``format`` span if some
-automaton accepts it and explains it better than the characters of the candidates at large do, by
+What the patterns find is the labelled sample: per kind ``SAMPLE`` distinct values, of all shapes (length and classes of
+characters) in turn, each by smallest hash. For each kind a prefix tree of its values is merged into a probabilistic automaton.
+Every run of credential characters from the shortest learned length on is a candidate unless a pattern's span covers it
+(so is one that only holds such a span), and becomes a ``format`` span if some automaton accepts it, by the bounds that
+its own examples keep (see ``grammars``), and explains it better than the characters of the candidates at large do, by
 ``MIN_BITS`` in all and ``MIN_BITS_EACH`` per character.
 
 Spans are code points, end exclusive. Null and empty texts have no spans. Rows with equal ids are rows of
@@ -20,7 +20,7 @@ from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -127,10 +127,16 @@ def learn(found: DataFrame) -> Formats:
     count per character reach the driver."""
     values = found.where("size(values) > 0").select(
         F.posexplode("values").alias("i", "value"), "base").selectExpr("base[3 * i] AS kind", "value")
+    shape = F.concat_ws(":", F.char_length("value"), *[F.col("value").rlike(c).cast("string") for c in (
+        "[0-9]", "[A-Z]", "[a-z]", "[+/_.=-]")])
+    # of each shape the smallest hash in each of 50 times SAMPLE cells, so that no more of a shape meet in one task
+    cells = values.select("kind", "value", shape.alias("shape"), F.xxhash64("value").alias("h")).groupBy(
+        "kind", "shape", F.pmod("h", F.lit(50 * SAMPLE)).alias("cell")).agg(F.min(F.struct("h", "value")).alias("x"))
+    turn = F.row_number().over(Window.partitionBy("kind", "shape").orderBy("x"))
+    ranked = cut_lineage(cells.select("kind", turn.alias("turn"), "x.*"))
     credentials = {}
     for kind in range(3):
-        rows = values.where(F.col("kind") == kind).select("value").distinct().orderBy(
-            F.xxhash64("value"), "value").limit(SAMPLE).collect()
+        rows = ranked.where(F.col("kind") == kind).orderBy("turn", "h", "value").limit(SAMPLE).collect()
         credentials[kind] = [r["value"] for r in rows]
     others = found.select(F.explode("others").alias("value")).distinct()
     seen = others.mapInArrow(_characters, "c string, n long").groupBy("c").agg(F.sum("n").alias("n")).collect()
