@@ -6,11 +6,14 @@ a cut, so the segmentation of the text is made of those of its parts. Distinct p
 those of equal length advance as the rows of a matrix. Hashes of substrings come from prefix hashes and are looked
 up among the sorted hashes of the pieces.
 
-A BPE model merges: of all neighbours that make a piece together, those with the highest score are joined, the
-leftmost of equals, until none are left. Every row loses one symbol a step, so rows keep one width until
-they are done. Parts of more than ``LONG_PART`` characters are merged one by one with a heap. A unigram model
-takes the segmentation with the largest sum of scores (Viterbi): at each place the piece with the largest sum
-so far is stored as the way back. Ties go to the longest piece.
+Every place of a part stores the piece that leads to it (Viterbi): the way back gives the ids. For a unigram model it is
+the piece with the largest sum of scores so far, of equal sums the longest. A BPE model merges, always the
+neighbours whose piece has the highest score, the leftmost of equals; what it makes of the characters up to a place is what
+it makes of those up to the last piece's start, and that piece. So exactly one piece leads to each place: the one that
+merging makes of its own characters and that stays apart from the piece leading to its start. Whether two pieces
+stay apart is seen by undoing their merges, the last one first, or, for pieces that share a score (runs of marks), by
+merging the two; answers are remembered by pair. Parts of more than
+``LONG_PART`` characters go through the same search one by one, so that a long part needs only its own way back.
 
 A character without a piece of its own (in Viterbi it costs the lowest score less ten) is written as its bytes, or as the
 unknown piece where the model has no bytes. Decoding joins the pieces and turns marks into spaces, so a text comes
@@ -37,8 +40,10 @@ PARTS = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
 #: Characters of parts that are solved in one block, and parts that a worker remembers.
 BLOCK_CHARS = 200_000
 REMEMBERED = 150_000
-#: Characters up to which a part is merged as the row of a matrix; the steps of a row cost the square of its length.
+#: Characters up to which a part of a BPE model is a row of a matrix.
 LONG_PART = 48
+#: Places for remembered pairs, a power of two.
+PAIRS = 1 << 20
 UNKNOWN_COST = 10.0
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -81,6 +86,7 @@ class Codec:
         self.place = {pieces[i]: k for k, i in enumerate(order.tolist())}
         if (self.keys[1:] == self.keys[:-1]).any():
             raise ValueError("two pieces with one hash")
+        self.sizes = np.array([len(pieces[i]) for i in order.tolist()], dtype=np.int64)
         self.maybe = np.zeros(1 << 21, dtype=bool)
         self.maybe[(self.keys >> np.uint64(43)).astype(np.int64)] = True
         self.unknown_score = float(self.scores.min()) - UNKNOWN_COST
@@ -89,6 +95,8 @@ class Codec:
         self.is_byte = np.zeros(size, dtype=bool)
         self.is_byte[list(self.byte_of)] = True
         self.forget()
+        if merges:
+            self._undo_merges()
 
     @classmethod
     def from_file(cls, path: str) -> "Codec":
@@ -107,6 +115,11 @@ class Codec:
             raise ValueError(f"{path}: neither a BPE nor a unigram model")
         if any(p.type in (kinds.USER_DEFINED, kinds.UNUSED) for p in proto.pieces):
             raise ValueError(f"{path}: user-defined and unused pieces are not supported")
+        rules = proto.normalizer_spec
+        if (rules.precompiled_charsmap or rules.remove_extra_whitespaces or not rules.add_dummy_prefix
+                or not rules.escape_whitespaces or spec.treat_whitespace_as_suffix
+                or proto.denormalizer_spec.precompiled_charsmap):
+            raise ValueError(f"{path}: normalizing texts is not supported")
         return cls([model.id_to_piece(i) for i in plain], [model.get_score(i) for i in plain], plain, bytes_,
                    model.unk_id(), size, merges=spec.model_type == spec.BPE)
 
@@ -136,9 +149,118 @@ class Codec:
         """Ids of the largest sums of all words one after another, and the length of each word's share."""
         return self._in_blocks(words, self._solve_block)
 
-    def merge(self, words: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
-        """The same by merging."""
-        return self._in_blocks(words, self._merge_block)
+    def solve_apart(self, words: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The same with the pieces a BPE model merges to."""
+        return self._in_blocks(words, self._apart_block)
+
+    def _undo_merges(self) -> None:
+        """The halves of the last merge of every piece, in ``left`` and ``right``; ``made`` are those merging can make.
+
+        A piece is ``slow`` if the ranks of its merges do not rise: it shares a score, or a half of it is slow.
+        """
+        single = self.sizes == 1
+        alone = {p for p in self.pieces if len(p) == 1}
+        if any(c not in alone for p in self.pieces for c in p):
+            raise ValueError("a piece has a character that is no piece")
+        n = len(self.keys)
+        _, rank = np.unique(-self.scores, return_inverse=True)
+        self.rank = np.append(rank, n).astype(np.int64)  # number -1: the lowest
+        self.left, self.right = np.full(n + 1, -1, dtype=np.int64), np.full(n + 1, -1, dtype=np.int64)
+        self.made = np.append(single, False)
+        _, group, shared = np.unique(np.where(single, np.inf, self.scores), return_inverse=True, return_counts=True)
+        self.slow = np.append(~single & (shared[group] > 1), False)
+        self.pair_of = np.zeros(PAIRS, dtype=np.uint64)
+        self.pair_apart = np.zeros(PAIRS, dtype=bool)
+        self.by_place = sorted(self.place, key=self.place.get)
+        for size in range(2, self.longest + 1):
+            whole = np.flatnonzero(self.sizes == size)
+            words = [self.by_place[i] for i in whole.tolist()]
+            if not words:
+                continue
+            prefix = self._prefixes(words, size)
+            rows = np.arange(len(words))
+            for cut in range(1, size):
+                a = self._numbers(prefix, rows, np.zeros_like(rows), np.full_like(rows, cut))
+                b = self._numbers(prefix, rows, np.full_like(rows, cut), np.full_like(rows, size))
+                own = self.rank[whole]
+                # both halves are there before the merge, and nothing before it joins them
+                early = lambda half: self.made[half] & (single[half] | (self.rank[half] < own))
+                at = np.flatnonzero((a >= 0) & (b >= 0) & early(a) & early(b))
+                at = at[self._stay_apart(a[at].astype(np.int64), b[at].astype(np.int64), own[at])]
+                self.left[whole[at]], self.right[whole[at]], self.made[whole[at]] = a[at], b[at], True
+                self.slow[whole[at]] |= self.slow[a[at]] | self.slow[b[at]]
+            for number, word in zip(whole.tolist(), words):
+                if self.slow[number] or not self.made[number]:
+                    self.made[number], self.slow[number] = self.merged(word) == [word], True
+
+    def merged(self, word: str) -> list[str]:
+        """What merging makes of a short word, by the rule itself."""
+        symbols = list(word)
+        while True:
+            best, at = -np.inf, -1
+            for i in range(len(symbols) - 1):
+                number = self.place.get(symbols[i] + symbols[i + 1])
+                if number is not None and self.scores[number] > best:  # the first of equals
+                    best, at = self.scores[number], i
+            if at < 0:
+                return symbols
+            symbols[at:at + 2] = [symbols[at] + symbols[at + 1]]
+
+    def _joined(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Numbers of the pieces that two pieces make together, -1 where there is none."""
+        found = np.full(len(a), -1, dtype=np.int64)
+        key = self.keys[a] * self.powers[self.sizes[b]] + self.keys[b]
+        may = np.flatnonzero(self.maybe[(key >> np.uint64(43)).astype(np.int64)])
+        key = key[may]
+        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        found[may] = np.where(self.keys[at] == key, at, -1)
+        return found
+
+    def _stay_apart(self, a: np.ndarray, b: np.ndarray, before: np.ndarray | None = None) -> np.ndarray:
+        """Whether merging the characters of two pieces gives just these two, where wanted by merges before a rank only.
+
+        The symbols beside the border last until a merge takes them away from it: the left one at rank ``left_ends``,
+        the right one at ``right_ends``. A lower rank of the two together comes first; of equal ranks the leftmost.
+        """
+        apart = np.ones(len(a), dtype=bool)
+        at = np.arange(len(a))
+        left_ends = np.full(len(a), len(self.keys)) if before is None else before
+        right_ends = left_ends if before is None else before - 1
+        while len(at):
+            rank = self.rank[self._joined(a, b)]
+            joins = (rank < left_ends) & (rank <= right_ends)
+            apart[at[joins]] = False
+            a_rank, b_rank = self.rank[a], self.rank[b]
+            undo_a = (self.left[a] >= 0) & ((self.left[b] < 0) | (a_rank > b_rank))
+            undo_b = ~undo_a & (self.left[b] >= 0)
+            left_ends, right_ends = np.where(undo_a, a_rank, left_ends), np.where(undo_b, b_rank, right_ends)
+            a, b = np.where(undo_a, self.right[a], a), np.where(undo_b, self.left[b], b)
+            on = np.flatnonzero(~joins & (undo_a | undo_b))
+            at, a, b, left_ends, right_ends = at[on], a[on], b[on], left_ends[on], right_ends[on]
+        return apart
+
+    def _apart(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """``_stay_apart`` with the answers remembered, one pair at each place."""
+        code = a.astype(np.uint64) * np.uint64(len(self.keys)) + b.astype(np.uint64) + np.uint64(1)
+        place = ((code * _MIX) >> np.uint64(32)).astype(np.int64) & (PAIRS - 1)
+        answer = self.pair_apart[place]
+        new = np.flatnonzero(self.pair_of[place] != code)
+        if len(new):
+            codes, first, use = np.unique(code[new], return_index=True, return_inverse=True)
+            rows = new[first]
+            one, two = a[rows].astype(np.int64), b[rows].astype(np.int64)
+            slow = self.slow[one] | self.slow[two]
+            found = np.empty(len(rows), dtype=bool)
+            found[~slow] = self._stay_apart(one[~slow], two[~slow])
+            for i in np.flatnonzero(slow):
+                pair = [self.by_place[one[i]], self.by_place[two[i]]]
+                found[i] = self.merged("".join(pair)) == pair
+            answer[new] = found[use]
+            # of pairs with one place the last is kept, in both arrays
+            held, last = np.unique(place[rows][::-1], return_index=True)
+            last = len(rows) - 1 - last
+            self.pair_of[held], self.pair_apart[held] = codes[last], found[last]
+        return answer
 
     @staticmethod
     def _in_blocks(words: Sequence[str], solve_block) -> tuple[np.ndarray, np.ndarray]:
@@ -180,76 +302,73 @@ class Codec:
         found[may] = np.where(self.keys[at] == key, at, -1)
         return found
 
-    def _merge_block(self, words: list[str], length: int) -> tuple[np.ndarray, np.ndarray]:
+    def _apart_block(self, words: list[str], length: int) -> tuple[np.ndarray, np.ndarray]:
         if length > LONG_PART:
-            ways = [self._merge_long(w) for w in words]
+            ways = [self._solve_long(w) for w in words]
             ids = np.full((len(words), max(map(len, ways))), -1, dtype=np.int64)
             for row, way in enumerate(ways):
                 ids[row, :len(way)] = way
             return self._written(words, ids)
-        n = len(words)
+        n, none = len(words), -1
         prefix = self._prefixes(words, length)
-        gains = np.append(self.scores, -np.inf)  # number -1 is no piece
-        rows, ids = np.arange(n), np.full((n, length), -1, dtype=np.int64)
-        bound = np.tile(np.arange(length + 1), (n, 1))
-        symbol = self._numbers(prefix, rows[:, None], bound[:, :-1], bound[:, 1:])
-        pair = self._numbers(prefix, rows[:, None], bound[:, :-2], bound[:, 2:])
-        gain = gains[pair]
-        for width in range(length, 0, -1):
-            at = np.arange(len(rows))
-            j = gain.argmax(axis=1) if width > 1 else None  # the first of equals
-            on = gain[at, j] > -np.inf if width > 1 else np.zeros(len(rows), dtype=bool)
-            if not on.all():
-                off = ~on
-                ids[rows[off], :width] = np.where(symbol[off] >= 0, self.ids[np.maximum(symbol[off], 0)], -2 - bound[off, :-1])
-                if not on.any():
-                    break
-                rows, bound, symbol, pair, gain, j = rows[on], bound[on], symbol[on], pair[on], gain[on], j[on]
-                at = np.arange(len(rows))
-            symbol[at, j] = pair[at, j]
-            symbol, bound = _without(symbol, at, j + 1), _without(bound, at, j + 1)
-            pair, gain = _without(pair, at, j), _without(gain, at, j)
-            for first in (j - 1, j):  # the pairs the new symbol is in
-                some = np.flatnonzero((first >= 0) & (first < width - 2))
-                k = first[some]
-                number = self._numbers(prefix, rows[some], bound[some, k], bound[some, k + 2])
-                pair[some, k], gain[some, k] = number, gains[number]
-        return self._written(words, ids)
-
-    def _merge_long(self, word: str) -> list[int]:
+        # every piece in every row, by the place it leads to
+        rows, starts, ends, numbers = [], [], [], []
+        for size in range(1, min(self.longest, length) + 1):
+            sub = prefix[:, size:] - prefix[:, :-size] * self.powers[size]
+            row, start = np.nonzero(self.maybe[(sub >> np.uint64(43)).astype(np.int64)])
+            key = sub[row, start]
+            at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+            hit = (self.keys[at] == key) & self.made[at]
+            rows.append(row[hit])
+            starts.append(start[hit])
+            ends.append(start[hit] + size)
+            numbers.append(at[hit])
+        row, start, end, number = map(np.concatenate, (rows, starts, ends, numbers))
+        order = np.argsort(end, kind="stable")
+        row, start, number = row[order], start[order], number[order]
+        upto = np.searchsorted(end[order], np.arange(1, length + 2))
+        # a character without a piece stays by itself
+        back = np.tile(np.arange(-1, length, dtype=np.int32), (n, 1))
+        last = np.full((n, length + 1), none, dtype=np.int64)
+        for place in range(1, length + 1):
+            share = slice(upto[place - 1], upto[place])
+            r, s, piece = row[share], start[share], number[share]
+            before = last[r, s]
+            on = before == none
+            ask = np.flatnonzero(~on)
+            on[ask] = self._apart(before[ask], piece[ask])
+            last[r[on], place], back[r[on], place] = piece[on], s[on]
+        at, end, steps = np.arange(n), np.full(n, length), []
+        while (end > 0).any():
+            piece, start = last[at, end], np.maximum(back[at, end], 0)
+            steps.append(np.where(end > 0, np.where(piece >= 0, self.ids[piece], -2 - start), -1))
+            end = start
+        return self._written(words, np.stack(steps[::-1], axis=1).astype(np.int64))
+
+    def _solve_long(self, word: str) -> list[int]:
         """Ids of one word, -2 less the place for a character without a piece."""
         n = len(word)
-        end, before = list(range(1, n + 1)), list(range(-1, n - 1))  # of the symbol that starts here; 0 once it is joined
-        heap: list[tuple[float, int, int, int]] = []
-
-        def offer(start: int, middle: int, stop: int) -> None:
-            if stop - start <= self.longest and (number := self.place.get(word[start:stop])) is not None:
-                heap.append((-self.scores[number], start, middle, stop))
-
-        for i in range(n - 1):
-            offer(i, i + 1, i + 2)
-        heapq.heapify(heap)
-        while heap:
-            _, start, middle, stop = heapq.heappop(heap)
-            if end[start] != middle or end[middle] != stop:
-                continue
-            end[start], end[middle] = stop, 0
-            offered = len(heap)
-            if before[start] >= 0:
-                offer(before[start], start, stop)
-            if stop < n:
-                before[stop] = start
-                offer(start, stop, end[stop])
-            new = heap[offered:]
-            del heap[offered:]
-            for item in new:
-                heapq.heappush(heap, item)
-        out, at = [], 0
-        while at < n:
-            number = self.place.get(word[at:end[at]])
-            out.append(-2 - at if number is None else int(self.ids[number]))
-            at = end[at]
-        return out
+        last, back = [-1] * (n + 1), list(range(-1, n))
+        known: dict[tuple[int, int], bool] = {}
+        one = np.zeros(1, dtype=np.int64)
+        for end in range(1, n + 1):
+            for start in range(max(0, end - self.longest), end):
+                number = self.place.get(word[start:end], -1)
+                if number < 0 or not self.made[number]:
+                    continue
+                pair = (last[start], number)
+                if pair[0] >= 0 and pair not in known:
+                    if len(known) > PAIRS:
+                        known.clear()
+                    known[pair] = bool(self._apart(one + pair[0], one + number)[0])
+                if pair[0] < 0 or known[pair]:
+                    last[end], back[end] = number, start
+                    break
+        out, at = [], n
+        while at > 0:
+            out.append(-2 - back[at] if last[at] < 0 else int(self.ids[last[at]]))
+            at = back[at]
+        return out[::-1]
 
     def _solve_block(self, words: list[str], length: int) -> tuple[np.ndarray, np.ndarray]:
         n = len(words)
@@ -317,7 +436,7 @@ class Codec:
         if len(self.number) + len(new) > REMEMBERED:
             self.forget()
             new = list({w for words in split for w in words})
-        ids, lengths = self.merge(new) if self.merges else self.solve(new)
+        ids, lengths = self.solve_apart(new) if self.merges else self.solve(new)
         self.number.update(zip(new, range(len(self.number), len(self.number) + len(new))))
         self.flat = np.concatenate([self.flat, ids])
         self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum(lengths)])
@@ -351,13 +470,6 @@ class Codec:
         return joined[1:] if joined.startswith(" ") else joined
 
 
-def _without(matrix: np.ndarray, rows: np.ndarray, columns: np.ndarray) -> np.ndarray:
-    """One column less: in each row the given one is left out."""
-    keep = np.ones(matrix.shape, dtype=bool)
-    keep[rows, columns] = False
-    return matrix[keep].reshape(len(matrix), matrix.shape[1] - 1)
-
-
 def _gathered(flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray, used: np.ndarray) -> np.ndarray:
     """The shares of ``flat`` with the given numbers, one after another."""
     lengths = sizes[used]

@@ -260,6 +260,33 @@ def test_viterbi_is_the_best_segmentation(spark, folder):
             assert sum(scores[codec.text[i]] for i in got) == pytest.approx(brute_viterbi(codec, scores, word))
 
 
+@pytest.mark.parametrize("seed", range(12))
+def test_pieces_of_any_merges(seed):
+    """Pieces with any scores, also equal ones, and parts on both sides of the length for rows: plain merging decides."""
+    import random
+
+    draw = random.Random(seed)
+    letters = "abc▁"[:2 + seed % 3]
+    pieces = list(letters)
+    while len(pieces) < 40:
+        piece = "".join(draw.choice(letters) for _ in range(draw.randint(2, 5))) if seed % 2 else draw.choice(
+            pieces) + draw.choice(pieces)
+        if len(piece) <= 12 and piece not in pieces:
+            pieces.append(piece)
+    scores = [-float(i if seed % 4 else i // 3) for i in range(len(pieces))]
+    if seed % 2:
+        draw.shuffle(scores)
+    made = sentencepiece_codec.Codec(pieces, scores, range(1, 41), {}, 0, 41, merges=True)
+    words = list({"".join(draw.choice(letters + "?") for _ in range(draw.randint(1, 70))) for _ in range(300)})
+    ids, sizes = made.solve_apart(words)
+    at = 0
+    for word, size in zip(words, sizes):
+        wanted = made.merged(word)
+        assert ids[at:at + size].tolist() == [pieces.index(p) + 1 if p in pieces else 0 for p in wanted], word
+        at += size
+    assert at == len(ids)
+
+
 def test_ids_are_those_of_the_library(spark, folder):
     import random
 
