@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from cohortloom.functions.scalars import fixed, number_or_missing
 from cohortloom.operators.ranking import exact_quantiles
+from cohortloom.session import cut_lineage
 
 SITE_CANDIDATES = ("Site", "SITE", "SiteID")
 
@@ -120,6 +121,7 @@ def category_fractions(scans: DataFrame, category: str | None, dataset: str = "d
 
 def length_summary(lengths: DataFrame, dataset: str = "dataset", length: str = "n_points") -> DataFrame:
     """Mean, median, shortest and longest series per cohort."""
+    lengths = cut_lineage(lengths.select(dataset, length))  # read three times
     spread = lengths.groupBy(dataset).agg(
         F.avg(length).alias("mean"), F.min(length).alias("shortest"), F.max(length).alias("longest"))
     middle = exact_quantiles(lengths, [dataset], length, {"median": 0.5})

@@ -16,7 +16,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cohortloom.session import cut_lineage
-from cohortloom.sizing import settle_small
+from cohortloom.sizing import BROADCAST_ROWS, settle_small
+
+#: Rows of a group up to which quantiles look at all of its values; not below ``ACCURACY``.
+KEPT_WHOLE = 10_000
+#: Ranks of a sketch are good to one part in so many; enclosures reach so many parts to either side.
+ACCURACY, MARGIN = 10_000, 3
+#: Rows of one group that a window may sort in one task.
+WINDOW_ROWS = 1_000_000
 
 
 def with_running_total(
@@ -99,24 +106,82 @@ def average_ranks(df: DataFrame, keys: Sequence[str], value: str, rank: str = "r
 
 def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str,
                     probabilities: dict[str, float]) -> DataFrame:
-    """Linear-interpolation quantiles per group, exact, one column per entry of ``probabilities``."""
-    counts = (
-        df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("n"))
-    )
-    ranked = with_running_total(counts, keys, [value], "n")
-    first, after = F.col("running") - F.col("n"), F.col("running")
+    """Linear-interpolation quantiles per group, exact, one column per entry of ``probabilities``.
+
+    Selection instead of sorting: one pass takes a sketch per group, whose values enclose each wanted rank; the next
+    counts the rows between those enclosures as a whole and value by value inside them only. Ranks come from these
+    counts, so they do not rest on the sketch: if a wanted rank should lie outside its enclosure, which the result
+    shows, all values are ranked. Groups of up to ``KEPT_WHOLE`` rows keep all their values.
+    """
+    rows = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).alias("_v"))
+    bounds = cut_lineage(_enclosures(rows, keys, sorted(set(probabilities.values()))))
+    sizes = bounds.agg(F.count("*").alias("n"), F.max("_total").alias("largest")).first()
+    if not sizes["n"]:
+        return _picked(_all_ranked(rows, keys), keys, probabilities).drop("_missed")
+    near = _near(rows, bounds, keys, broadcast=sizes["n"] <= BROADCAST_ROWS)
+    # values inside the enclosures of one group: their ranks span the margin and the sketch's own error on either side
+    share = 2.0 * (MARGIN + 1) / ACCURACY * len(set(probabilities.values()))
+    if max(sizes["largest"] * share, KEPT_WHOLE) <= WINDOW_ROWS:
+        running = Window.partitionBy(*keys).orderBy("_at").rowsBetween(Window.unboundedPreceding, 0)
+        ranked = near.withColumn("running", F.sum("n").over(running))
+    else:
+        ranked = with_running_total(near, keys, ["_at"], "n", total="_sum").drop("_sum")
+    table = _picked(ranked, keys, probabilities)
+    if sizes["largest"] > KEPT_WHOLE:
+        table = cut_lineage(table)
+        if not table.where("_missed").isEmpty():
+            table = _picked(_all_ranked(rows, keys), keys, probabilities)
+    return table.drop("_missed")
+
+
+def _enclosures(rows: DataFrame, keys: Sequence[str], wanted: Sequence[float]) -> DataFrame:
+    """(keys, _total, _low, _high): values below and above each wanted rank, NULL for groups that are kept whole."""
+    width = MARGIN / ACCURACY
+    low, high = [max(p - width, 0.0) for p in wanted], [min(p + width, 1.0) for p in wanted]
+    found = rows.groupBy(*keys).agg(
+        F.count("*").alias("_total"), F.percentile_approx("_v", [*low, *high], ACCURACY).alias("_marks"))
+    large = F.col("_total") > KEPT_WHOLE
+    return found.select(
+        *keys, "_total", F.when(large, F.slice("_marks", 1, len(wanted))).alias("_low"),
+        F.when(large, F.slice("_marks", len(wanted) + 1, len(wanted))).alias("_high"))
+
+
+def _near(rows: DataFrame, bounds: DataFrame, keys: Sequence[str], broadcast: bool) -> DataFrame:
+    """(keys, _kept, n, _at, _total): values inside the enclosures with their counts, and one row per gap between them.
+
+    Rows of a gap lie between the same enclosures, so their largest value ``_at`` puts them in order.
+    """
+    named = bounds.select(*[F.col(k).alias(f"_b_{k}") for k in keys], "_total", "_low", "_high")
+    same = [F.col(k).eqNullSafe(F.col(f"_b_{k}")) for k in keys]
+    placed = rows.join(F.broadcast(named) if broadcast else named, same)
+    inside = F.col("_low").isNull() | F.exists(
+        F.arrays_zip("_low", "_high"), lambda e: (e["_low"] <= F.col("_v")) & (F.col("_v") <= e["_high"]))
+    passed = F.size(F.filter("_high", lambda high: high < F.col("_v")))
+    return (
+        placed.select(*keys, "_v", "_total", F.when(inside, F.col("_v")).alias("_kept"), F.when(~inside, passed).alias("_gap"))
+        .groupBy(*keys, "_kept", "_gap")
+        .agg(F.count("*").alias("n"), F.max("_v").alias("_at"), F.max("_total").alias("_total")).drop("_gap"))
+
 
-    def value_at(position: Column) -> Column:
-        return F.max(F.when((first <= position) & (position < after), F.col(value)))
+def _all_ranked(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
+    counts = rows.groupBy(*keys, F.col("_v").alias("_kept")).agg(F.count("*").alias("n"))
+    return with_running_total(counts, keys, ["_kept"], "n", total="_total")
 
-    picks = []
+
+def _picked(ranked: DataFrame, keys: Sequence[str], probabilities: dict[str, float]) -> DataFrame:
+    """Quantiles from the values at the wanted ranks; ``_missed`` where such a rank has no value of its own."""
+    first, after = F.col("running") - F.col("n"), F.col("running")
+    picks, missed = [], F.lit(False)
     for name, p in probabilities.items():
-        spot = F.lit(p) * (F.col("total") - 1)
-        picks += [value_at(F.floor(spot)).alias(f"_{name}_low"), value_at(F.ceil(spot)).alias(f"_{name}_high")]
-    table = ranked.groupBy(*keys).agg(F.max("total").alias("_total"), *picks)
+        spot = F.lit(p) * (F.col("_total") - 1)
+        for end, position in (("low", F.floor(spot)), ("high", F.ceil(spot))):
+            here = (first <= position) & (position < after)
+            picks.append(F.max(F.when(here, F.col("_kept"))).alias(f"_{name}_{end}"))
+            missed = missed | (here & F.col("_kept").isNull())
+    table = ranked.groupBy(*keys).agg(F.max("_total").alias("_total"), F.max(missed).alias("_missed"), *picks)
     out = []
     for name, p in probabilities.items():
         spot = F.lit(p) * (F.col("_total") - 1)
         low, high = F.col(f"_{name}_low"), F.col(f"_{name}_high")
         out.append((low + (high - low) * (spot - F.floor(spot))).alias(name))
-    return table.select(*keys, *out)
+    return table.select(*keys, *out, "_missed")

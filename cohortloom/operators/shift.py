@@ -97,17 +97,15 @@ def stack_offsets(fractions: DataFrame, order_columns: Sequence[str], dataset: s
 def box_statistics(rows: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     """Quartiles, whiskers (furthest values within 1.5 IQR) and outlier count per group."""
     clean = rows.where(F.col(value).isNotNull())
-    # distinct values with counts are all the later steps need
-    counts = clean.groupBy(*keys, value).agg(F.count("*").alias("_n"))
     marks = exact_quantiles(clean, keys, value, {"q1": 0.25, "median": 0.5, "q3": 0.75})
     reach = 1.5 * (F.col("q3") - F.col("q1"))
     inside = F.col(value).between(F.col("q1") - reach, F.col("q3") + reach)
     return (
-        join_small(counts, marks, keys).groupBy(*keys)
+        join_small(clean, marks, keys).groupBy(*keys)
         .agg(F.first("q1").alias("q1"), F.first("median").alias("median"), F.first("q3").alias("q3"),
              F.min(F.when(inside, F.col(value))).alias("whisker_low"),
              F.max(F.when(inside, F.col(value))).alias("whisker_high"),
-             F.sum(F.when(inside, 0).otherwise(F.col("_n"))).alias("n_outliers"))
+             F.sum(F.when(inside, 0).otherwise(1)).alias("n_outliers"))
         .select(*keys, *[fixed(c).alias(c) for c in ("q1", "median", "q3", "whisker_low", "whisker_high")],
                 "n_outliers")
     )

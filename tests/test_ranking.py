@@ -36,6 +36,54 @@ def test_quantiles_match_numpy(spark, n):
     assert np.allclose([row["a"], row["b"], row["c"]], np.quantile(values, [0.25, 0.5, 0.9]))
 
 
+def many_values(spark, shape):
+    draw = np.random.default_rng(8)
+    values = {
+        "distinct": draw.normal(size=6_000) ** 3, "far": np.append(draw.normal(size=5_999), 1e300),
+        "ties": np.where(draw.random(6_000) < 0.6, 4.0, draw.integers(0, 50, 6_000)), "one": np.full(6_000, 2.5)}[shape]
+    rows = [("hot", float(v)) for v in values] + [(None, float(v)) for v in values[:700]] + [("few", 1.0), ("few", 2.0)]
+    groups = {"hot": values, None: values[:700], "few": np.array([1.0, 2.0])}
+    return frame(spark, rows, "g string, v double"), groups
+
+
+@pytest.mark.parametrize("window_rows", [1_000_000, 0])
+@pytest.mark.parametrize("shape", ["distinct", "far", "ties", "one"])
+def test_quantiles_by_selection(spark, monkeypatch, shape, window_rows):
+    monkeypatch.setattr(ranking, "KEPT_WHOLE", 300)
+    monkeypatch.setattr(ranking, "ACCURACY", 300)
+    monkeypatch.setattr(ranking, "WINDOW_ROWS", window_rows)
+    df, groups = many_values(spark, shape)
+    wanted = {"a": 0.0, "b": 0.25, "c": 0.5, "d": 0.501, "e": 0.98, "f": 1.0}
+    got = {r["g"]: [r[c] for c in wanted] for r in ranking.exact_quantiles(df, ["g"], "v", wanted).collect()}
+    assert set(got) == set(groups)
+    for g, values in groups.items():
+        assert np.allclose(got[g], np.quantile(values, list(wanted.values())))
+
+
+def test_selection_ranks_few_values(spark, monkeypatch):
+    monkeypatch.setattr(ranking, "KEPT_WHOLE", 300)
+    monkeypatch.setattr(ranking, "ACCURACY", 300)
+    df, _ = many_values(spark, "distinct")
+    rows = df.where("g = 'hot'").withColumnRenamed("v", "_v")
+    near = ranking._near(rows, ranking._enclosures(rows, ["g"], [0.5]), ["g"], True)
+    sums = near.agg(F.count("*").alias("rows"), F.sum("n").alias("n")).first()
+    assert sums["n"] == 6_000 and sums["rows"] <= 2 + 6_000 * 2 * 4 / 300
+
+
+def test_rank_outside_its_enclosure_ranks_everything(spark, monkeypatch):
+    monkeypatch.setattr(ranking, "KEPT_WHOLE", 300)
+    monkeypatch.setattr(ranking, "MARGIN", -3_000)  # enclosures turned inside out hold nothing
+    df, groups = many_values(spark, "distinct")
+    got = {r["g"]: r["q"] for r in ranking.exact_quantiles(df, ["g"], "v", {"q": 0.5}).collect()}
+    assert all(np.isclose(got[g], np.median(values)) for g, values in groups.items())
+
+
+def test_quantiles_of_nothing(spark):
+    df = frame(spark, [("g", None)], "g string, v double")
+    got = ranking.exact_quantiles(df, ["g"], "v", {"q": 0.5})
+    assert got.columns == ["g", "q"] and got.collect() == []
+
+
 def test_metrics_match_numpy(spark):
     rng = np.random.default_rng(0)
     y = rng.integers(20, 30, 80).astype(float)
