@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortloom.functions.scalars import namespaced
+from cohortloom.functions.scalars import fixed, namespaced
 from cohortloom.operators import splits
+from cohortloom.plans.isolated import run_isolated
 from cohortloom.plans.register import query
 from cohortloom.sources.standins import COHORT_SQL, cohort_rows, table
 
@@ -95,6 +96,28 @@ def cohort_status(spark: SparkSession, folder: str) -> DataFrame:
     return splits.cohort_status(problems, cohorts)
 
 
+@query(f"""WITH {COHORT_SQL}, wanted AS (SELECT r_name AS dataset FROM region UNION SELECT n_name FROM nation),
+one AS (SELECT dataset, count(*) AS n_scans, count(DISTINCT subject_id) AS n_subjects, round(avg(age), 6) AS mean_age FROM cohort GROUP BY dataset)
+SELECT dataset, CASE WHEN n_scans IS NULL THEN 'failed' ELSE 'ok' END AS status, CASE WHEN n_scans IS NULL THEN 0 ELSE 1 END AS n_rows,
+n_scans, n_subjects, mean_age FROM wanted LEFT JOIN one USING (dataset)""")
+def isolated_cohorts(spark: SparkSession, folder: str) -> DataFrame:
+    """A job for every name a run may ask for; sites asked for as cohorts have no scans and fail by themselves."""
+    wanted = (
+        table(spark, folder, "region").select("r_name").union(table(spark, folder, "nation").select("n_name"))
+        .distinct().orderBy("r_name"))
+
+    def study(cohort: DataFrame) -> DataFrame:
+        sums = cohort.agg(
+            F.count("*").alias("n"), F.countDistinct("subject_id").alias("n_subjects"), F.avg("age").alias("mean_age"))
+        n_scans = F.when(F.col("n") > 0, F.col("n")).otherwise(F.raise_error(F.lit("no scans")).cast("bigint"))
+        return sums.select(n_scans.alias("n_scans"), "n_subjects", fixed("mean_age").alias("mean_age"))
+
+    rows = cohort_rows(spark, folder).select("dataset", "subject_id", "age")
+    results, status = run_isolated(rows, [r[0] for r in wanted.collect()], study)
+    nothing = spark.createDataFrame([], "dataset string, n_scans bigint, n_subjects bigint, mean_age double")
+    return status.select("dataset", "status", "n_rows").join(nothing if results is None else results, "dataset", "left")
+
+
 @query(f"""WITH {COHORT_SQL} SELECT 'x_' || dataset || '_' || subject_id AS subject, count(*) AS n FROM cohort GROUP BY 1""")
 def subject_group_sizes(spark: SparkSession, folder: str) -> DataFrame:
     key = F.concat(F.lit("x_"), namespaced("dataset", "subject_id"))
