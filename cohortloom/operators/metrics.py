@@ -11,7 +11,7 @@ from cohortloom.functions import registry
 from cohortloom.functions.scalars import missing_if_not_finite, order_of
 from cohortloom.operators.ranking import with_running_total
 from cohortloom.session import cut_lineage
-from cohortloom.sizing import join_small
+from cohortloom.sizing import join_small, join_spread
 
 
 def _varies(low: Column, high: Column) -> Column:
@@ -56,7 +56,7 @@ def spearman(rows: DataFrame, keys: Sequence[str], y: str = "y", yhat: str = "yh
     """Spearman correlation per group, same guards as the other correlations.
 
     Ranks come from distinct values with counts, so a group is never sorted by one task; the ranks are
-    then joined to the distinct (y, yhat) pairs.
+    then joined to the distinct (y, yhat) pairs, a value that many pairs share spread over tasks by its partner.
     """
     used = rows.select(*keys, missing_if_not_finite(y).alias("_t"), missing_if_not_finite(yhat).alias("_p"))
     # read four times below, so written once
@@ -76,15 +76,15 @@ def spearman(rows: DataFrame, keys: Sequence[str], y: str = "y", yhat: str = "yh
     sides = F.array(*[F.struct(F.lit(s).alias("side"), F.col(s).alias("v")) for s in ("_t", "_p")])
     counts = (
         whole.select(*keys, "_c", F.explode(sides).alias("s"))
-        .groupBy(*keys, F.col("s.side").alias("_side"), F.col("s.v").alias("_v")).agg(F.sum("_c").alias("n"))
+        .groupBy(*keys, F.col("s.side").alias("_side"), F.col("s.v").alias("_v")).agg(F.sum("_c").alias("n"), F.count("*").alias("_m"))
     )
     placed = with_running_total(counts, [*keys, "_side"], ["_v"], "n")
-    joined = whole
-    for side in ("_t", "_p"):
+    joined, n_pairs = whole, pairs.count()
+    for side, other in (("_t", "_p"), ("_p", "_t")):
         ranks = placed.where(F.col("_side") == side).select(
             *keys, F.col("_v").alias(side), (F.col("running") - (F.col("n") - 1) / 2.0).alias(f"_r{side}"),
-            F.col("total").alias(f"_n{side}"))
-        joined = joined.join(ranks, [*keys, side])
+            F.col("total").alias(f"_n{side}"), "_m")
+        joined = join_spread(joined, ranks, [*keys, side], "_m", n_pairs, other)
     middle = (F.col("_n_t") + 1) / 2.0
     a, b = F.col("_r_t") - middle, F.col("_r_p") - middle
     sums = joined.groupBy(*keys).agg(

@@ -32,3 +32,21 @@ def join_small(
     """
     settled, fits = settle_small(small, max_rows)
     return big.join(F.broadcast(settled) if fits else settled, on=on, how=how)
+
+
+def join_spread(big: DataFrame, small: DataFrame, on: Sequence[str], rows_of: str, n_rows: int, spread_by: str) -> DataFrame:
+    """Join each row of ``big`` to its one row of ``small`` where many rows may share a key.
+
+    ``rows_of`` (a column of ``small``, dropped) says how many rows of ``big`` have the key, ``n_rows`` how many there are.
+    Keys that more than one row in ``spark.sql.shuffle.partitions`` has, fewer than that many, are broadcast; their
+    rows go through the same shuffle as the others, spread by the hash of ``spread_by``. Keys must not be NULL.
+    """
+    parts = int(big.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    added = [c for c in small.columns if c not in (*on, rows_of)]
+    heavy = F.col(rows_of) * parts > n_rows
+    known = small.where(heavy).select(*on, *[F.col(c).alias(f"_heavy_{c}") for c in added], F.lit(True).alias("_heavy"))
+    rest = small.where(~heavy).select(*on, *added, F.lit(0).alias("_salt"))
+    salt = F.when(F.col("_heavy"), 1 + F.pmod(F.xxhash64(spread_by), F.lit(1 << 30)).cast("int")).otherwise(0)
+    return (
+        big.join(F.broadcast(known), on, "left").withColumn("_salt", salt).join(rest, [*on, "_salt"], "left")
+        .select(*big.columns, *[F.coalesce(f"_heavy_{c}", c).alias(c) for c in added]))

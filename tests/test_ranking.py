@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cohortloom.operators import metrics, ranking
+from cohortloom.sizing import join_spread
 
 
 def frame(spark, rows, schema):
@@ -121,6 +122,39 @@ def test_strict_fold_average_stops_on_wrong_count(spark):
     assert metrics.fold_average(holes, ["metric"]).first()["Avg"] is None
 
 
+def half_equal():
+    draw = np.random.default_rng(4)
+    y, p = draw.normal(size=4_000), draw.normal(size=4_000)
+    p[draw.random(4_000) < 0.5] = 0.25
+    return y, p + 0.3 * y * (p != 0.25)
+
+
+def test_rank_correlation_with_a_hot_value(spark):
+    y, p = half_equal()
+    rows = frame(spark, [("f", float(a), float(b)) for a, b in zip(y, p)] + [("g", 1.0, 2.0), ("g", 2.0, 1.0)],
+                 "fold string, y double, yhat double")
+    got = {r["fold"]: r["Spearman_rho"] for r in metrics.spearman(rows, ["fold"]).collect()}
+    assert np.isclose(got["f"], pd.Series(y).rank().corr(pd.Series(p).rank())) and np.isclose(got["g"], -1.0)
+
+
+def test_hot_keys_are_spread(spark):
+    wanted = {"spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.shuffle.partitions": "16"}
+    before = {k: spark.conf.get(k) for k in wanted}
+    for k, v in wanted.items():
+        spark.conf.set(k, v)
+    try:
+        big = spark.range(8_000).select(F.when(F.col("id") % 2 == 0, -1).otherwise(F.col("id")).alias("k"), F.col("id").alias("v"))
+        small = big.groupBy("k").agg(F.count("*").alias("m"), F.sum("v").alias("s"))
+        joined = join_spread(big, small, ["k"], "m", 8_000, "v")
+        tasks = [r["count"] for r in joined.groupBy(F.spark_partition_id()).count().collect()]
+        assert sum(tasks) == 8_000 and max(tasks) <= 4 * np.median(tasks)
+        same = joined.join(small.withColumnRenamed("s", "wanted"), "k").where("s = wanted").count()
+        assert joined.columns == ["k", "v", "s"] and same == 8_000
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
 @pytest.fixture
 def many_ranges(spark):
     """Many ranges, many Arrow batches per range: the shape a large table has."""
