@@ -103,6 +103,23 @@ DIAGNOSIS_PRIORITY = [
     "control", "ASD", "PTSD-negative", "PTSD-positive", "schizophrenia",
     "no diagnosis label retained",
 ]
+# Cohorts (lower case) with an order of their own, and those of them that show 'missing'.
+DIAGNOSIS_PRIORITY_OF = {
+    "adni": ["CN", "SMC", "MCI", "AD"],
+    "oasis3": [
+        "CDR 0: cognitively normal", "CDR 0.5: very mild impairment", "CDR 1: mild dementia",
+        "CDR 2: moderate dementia", "CDR 3: severe dementia",
+    ],
+}
+DIAGNOSIS_MISSING_SHOWN = ["adni"]
+# Labels as shown in figures; others are shown as they are.
+DIAGNOSIS_SHOWN = {
+    "CDR 0: cognitively normal": "cognitively\nnormal",
+    "CDR 0.5: very mild impairment": "very mild\nimpairment",
+    "CDR 1: mild dementia": "mild\ndementia",
+    "CDR 2: moderate dementia": "moderate",
+    "CDR 3: severe dementia": "severe",
+}
 # Progression rank of a diagnosis label in lower case; anything else ranks 6.
 DIAGNOSIS_PROGRESSION = {
     "control": 0, "cn": 0, "cdr 0: cognitively normal": 0, "ptsd-negative": 0,

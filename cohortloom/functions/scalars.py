@@ -7,6 +7,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from cohortloom.functions import registry
+
 
 def col_of(column: Column | str) -> Column:
     return F.col(column) if isinstance(column, str) else column
@@ -88,6 +90,11 @@ def counted_label(name: Column | str, subjects: Column | str, scans: Column | st
                            F.lit("scans"), col_of(scans))
 
 
+def display_diagnosis(label: Column | str) -> Column:
+    """Diagnosis label as shown in figures."""
+    return F.coalesce(lookup(label, registry.DIAGNOSIS_SHOWN), col_of(label))
+
+
 def display_model(label: Column | str) -> Column:
     """Model label as shown to readers; a trailing star marks the harmonized run."""
     c = col_of(label)

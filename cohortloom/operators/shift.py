@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cohortloom.functions import registry
-from cohortloom.functions.scalars import col_of, fixed, lookup, order_of, seeded_key
+from cohortloom.functions.scalars import col_of, display_diagnosis, fixed, lookup, order_of, seeded_key
 from cohortloom.operators.ranking import exact_quantiles
 from cohortloom.sizing import join_small
 
@@ -86,6 +86,26 @@ def diagnosis_order(labels: DataFrame, label: str = "label",
         label, F.col("priority").cast("bigint"), F.col("progression").cast("bigint"), "position")
 
 
+def diagnosis_order_by_cohort(labels: DataFrame, dataset: str = "dataset", label: str = "label") -> DataFrame:
+    """Order of the distinct labels within each cohort, with the label as shown: (cohort, label, shown, position).
+
+    Cohorts with an order of their own go by it, then by label; the others by the order over all cohorts. 'missing' is left
+    out except where it is shown. Cohort names are compared without case and outer blanks; NULL labels are left out.
+    """
+    name, text = F.lower(F.trim(col_of(dataset))), F.lower(F.trim(col_of(label)))
+    priority = order_of(label, registry.DIAGNOSIS_PRIORITY)
+    progression = F.coalesce(lookup(text, registry.DIAGNOSIS_PROGRESSION), F.lit(6))
+    for cohort, ordered in registry.DIAGNOSIS_PRIORITY_OF.items():
+        own = name == cohort
+        priority = F.when(own, order_of(label, ordered)).otherwise(priority)
+        progression = F.when(own, 0).otherwise(progression)
+        text = F.when(own, F.lit("")).otherwise(text)
+    shown = F.col(label).isNotNull() & ((F.col(label) != "missing") | F.coalesce(name.isin(registry.DIAGNOSIS_MISSING_SHOWN), F.lit(False)))
+    place = Window.partitionBy(dataset).orderBy(priority, progression, text, label)
+    return labels.select(dataset, label).distinct().where(shown).select(
+        dataset, label, display_diagnosis(label).alias("shown"), F.row_number().over(place).cast("bigint").alias("position"))
+
+
 def stack_offsets(fractions: DataFrame, order_columns: Sequence[str], dataset: str = "dataset",
                   value: str = "fraction") -> DataFrame:
     """Left edge of each stacked share. Works on the label-level table: one row per cohort and label."""

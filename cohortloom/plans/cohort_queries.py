@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cohortloom.functions.scalars import (
-    after_first_dash, any_label_flag, counted_label, extract_or_missing, last_part, namespaced,
+    after_first_dash, any_label_flag, counted_label, extract_or_missing, last_part, lookup, namespaced,
     number_or_missing, order_of, recode, session_key,
 )
 from cohortloom.operators import describe, prepare, shift
@@ -447,6 +447,24 @@ def diagnosis_order(spark: SparkSession, folder: str) -> DataFrame:
     return shift.diagnosis_order(table(spark, folder, "part").select(label.alias("label")))
 
 
+@query(f"""WITH {COHORT_SQL}, l AS (SELECT DISTINCT CASE dataset WHEN 'EUROPE' THEN 'ADNI' WHEN 'ASIA' THEN 'OASIS3' ELSE dataset END AS dataset,
+  CASE diagnosis WHEN '1-URGENT' THEN 'AD' WHEN '2-HIGH' THEN 'CN' WHEN '3-MEDIUM' THEN 'missing'
+  WHEN '4-NOT SPECIFIED' THEN 'CDR 1: mild dementia' ELSE 'CDR 0: cognitively normal' END AS label FROM cohort),
+k AS (SELECT *, CASE dataset
+    WHEN 'ADNI' THEN CASE label WHEN 'CN' THEN 0 WHEN 'AD' THEN 3 ELSE 4 END
+    WHEN 'OASIS3' THEN CASE label WHEN 'CDR 0: cognitively normal' THEN 0 WHEN 'CDR 1: mild dementia' THEN 2 ELSE 5 END
+    ELSE CASE label WHEN 'CN' THEN 0 WHEN 'AD' THEN 3 WHEN 'CDR 0: cognitively normal' THEN 4 ELSE 6 END END AS place
+  FROM l WHERE label <> 'missing' OR dataset = 'ADNI')
+SELECT dataset, label, CASE label WHEN 'CDR 0: cognitively normal' THEN 'cognitively' || chr(10) || 'normal'
+  WHEN 'CDR 1: mild dementia' THEN 'mild' || chr(10) || 'dementia' ELSE label END AS shown,
+  row_number() OVER (PARTITION BY dataset ORDER BY place, label) AS position FROM k""")
+def cohort_diagnosis_order(spark: SparkSession, folder: str) -> DataFrame:
+    names = F.coalesce(lookup("dataset", {"EUROPE": "ADNI", "ASIA": "OASIS3"}), F.col("dataset"))
+    labels = lookup("diagnosis", dict(zip(PRIORITIES, (
+        "AD", "CN", "missing", "CDR 1: mild dementia", "CDR 0: cognitively normal"))))
+    return shift.diagnosis_order_by_cohort(cohort_rows(spark, folder).select(names.alias("dataset"), labels.alias("label")))
+
+
 @query(f"""WITH {COHORT_SQL}, c AS (SELECT dataset, diagnosis, count(*) AS n FROM cohort GROUP BY 1, 2)
 SELECT dataset, diagnosis, n, row_number() OVER (ORDER BY CASE dataset WHEN 'EUROPE' THEN 0 WHEN 'ASIA' THEN 1 ELSE 2 END,
   dataset, CASE diagnosis WHEN '5-LOW' THEN 0 ELSE 1 END, diagnosis) AS position FROM c""")

@@ -312,3 +312,16 @@ def test_plain_queries_push_filters_and_prune_columns(spark, folder):
     assert "GreaterThanOrEqual(o_orderdate" in plan and "o_totalprice" not in plan
     gap = QUERIES["lodo_mean_gap"](spark, folder)._jdf.queryExecution().executedPlan().toString()
     assert "o_orderpriority" not in gap and "CartesianProduct" not in gap and "NestedLoop" not in gap
+
+
+def test_diagnosis_order_of_each_cohort(spark):
+    rows = [("Adni", x) for x in ("AD", "missing", "CN", "odd", "AD", None)] + [
+        ("oasis3", x) for x in ("missing", "CDR 2: moderate dementia", "CDR 0: cognitively normal", "a")] + [
+        ("cobre", x) for x in ("schizophrenia", "control", "missing", "zzz")] + [(None, "MCI")]
+    got = shift.diagnosis_order_by_cohort(spark.createDataFrame(rows, "dataset string, label string")).collect()
+    order = {}
+    for r in sorted(got, key=lambda r: r["position"]):
+        order.setdefault(r["dataset"], []).append((r["label"], r["shown"]))
+    assert [x for x, _ in order["Adni"]] == ["CN", "AD", "missing", "odd"]
+    assert order["oasis3"] == [("CDR 0: cognitively normal", "cognitively\nnormal"), ("CDR 2: moderate dementia", "moderate"), ("a", "a")]
+    assert [x for x, _ in order["cobre"]] == ["control", "schizophrenia", "zzz"] and order[None] == [("MCI", "MCI")]
