@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 from cohortloom.functions import registry
 from cohortloom.functions.scalars import missing_if_not_finite
 from cohortloom.operators.ranking import exact_quantiles
-from cohortloom.operators.sums import cell_tables, gathered_cells, product_sums, with_one
+from cohortloom.operators.sums import per_table, product_sums, with_one
 from cohortloom.session import cut_lineage
 from cohortloom.sizing import join_small
 
@@ -123,17 +123,13 @@ def confound_residuals(readings: DataFrame, scan: str = "scan_id", t: str = "t",
     design = readings.select(scan, with_one(confounds).alias("_d"),
                              F.concat(with_one(confounds), F.col(signals)).alias("_r"))
     sums = product_sums(design, [scan], "_d", "_r")
-    out = T.StructType([readings.schema[scan], T.StructField("_coef", T.ArrayType(T.ArrayType(T.DoubleType())))])
+    out = T.StructType([T.StructField("_coef", T.ArrayType(T.ArrayType(T.DoubleType())))])
 
-    def solve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            coefs = []
-            for m in cell_tables(batch):
-                q = m.shape[0]
-                coefs.append([list(c) for c in np.linalg.lstsq(m[:, :q], m[:, q:], rcond=None)[0].T])
-            yield pd.DataFrame({scan: batch[scan], "_coef": coefs})
+    def solve(m: np.ndarray) -> dict[str, pa.Array]:
+        q = m.shape[0]
+        return {"_coef": pa.array([np.linalg.lstsq(m[:, :q], m[:, q:], rcond=None)[0].T.tolist()])}
 
-    fitted = gathered_cells(sums, [scan]).mapInPandas(solve, out)
+    fitted = per_table(sums, [scan], solve, out)
 
     def dot(coef: "F.Column") -> "F.Column":
         pairs = F.zip_with(coef, with_one(confounds), lambda a, b: a * b)
@@ -172,20 +168,17 @@ def high_variance_confounds(voxels: DataFrame, n_confounds: int = 5, top_percent
     unit = series.withColumn("_norm", norm).where("_norm > 0").select(
         scan, F.transform("_x", lambda v: v / F.col("_norm")).alias("_u"))
     sums = product_sums(_equal_length_keys(unit, scan), [scan, "_len"], "_u").where("j < _len")
-    out = T.StructType([voxels.schema[scan], T.StructField("component", T.IntegerType()),
-                        T.StructField("_at", T.IntegerType()), T.StructField("value", T.DoubleType())])
-
-    def lead(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for key, m in zip(batch[scan], cell_tables(batch)):
-                vectors = np.linalg.eigh(m, UPLO="U")[1][:, ::-1][:, :n_confounds]
-                peak = vectors[np.abs(vectors).argmax(axis=0), range(vectors.shape[1])]
-                vectors = vectors * np.where(peak < 0, -1, 1)
-                size, k = vectors.shape
-                yield pd.DataFrame({scan: key, "component": np.tile(np.arange(k), size),
-                                    "_at": np.repeat(np.arange(size), k), "value": vectors.ravel()})
-
-    components = gathered_cells(sums, [scan]).mapInPandas(lead, out)
+    out = T.StructType([T.StructField("component", T.IntegerType()), T.StructField("_at", T.IntegerType()),
+                        T.StructField("value", T.DoubleType())])
+
+    def lead(m: np.ndarray) -> dict[str, pa.Array]:
+        vectors = np.linalg.eigh(m, UPLO="U")[1][:, ::-1][:, :n_confounds]
+        peak = vectors[np.abs(vectors).argmax(axis=0), range(vectors.shape[1])]
+        vectors = vectors * np.where(peak < 0, -1, 1)
+        at, component = (x.ravel().astype(np.int32) for x in np.indices(vectors.shape))
+        return {"component": pa.array(component), "_at": pa.array(at), "value": pa.array(vectors.ravel())}
+
+    components = per_table(sums, [scan], lead, out)
     times = points.select(scan, F.posexplode("_times").alias("_at", t))
     return components.join(times, [scan, "_at"]).select(scan, t, "component", "value")
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -83,9 +83,9 @@ def product_sums(rows: DataFrame, keys: Sequence[str], left: str, right: str | N
                 key = tuple(batch.column(c)[int(where[0])].as_py() for c in range(n_keys))
                 part = a[where].T @ b[where]
                 held[key] = held[key] + part if key in held else part
-            if len(held) > held_groups:
-                yield emit(held, schema)
-                held = {}
+                if len(held) > held_groups:
+                    yield emit(held, schema)
+                    held = {}
         if held:
             yield emit(held, schema)
 
@@ -98,16 +98,20 @@ def with_one(vector: str) -> "F.Column":
     return F.concat(F.array(F.lit(1.0)), F.col(vector))
 
 
-def gathered_cells(sums: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """One row per group with its cells. A group has one cell per (i, j), so its size is fixed by the
-    vectors, not by the rows behind them."""
-    return sums.groupBy(*keys).agg(F.collect_list(F.struct("i", "j", "value")).alias("_cells"))
+def per_table(sums: DataFrame, keys: Sequence[str], work: Callable[[np.ndarray], dict[str, pa.Array]],
+              out: T.StructType) -> DataFrame:
+    """Columns that ``work`` makes of each group's cells as a 2-D array, beside the keys.
 
-
-def cell_tables(batch) -> Iterator[np.ndarray]:
-    """The cells of each row of a gathered batch as a 2-D array."""
-    for cells in batch["_cells"]:
-        i, j, value = (np.array([c[f] for c in cells]) for f in ("i", "j", "value"))
+    One group is in memory at a time. It has one cell per (i, j), so its size is fixed by the vectors, not by the
+    rows behind them.
+    """
+    def one(key: tuple, cells: pa.Table) -> pa.Table:
+        i, j, value = (cells.column(c).to_numpy() for c in ("i", "j", "value"))
         table = np.zeros((i.max() + 1, j.max() + 1))
         table[i, j] = value
-        yield table
+        made = work(table)
+        n = len(next(iter(made.values())))
+        return pa.table({**{k: pa.repeat(v, n) for k, v in zip(keys, key)}, **made})
+
+    return sums.select(*keys, "i", "j", "value").groupBy(*keys).applyInArrow(one, T.StructType(
+        [sums.schema[k] for k in keys] + list(out)))

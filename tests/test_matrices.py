@@ -1,6 +1,8 @@
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from cohortloom.functions import registry
 from cohortloom.operators import connectome, harmonize, ridge, ridge_tiles, signals, sums, tangent
@@ -342,6 +344,19 @@ def test_high_variance_confounds_span_the_leading_components(spark):
     assert np.allclose(np.abs(np.sum(wide * u, axis=0)), 1.0)
 
 
+def test_tables_of_scans_are_solved_one_at_a_time(spark):
+    rows = [(s, a, b, float(RNG.normal())) for s in (None, "a", "b") for a in range(6) for b in range(5)]
+    df = spark.createDataFrame(rows, "scan_id string, t int, voxel int, value double").repartition(3)
+    fitted = signals.high_variance_confounds(df, n_confounds=2, top_percent=60.0)
+    plan = fitted._jdf.queryExecution().executedPlan().toString()
+    assert "FlatMapGroupsInArrow" in plan and "MapInPandas" not in plan
+    cells = spark.createDataFrame([(s, i, j, float(i + 10 * j)) for s in (None, "a") for i in range(2) for j in range(3)],
+                                  "scan string, i int, j int, value double")
+    out = T.StructType([T.StructField("cells", T.ArrayType(T.DoubleType()))])
+    got = sums.per_table(cells, ["scan"], lambda m: {"cells": pa.array([m.ravel()])}, out).collect()
+    assert {r["scan"]: r["cells"] for r in got} == {s: [0.0, 10.0, 20.0, 1.0, 11.0, 21.0] for s in (None, "a")}
+
+
 def test_sample_mask_keeps_mask_order(spark):
     mask = spark.createDataFrame([("a", i, t) for i, t in enumerate([0, 7, 3, 9])] + [("b", 0, 1)], "scan string, pos int, t int")
     got = signals.apply_sample_mask(mask, "scan", "pos", "t").orderBy("pos").toPandas()
