@@ -11,7 +11,7 @@ their site: whole, by broadcast, if these are few, else in blocks of features th
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -273,9 +273,39 @@ def shrink(moments: DataFrame, keys: Sequence[str], empirical_bayes: bool = True
 def apply(rows: DataFrame, model: SiteModel, features: str = "features", unseen: str = "error") -> DataFrame:
     """Harmonized features. Rows of a site (and fold) the model has not seen stop the job, or pass unchanged with
     ``unseen="pass"``. Non-finite results become 0. Models of several folds need their fold column in the rows."""
+    return (_apply_whole if _goes_whole(model) else _apply_in_blocks)(rows, model, features, unseen)
+
+
+def apply_between(rows: DataFrame, model: SiteModel, column: str, before: Callable[[np.ndarray], np.ndarray],
+                  after: Callable[[np.ndarray], np.ndarray], unseen: str = "error") -> DataFrame:
+    """``apply`` to the features that ``before`` makes of a list column, which then holds what ``after`` makes of them.
+
+    Where the model goes to every task this is one Python step, so a task holds one Python process.
+    """
+    if _goes_whole(model):
+        return _apply_whole(rows, model, column, unseen, before, after)
+    return _mapped(_apply_in_blocks(_mapped(rows, column, before), model, column, unseen), column, after)
+
+
+def _goes_whole(model: SiteModel) -> bool:
     size = model.parameters.agg(F.sum(4 + F.size("coef")).alias("n")).first()["n"] or 0
-    whole = size <= BROADCAST_PARAMETERS
-    return (_apply_whole if whole else _apply_in_blocks)(rows, model, features, unseen)
+    return size <= BROADCAST_PARAMETERS
+
+
+def _mapped(rows: DataFrame, column: str, work: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for part in slices(batch, column):
+                yield part.assign(**{column: list(work(np.stack(part[column].to_numpy()).astype(float)))})
+
+    return rows.mapInPandas(run, rows.schema)
+
+
+def slices(batch: pd.DataFrame, column: str) -> Iterator[pd.DataFrame]:
+    """The rows of a batch, as many at a time as have ``SLICE_CELLS`` cells in a list column of equal lengths."""
+    step = max(1, SLICE_CELLS // max(1, len(batch[column].iloc[0]))) if len(batch) else 1
+    for at in range(0, len(batch), step):
+        yield batch.iloc[at:at + step]
 
 
 def _moved(values: np.ndarray, basis: np.ndarray, grand, scale, shift, spread, coef) -> np.ndarray:
@@ -297,7 +327,7 @@ def _unknown(key, unseen: str) -> None:
         raise ValueError(f"site {key!r} was not in the training rows")
 
 
-def _apply_whole(rows: DataFrame, model: SiteModel, features: str, unseen: str) -> DataFrame:
+def _apply_whole(rows: DataFrame, model: SiteModel, features: str, unseen: str, before=None, after=None) -> DataFrame:
     """All parameters go to every task."""
     keys, table = model.keys, {}
     for key, part in model.parameters.toPandas().groupby(keys):
@@ -308,16 +338,17 @@ def _apply_whole(rows: DataFrame, model: SiteModel, features: str, unseen: str)
     kept = list(rows.columns)
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, features)):
             result = [None] * len(batch)
             for key, where in batch.groupby(keys, sort=False, dropna=False).indices.items():
                 key = key if isinstance(key, tuple) else (key,)
                 values = np.stack(batch[features].iloc[where].to_numpy()).astype(float)
+                values = values if before is None else before(values)
                 if key not in held.value:
                     _unknown(key[-1], unseen)
                 else:
                     values = _moved(values, np.stack(batch["_basis"].iloc[where].to_numpy()), *held.value[key])
-                for place, value in zip(where, values):
+                for place, value in zip(where, values if after is None else after(values)):
                     result[place] = value
             yield batch[kept].assign(**{features: result})
 

@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cohortloom.functions import registry
+from cohortloom.operators import harmonize
+from cohortloom.operators.harmonize import slices
 from cohortloom.session import cut_lineage
 
 ROOT2 = float(np.sqrt(2.0))
@@ -42,6 +44,12 @@ def stacked(cells: pd.Series) -> np.ndarray:
     return flat.reshape(-1, size, size)
 
 
+def _slices(batches: Iterator[pd.DataFrame], column: str) -> Iterator[pd.DataFrame]:
+    """Batches cut so that the copies made of their matrices stay small, whatever their size."""
+    for batch in batches:
+        yield from slices(batch, column)
+
+
 def _whitener(reference: np.ndarray) -> np.ndarray:
     return spectral(reference[None], lambda v: 1.0 / np.sqrt(v))[0]
 
@@ -63,9 +71,7 @@ def _summed(matrices: DataFrame, matrix: str, fold: str | None, labels: Sequence
 
     def add_up(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         totals = {k: np.zeros(size * size + 1) for k in range(len(labels))}
-        for batch in batches:
-            if len(batch) == 0:
-                continue
+        for batch in _slices(batches, matrix):
             stack = stacked(batch[matrix])
             for k, label in enumerate(labels):
                 part = stack if fold is None else stack[(batch[fold] != label).to_numpy()]
@@ -142,9 +148,8 @@ def _replace_column(rows: DataFrame, source: str, target: str, work: Callable[[p
     out = T.StructType([rows.schema[c] for c in kept] + [T.StructField(target, T.ArrayType(T.DoubleType()))])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            if len(batch):
-                yield batch[kept].assign(**{target: list(work(batch))})
+        for batch in _slices(batches, source):
+            yield batch[kept].assign(**{target: list(work(batch))})
 
     return rows.mapInPandas(run, out)
 
@@ -180,8 +185,8 @@ def tangent_of_training(rows: DataFrame, references: dict, fold: str = "fold", m
         T.StructField(outer, rows.schema[fold].dataType), T.StructField("features", T.ArrayType(T.DoubleType()))])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            stack = stacked(batch[matrix]) if len(batch) else None
+        for batch in _slices(batches, matrix):
+            stack = stacked(batch[matrix])
             for label, whitener in whiteners.items():
                 train = (batch[fold] != label).to_numpy()
                 if train.any():
@@ -222,15 +227,21 @@ def harmonized_matrices(train: DataFrame, test: DataFrame, protocol: str, site:
     Reference and site model come from train only. Test rows that the policy leaves alone keep their
     original matrix instead of passing through the maps.
     """
-    from cohortloom.operators import harmonize
-
     _, to_test, _, _ = registry.HARMONIZATION_POLICY["kfold" if protocol == "gkf" else protocol]
+    train, test = cut_lineage(train), cut_lineage(test)
     reference = reference_matrices(train, matrix, metric=metric)[None]
-    vectors = tangent_features(train, reference, matrix)
-    model = harmonize.fit(vectors, site, **settings)
-    done = from_tangent(harmonize.apply(vectors, model), reference).withColumn("side", F.lit("train"))
-    if to_test:
-        moved = from_tangent(harmonize.apply(tangent_features(test, reference, matrix), model), reference)
-    else:
-        moved = test.select(*[c for c in test.columns if c != matrix], F.col(matrix).alias("matrix"))
+    model = harmonize.fit(tangent_features(train, reference, matrix), site, **settings)
+    whitener, root = _whitener(reference), spectral(reference[None], np.sqrt)[0]
+
+    def to_vectors(cells: np.ndarray) -> np.ndarray:
+        return upper(logs_at(cells.reshape(-1, *root.shape), whitener), ROOT2)
+
+    def to_matrices(vectors: np.ndarray) -> np.ndarray:
+        return (root @ spectral(symmetric(vectors, ROOT2), np.exp) @ root).reshape(len(vectors), -1)
+
+    def named(rows: DataFrame) -> DataFrame:
+        return rows.select(*[c for c in rows.columns if c != matrix], F.col(matrix).alias("matrix"))
+
+    done = named(harmonize.apply_between(train, model, matrix, to_vectors, to_matrices)).withColumn("side", F.lit("train"))
+    moved = named(harmonize.apply_between(test, model, matrix, to_vectors, to_matrices) if to_test else test)
     return done.unionByName(moved.withColumn("side", F.lit("test")))

@@ -1,4 +1,5 @@
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
@@ -344,6 +345,31 @@ def test_high_variance_confounds_span_the_leading_components(spark):
     assert np.allclose(np.abs(np.sum(wide * u, axis=0)), 1.0)
 
 
+def test_harmonized_matrices_take_one_python_step_a_side(spark):
+    x = RNG.normal(size=(60, 8, 3))
+    cells = (np.swapaxes(x, 1, 2) @ x / 8 + 0.1 * np.eye(3)).reshape(60, -1)
+    df = spark.createDataFrame([(i, "ab"[i % 2], float(i % 17), c.tolist()) for i, c in enumerate(cells)],
+                               "scan int, site string, age double, matrix array<double>").repartition(3)
+    train, test = df.where("scan % 5 <> 0"), df.where("scan % 5 = 0")
+    got = tangent.harmonized_matrices(train, test, "kfold", "site", kind="linear")
+    assert got.columns == ["scan", "site", "age", "matrix", "side"]
+    assert got._jdf.queryExecution().executedPlan().toString().count("MapInPandas") == 2
+    reference = tangent.reference_matrices(train)[None]
+    vectors = [tangent.tangent_features(side, reference) for side in (train, test)]
+    model = harmonize.fit(vectors[0], "site", kind="linear")
+    steps = [tangent.from_tangent(harmonize.apply(v, model), reference) for v in vectors]
+    want = {r["scan"]: r["matrix"] for r in steps[0].unionByName(steps[1]).collect()}
+    rows = got.collect()
+    assert len(rows) == 60 and all(np.allclose(r["matrix"], want[r["scan"]]) for r in rows)
+
+
+def test_slices_hold_few_cells(monkeypatch):
+    monkeypatch.setattr(harmonize, "SLICE_CELLS", 12)
+    batch = pd.DataFrame({"matrix": [[0.0] * 4] * 7})
+    assert [len(part) for part in harmonize.slices(batch, "matrix")] == [3, 3, 1]
+    assert [len(part) for part in harmonize.slices(batch.iloc[:0], "matrix")] == []
+
+
 def test_tables_of_scans_are_solved_one_at_a_time(spark):
     rows = [(s, a, b, float(RNG.normal())) for s in (None, "a", "b") for a in range(6) for b in range(5)]
     df = spark.createDataFrame(rows, "scan_id string, t int, voxel int, value double").repartition(3)
