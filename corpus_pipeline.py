@@ -1,18 +1,37 @@
 """The corpus pipeline: quality rules, near duplicates, decontamination, secrets, tokens.
 
 Each stage takes what its predecessor kept and returns it with the columns of ``documents``; the last one returns
-tokens. Stages are functions of (spark, documents, folder of the tables).
+tokens. Stages are functions of (spark, documents, folder of the tables). Stages whose Python gets whole texts write their
+result while batches are small, as the setting counts when a table is written.
 """
 
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 from cohortloom.llm import quality_rules, secrets, sentencepiece_codec, setsketch, winnowing
 from cohortloom.llm.common import table
-from cohortloom.session import shared_folder, ship_package
+from cohortloom.session import cut_lineage, shared_folder, ship_package
+
+
+#: Documents that go to a Python worker at once. Whole texts are long rows, and both sides hold the batch.
+BATCH_ROWS = 500
+BATCH_SETTING = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+@contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """Batches of at most ``BATCH_ROWS`` rows inside the block; the session's own setting comes back after it."""
+    before = int(spark.conf.get(BATCH_SETTING))
+    spark.conf.set(BATCH_SETTING, str(min(before, BATCH_ROWS) if before > 0 else BATCH_ROWS))
+    try:
+        yield
+    finally:
+        spark.conf.set(BATCH_SETTING, str(before))
 
 
 def passing_rules(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
@@ -24,7 +43,8 @@ def passing_rules(spark: SparkSession, docs: DataFrame, folder: str) -> DataFram
 def without_near_duplicates(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     """One document of each group that shares runs of five words at a similarity of 0.8 or more."""
     ship_package(spark)
-    return setsketch.one_per_group(docs)
+    with small_batches(spark):
+        return setsketch.one_per_group(docs)
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
@@ -36,13 +56,15 @@ def without_benchmark(spark: SparkSession, docs: DataFrame, folder: str) -> Data
 def without_secrets(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     """All documents, secrets masked."""
     ship_package(spark)
-    return secrets.mask_secrets(docs)
+    with small_batches(spark):
+        return cut_lineage(secrets.mask_secrets(docs))
 
 
 def as_tokens(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     """(doc_id, n_ids, ids, decoded, round_trip): piece ids of every document and the text they give back."""
     ship_package(spark)
-    return sentencepiece_codec.encode_texts(docs).withColumnRenamed("id", "doc_id")
+    with small_batches(spark):
+        return cut_lineage(sentencepiece_codec.encode_texts(docs).withColumnRenamed("id", "doc_id"))
 
 
 STAGES = [

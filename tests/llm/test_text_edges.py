@@ -464,3 +464,42 @@ def test_stages_keep_the_columns(spark, docs, none, tmp_path):
             assert stage(spark, table, folder).columns == table.columns, name
             assert stage(spark, table, folder).count() <= table.count(), name
         assert corpus_pipeline.STAGES[-1][1](spark, table, folder).count() == table.count()
+
+
+def test_pipeline_hands_few_documents_to_python_at_once(spark):
+    import pyarrow as pa
+
+    import corpus_pipeline as cp
+
+    before = spark.conf.get(cp.BATCH_SETTING)
+    docs = spark.range(3 * cp.BATCH_ROWS).selectExpr("id AS doc_id", "'some text' AS text").coalesce(1)
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows])], names=["n"])
+
+    with cp.small_batches(spark):
+        assert [r["n"] for r in docs.mapInArrow(sizes, "n long").collect()] == [cp.BATCH_ROWS] * 3
+    assert spark.conf.get(cp.BATCH_SETTING) == before
+    # written inside the stage: nothing is left that Python would do in large batches
+    tokens = cp.as_tokens(spark, docs, "")
+    assert "MapInArrow" not in tokens._jdf.queryExecution().executedPlan().toString()
+    assert tokens.count() == 3 * cp.BATCH_ROWS and tokens.where("round_trip").count() == 3 * cp.BATCH_ROWS
+
+
+def test_pieces_joined_by_arrow_are_those_of_the_plain_way():
+    import numpy as np
+
+    from cohortloom.llm import sentencepiece_codec
+
+    own = sentencepiece_codec.codec(None)
+    b = own.byte_ids
+    texts = ["", " ", "  two  spaces ", "\u65e5\u672c \U0001f600", "a\x00b", "plain words here"]
+    ids, starts = own.encode(texts)
+    runs = [ids[x:y].tolist() for x, y in zip(starts, starts[1:])]
+    runs += [[b[0xE2]], [b[0xE2], b[0x96], b[0x81], 500], [b[0x20], 400], [own.unknown_id, 900]]
+    for some in (runs[:6], runs[6:7], runs[7:8], runs[8:9], runs[9:], runs):
+        ends = np.cumsum([0, *map(len, some)])
+        flat = np.array([i for run in some for i in run], dtype=np.int32)
+        assert own.decode_all(flat, ends).to_pylist() == [own.decode(run) for run in some]
+    assert [own.decode(run) for run in runs[:6]] == texts
