@@ -11,7 +11,7 @@ from cohortloom.functions import registry
 from cohortloom.functions.scalars import missing_if_not_finite, order_of
 from cohortloom.operators.ranking import with_running_total
 from cohortloom.session import cut_lineage
-from cohortloom.sizing import join_small, join_spread
+from cohortloom.sizing import join_small, join_spread, settle_small
 
 
 def _varies(low: Column, high: Column) -> Column:
@@ -52,18 +52,32 @@ def moment_metrics(rows: DataFrame, keys: Sequence[str], y: str = "y", yhat: str
         F.when(whole & moves["_t"], F.try_divide("_cgt", "_vt")).alias("age_bias_slope"))
 
 
-def spearman(rows: DataFrame, keys: Sequence[str], y: str = "y", yhat: str = "yhat") -> DataFrame:
+def _numbered(rows: DataFrame, keys: Sequence[str], groups: DataFrame) -> tuple[DataFrame, DataFrame, list[str]]:
+    """Rows and groups with one number ``_group`` in place of the keys: what is sorted and shuffled below then has
+    numbers only, however long the names. (rows, groups, names of the key); too many groups keep their keys."""
+    found, fits = settle_small(groups.select(*keys).withColumn("_group", F.monotonically_increasing_id()))
+    if not fits:
+        return rows, found, list(keys)
+    names = F.broadcast(found.select("_group", *[F.col(k).alias(f"_of_{k}") for k in keys]))
+    same = [F.col(k).eqNullSafe(F.col(f"_of_{k}")) for k in keys]
+    return rows.join(names, same).drop(*keys, *[f"_of_{k}" for k in keys]), found, ["_group"]
+
+
+def spearman(rows: DataFrame, keys: Sequence[str], y: str = "y", yhat: str = "yhat",
+             groups: DataFrame | None = None) -> DataFrame:
     """Spearman correlation per group, same guards as the other correlations.
 
     Ranks come from distinct values with counts, so a group is never sorted by one task; the ranks are
     then joined to the distinct (y, yhat) pairs, a value that many pairs share spread over tasks by its partner.
+    ``groups`` is a table with each group once, if there is one already.
     """
-    used = rows.select(*keys, missing_if_not_finite(y).alias("_t"), missing_if_not_finite(yhat).alias("_p"))
+    values = rows.select(*keys, missing_if_not_finite(y).alias("_t"), missing_if_not_finite(yhat).alias("_p"))
+    used, found, key = _numbered(values, keys, rows.select(*keys).distinct() if groups is None else groups)
     # read four times below, so written once
-    pairs = cut_lineage(used.groupBy(*keys, "_t", "_p").agg(F.count("*").alias("_c")))
+    pairs = cut_lineage(used.groupBy(*key, "_t", "_p").agg(F.count("*").alias("_c")))
     whole = pairs.where("_t IS NOT NULL AND _p IS NOT NULL")
     both = F.col("_t").isNotNull() & F.col("_p").isNotNull()
-    limits = cut_lineage(pairs.groupBy(*keys).agg(
+    limits = cut_lineage(pairs.groupBy(*key).agg(
         F.sum("_c").alias("_all"), F.sum(F.when(both, F.col("_c"))).alias("_n"),
         *[F.min(F.when(both, F.col(c))).alias(f"_lo{c}") for c in ("_t", "_p")],
         *[F.max(F.when(both, F.col(c))).alias(f"_hi{c}") for c in ("_t", "_p")]))
@@ -71,26 +85,26 @@ def spearman(rows: DataFrame, keys: Sequence[str], y: str = "y", yhat: str = "yh
         (F.col("_all") >= 2) & (F.col("_n") == F.col("_all"))
         & _varies(F.col("_lo_t"), F.col("_hi_t")) & _varies(F.col("_lo_p"), F.col("_hi_p")), F.lit(False))
     # groups with a constant side have no rank correlation, and their one value would be one key below
-    whole = join_small(whole, limits.where(fine).select(*keys), list(keys))
+    whole = join_small(whole, limits.where(fine).select(*key), key)
     # both sides are ranked in one pass over (side, value) counts
-    sides = F.array(*[F.struct(F.lit(s).alias("side"), F.col(s).alias("v")) for s in ("_t", "_p")])
+    sides = F.array(*[F.struct(F.lit(i).alias("side"), F.col(s).alias("v")) for i, s in enumerate(("_t", "_p"))])
     counts = (
-        whole.select(*keys, "_c", F.explode(sides).alias("s"))
-        .groupBy(*keys, F.col("s.side").alias("_side"), F.col("s.v").alias("_v")).agg(F.sum("_c").alias("n"), F.count("*").alias("_m"))
+        whole.select(*key, "_c", F.explode(sides).alias("s"))
+        .groupBy(*key, F.col("s.side").alias("_side"), F.col("s.v").alias("_v")).agg(F.sum("_c").alias("n"), F.count("*").alias("_m"))
     )
-    placed = with_running_total(counts, [*keys, "_side"], ["_v"], "n")
+    placed = with_running_total(counts, [*key, "_side"], ["_v"], "n")
     joined, n_pairs = whole, pairs.count()
-    for side, other in (("_t", "_p"), ("_p", "_t")):
-        ranks = placed.where(F.col("_side") == side).select(
-            *keys, F.col("_v").alias(side), (F.col("running") - (F.col("n") - 1) / 2.0).alias(f"_r{side}"),
+    for i, (side, other) in enumerate((("_t", "_p"), ("_p", "_t"))):
+        ranks = placed.where(F.col("_side") == i).select(
+            *key, F.col("_v").alias(side), (F.col("running") - (F.col("n") - 1) / 2.0).alias(f"_r{side}"),
             F.col("total").alias(f"_n{side}"), "_m")
-        joined = join_spread(joined, ranks, [*keys, side], "_m", n_pairs, other)
+        joined = join_spread(joined, ranks, [*key, side], "_m", n_pairs, other)
     middle = (F.col("_n_t") + 1) / 2.0
     a, b = F.col("_r_t") - middle, F.col("_r_p") - middle
-    sums = joined.groupBy(*keys).agg(
+    sums = joined.groupBy(*key).agg(
         F.sum(F.col("_c") * a * b).alias("_ab"), F.sum(F.col("_c") * a * a).alias("_aa"),
         F.sum(F.col("_c") * b * b).alias("_bb"))
-    return limits.select(*keys).join(sums, list(keys), "left").select(
+    return found.join(sums, key, "left").select(
         *keys, F.try_divide("_ab", F.sqrt("_aa") * F.sqrt("_bb")).alias("Spearman_rho"))
 
 
@@ -99,7 +113,8 @@ def regression_metrics(rows: DataFrame, keys: Sequence[str], y: str = "y", yhat:
     """The named metrics (all eight by default), one row per group; ranks only if they are asked for."""
     table = moment_metrics(rows, keys, y, yhat)
     if "Spearman_rho" in names:
-        table = table.join(spearman(rows, keys, y, yhat), list(keys))
+        table = cut_lineage(table)  # names the groups to be ranked
+        table = table.join(spearman(rows, keys, y, yhat, table), list(keys))
     return table.select(*keys, "n", *[F.col(f"`{m}`") for m in names])
 
 

@@ -222,3 +222,30 @@ def test_one_shuffle_of_the_rows(spark, folder):
     df = spark.range(1000).select(F.lit("g").alias("g"), F.col("id").alias("v"), F.lit(1).alias("w"))
     plan = ranking.with_running_total(df, ["g"], ["v"], "w")._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastHashJoin" in plan and "Exchange hashpartitioning" not in plan
+
+
+@pytest.mark.parametrize("numbered", [True, False])
+def test_spearman_sorts_numbers_instead_of_names(spark, monkeypatch, numbered):
+    """Two name columns, one of them with NULLs; beyond the bound on groups the names stay and results are the same."""
+    rng = np.random.default_rng(5)
+    values = {key: (rng.integers(0, 40, 300).astype(float), rng.normal(size=300)) for key in (("a" * 70, "x"), ("a" * 70, "z"), ("b", "x"))}
+    rows = [(a, b, float(t), float(p)) for (a, b), (ts, ps) in values.items() for t, p in zip(ts, ps)]
+    rows += [(None, "x", float(t), float(t) ** 2) for t in range(9)]
+    sorted_schemas, real = [], metrics.with_running_total
+
+    def seen(df, *args, **kwargs):
+        sorted_schemas.append({f.dataType.simpleString() for f in df.schema.fields})
+        return real(df, *args, **kwargs)
+
+    monkeypatch.setattr(metrics, "with_running_total", seen)
+    if not numbered:
+        settle = metrics.settle_small
+        monkeypatch.setattr(metrics, "settle_small", lambda df: (settle(df)[0], False))
+    df = spark.createDataFrame(rows, "file string, fold string, y double, yhat double")
+    got = {(r["file"], r["fold"]): r["Spearman_rho"] for r in metrics.spearman(df, ["file", "fold"]).collect()}
+    assert ("string" in sorted_schemas[0]) == (not numbered)
+    for key, (ts, ps) in values.items():
+        assert np.isclose(got[key], pd.Series(ts).rank().corr(pd.Series(ps).rank()))
+    assert len(got) == 4
+    if numbered:
+        assert got[(None, "x")] == pytest.approx(1.0)
