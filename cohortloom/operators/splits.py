@@ -15,6 +15,10 @@ from cohortloom.sizing import join_small
 
 
 MAX_SENT_SUBJECTS = 2_000_000
+#: Rows of a split that one task checks; the number of tasks follows from the rows.
+CHECKED_ROWS = 250_000
+#: Longest list written out to repeat a row.
+REPEATS = 10_000
 
 
 def cycle_plan(sizes: Sequence[tuple[int, int]], n_folds: int) -> list[tuple[int, int, list[int]]]:
@@ -118,11 +122,19 @@ def grouped_validation(train: DataFrame, group: str, share: float = registry.VAL
 def split_problems(sides: DataFrame, scans: DataFrame, scan: str, group: str,
                    folds: Sequence[str] = ("protocol", "fold")) -> DataFrame:
     """Everything wrong with a table of (folds, side, scan, group): an empty side, a scan repeated or on
-    both sides, a group on both sides, a scan that does not exist. Empty result = clean split."""
+    both sides, a group on both sides, a scan that does not exist. Empty result = clean split.
+
+    Rows are dealt by scan to as many tasks as their number asks for, since adding up before any shuffle would hold a
+    whole file part in memory; first by scan and origin, so that a scan of many rows arrives as few.
+    """
     keys = list(folds)
     is_test, is_train = F.col("side") == "test", F.col("side") == "train"
-    per_scan = sides.groupBy(*keys, scan).agg(
-        F.count_if(is_test).alias("_te"), F.count_if(is_train).alias("_tr"), F.first(group).alias(group))
+    parts = max(1, -(-sides.count() // CHECKED_ROWS))
+    near = sides.withColumn("_from", F.spark_partition_id()).repartition(parts, scan, "_from").groupBy(*keys, scan, "_from").agg(
+        F.count_if(is_test).alias("_te"), F.count_if(is_train).alias("_tr"), F.first(group).alias(group),
+        F.count("*").alias("_rows"))
+    per_scan = near.repartition(parts, scan).groupBy(*keys, scan).agg(
+        *[F.sum(c).alias(c) for c in ("_te", "_tr", "_rows")], F.first(group).alias(group))
     per_group = per_scan.groupBy(*keys, group).agg(
         F.sum("_te").alias("_te"), F.sum("_tr").alias("_tr"))
     empty = per_group.groupBy(*keys).agg(F.sum("_te").alias("_te"), F.sum("_tr").alias("_tr"))
@@ -136,11 +148,18 @@ def split_problems(sides: DataFrame, scans: DataFrame, scan: str, group: str,
     def report(rows: DataFrame, problem, item) -> DataFrame:
         return rows.select(*keys, problem.alias("problem"), item.cast("string").alias("item"))
 
+    # a missing scan is named once for each of its rows; lists of lists, so that no list is long
+    missing = per_scan.join(scans.select(scan).repartition(parts, scan), scan, "left_anti")
+    blocks = F.sequence(F.lit(0), F.expr(f"(_rows - 1) div {REPEATS}"))
+    missing = missing.select("*", F.explode(blocks).alias("_block"))
+    in_block = F.least(F.lit(REPEATS), F.col("_rows") - F.col("_block") * REPEATS).cast("int")
+    missing = missing.select(*keys, scan, F.explode(F.array_repeat(F.lit(True), in_block)))
+
     out = [
         report(per_scan, F.explode(per_scan_found), F.col(scan)),
         report(per_group.where("_te > 0 AND _tr > 0"), F.lit("group_on_both_sides"), F.col(group)),
         report(empty, F.explode(sides_found), F.lit(None)),
-        report(sides.join(scans.select(scan), scan, "left_anti"), F.lit("unknown_scan"), F.col(scan)),
+        report(missing, F.lit("unknown_scan"), F.col(scan)),
     ]
     table = out[0]
     for part in out[1:]:

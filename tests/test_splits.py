@@ -1,4 +1,5 @@
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -76,3 +77,20 @@ def test_hashed_folds_depend_on_the_subject_only(spark):
     table = splits.hashed_kfold(df, "subject").select("subject", "fold").distinct().toPandas()
     assert table["subject"].is_unique and table["fold"].nunique() == 5
     assert np.isin(table["fold"], [f"R{i}" for i in range(1, 6)]).all()
+
+
+def test_split_problems_deals_rows_by_their_number(spark, monkeypatch):
+    """A missing scan is named once a row, however often, and no scan has its rows added up before they are dealt."""
+    monkeypatch.setattr(splits, "CHECKED_ROWS", 10)
+    monkeypatch.setattr(splits, "REPEATS", 4)
+    rows = [("p", "f1", "train", "gone", "g0")] * 23 + [("p", "f1", "test", None, "g1")] * 4
+    rows += [("p", "f1", "test", f"s{i}", f"g{i}") for i in range(2, 30)] + [("p", "f1", "train", "s2", "g2")]
+    sides = spark.createDataFrame(rows, "protocol string, fold string, side string, scan string, subject string").repartition(3)
+    known = spark.createDataFrame([(f"s{i}",) for i in range(2, 30)] * 2, "scan string")
+    found = splits.split_problems(sides, known, "scan", "subject")
+    got = Counter((r["problem"], r["item"]) for r in found.collect())
+    assert got == {("unknown_scan", "gone"): 23, ("unknown_scan", None): 4, ("scan_repeated", "gone"): 1,
+                   ("scan_repeated", None): 1, ("scan_on_both_sides", "s2"): 1, ("group_on_both_sides", "g2"): 1}
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    dealt = [line for line in plan.splitlines() if "REPARTITION_BY_NUM" in line]
+    assert any("_from" in line and ", 6)" in line for line in dealt) and any("_from" not in line for line in dealt)
