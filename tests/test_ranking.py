@@ -249,3 +249,12 @@ def test_spearman_sorts_numbers_instead_of_names(spark, monkeypatch, numbered):
     assert len(got) == 4
     if numbered:
         assert got[(None, "x")] == pytest.approx(1.0)
+
+
+def test_lodo_extrema_ranks_without_file_names(spark, folder, monkeypatch):
+    from cohortloom.plans import result_queries
+
+    names, real = [], metrics.with_running_total
+    monkeypatch.setattr(metrics, "with_running_total", lambda df, *a, **k: names.extend(df.columns) or real(df, *a, **k))
+    assert result_queries.lodo_extrema(spark, folder).count() == 3
+    assert "_group" in names and not {"file_name", "fold"} & set(names)
