@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 
 from cohortloom.functions import registry
 from cohortloom.functions.scalars import missing_if_not_finite, order_of
-from cohortloom.operators.ranking import with_running_total
+from cohortloom.operators.ranking import with_order_codes, with_running_total
 from cohortloom.session import cut_lineage
-from cohortloom.sizing import join_small, join_spread, settle_small
+from cohortloom.sizing import hot_keys, settle_small
 
 
 def _varies(low: Column, high: Column) -> Column:
@@ -25,6 +25,11 @@ def moment_metrics(rows: DataFrame, keys: Sequence[str], y: str = "y", yhat: str
     Correlations and the slope are NULL below two rows, with a missing or infinite value, or when a side
     is constant. R2 of a constant target is NULL.
     """
+    return _moments(rows, keys, y, yhat).drop("_correlates")
+
+
+def _moments(rows: DataFrame, keys: Sequence[str], y: str, yhat: str) -> DataFrame:
+    """``moment_metrics`` and whether a group has correlations at all, ``_correlates``."""
     t, p = missing_if_not_finite(y), missing_if_not_finite(yhat)
     used = rows.select(*keys, t.alias("_t"), p.alias("_p"), (p - t).alias("_g"))
     sums = used.groupBy(*keys).agg(
@@ -49,61 +54,65 @@ def moment_metrics(rows: DataFrame, keys: Sequence[str], y: str = "y", yhat: str
         (1.0 - F.try_divide("_mse", "_vt")).alias("R2"), F.col("_mse").alias("MSE"),
         correlation("_ctp", "_t", "_p").alias("Pearson_r"),
         correlation("_cgt", "_g", "_t").alias("corr(BAG,age)"),
-        F.when(whole & moves["_t"], F.try_divide("_cgt", "_vt")).alias("age_bias_slope"))
+        F.when(whole & moves["_t"], F.try_divide("_cgt", "_vt")).alias("age_bias_slope"),
+        F.coalesce(whole & moves["_t"] & moves["_p"], F.lit(False)).alias("_correlates"))
 
 
 def _numbered(rows: DataFrame, keys: Sequence[str], groups: DataFrame) -> tuple[DataFrame, DataFrame, list[str]]:
-    """Rows and groups with one number ``_group`` in place of the keys: what is sorted and shuffled below then has
-    numbers only, however long the names. (rows, groups, names of the key); too many groups keep their keys."""
-    found, fits = settle_small(groups.select(*keys).withColumn("_group", F.monotonically_increasing_id()))
-    if not fits:
-        return rows, found, list(keys)
-    names = F.broadcast(found.select("_group", *[F.col(k).alias(f"_of_{k}") for k in keys]))
+    """Rows of groups with correlations, and groups, with one number ``_group`` in place of the keys: what is sorted and
+    shuffled below then has numbers only, however long the names. (rows, groups, names of the key); too many groups keep
+    their keys."""
+    found, fits = settle_small(groups.select(*keys, "_correlates").withColumn("_group", F.monotonically_increasing_id()))
+    names = found.where("_correlates").select("_group", *[F.col(k).alias(f"_of_{k}") for k in keys])
     same = [F.col(k).eqNullSafe(F.col(f"_of_{k}")) for k in keys]
-    return rows.join(names, same).drop(*keys, *[f"_of_{k}" for k in keys]), found, ["_group"]
+    if not fits:
+        return rows.join(names, same, "left_semi"), found, list(keys)
+    return rows.join(F.broadcast(names), same).drop(*keys, *[f"_of_{k}" for k in keys]), found, ["_group"]
 
 
-def spearman(rows: DataFrame, keys: Sequence[str], y: str = "y", yhat: str = "yhat",
-             groups: DataFrame | None = None) -> DataFrame:
-    """Spearman correlation per group, same guards as the other correlations.
+def _ranked(rows: DataFrame, key: list[str], side: str, rank: str) -> DataFrame:
+    """Put the average rank inside the group, counted from the group's middle, in place of a value without NULLs.
 
-    Ranks come from distinct values with counts, so a group is never sorted by one task; the ranks are
-    then joined to the distinct (y, yhat) pairs, a value that many pairs share spread over tasks by its partner.
-    ``groups`` is a table with each group once, if there is one already.
+    Equal values are ranked by one task, but rows of a hot value are told apart, so that many tasks share them, and get
+    their rank afterwards: the average of their positions.
     """
+    hot = hot_keys(rows, [*key, side])
+    if hot is None:
+        placed = with_running_total(rows, key, [side])
+    else:
+        apart = rows.withColumn("_apart", F.monotonically_increasing_id()).join(
+            F.broadcast(hot.withColumn("_hot", F.lit(True))), [*key, side], "left")
+        placed = with_running_total(apart.withColumn("_apart", F.when(F.col("_hot"), F.col("_apart"))), key, [side, "_apart"])
+        shared = cut_lineage(placed.where("_hot").groupBy(*key, side).agg(F.avg("running").alias("_shared")))
+        placed = placed.join(F.broadcast(shared), [*key, side], "left").withColumn("running", F.coalesce("_shared", "running"))
+    others = [c for c in rows.columns if c != side]
+    return placed.select(*others, (F.col("running") - (F.col("total") + 1) / 2.0).alias(rank))
+
+
+def spearman(rows: DataFrame, keys: Sequence[str], y: str = "y", yhat: str = "yhat") -> DataFrame:
+    """Spearman correlation per group, same guards as the other correlations."""
+    used = _finite(rows, keys, y, yhat)
+    return _rank_correlation(used, keys, _moments(used, keys, "_t", "_p"))
+
+
+def _finite(rows: DataFrame, keys: Sequence[str], y: str, yhat: str) -> DataFrame:
+    """(keys, _t, _p and whole numbers to rank these by), written once because several passes read them."""
     values = rows.select(*keys, missing_if_not_finite(y).alias("_t"), missing_if_not_finite(yhat).alias("_p"))
-    used, found, key = _numbered(values, keys, rows.select(*keys).distinct() if groups is None else groups)
-    # read four times below, so written once
-    pairs = cut_lineage(used.groupBy(*key, "_t", "_p").agg(F.count("*").alias("_c")))
-    whole = pairs.where("_t IS NOT NULL AND _p IS NOT NULL")
-    both = F.col("_t").isNotNull() & F.col("_p").isNotNull()
-    limits = cut_lineage(pairs.groupBy(*key).agg(
-        F.sum("_c").alias("_all"), F.sum(F.when(both, F.col("_c"))).alias("_n"),
-        *[F.min(F.when(both, F.col(c))).alias(f"_lo{c}") for c in ("_t", "_p")],
-        *[F.max(F.when(both, F.col(c))).alias(f"_hi{c}") for c in ("_t", "_p")]))
-    fine = F.coalesce(
-        (F.col("_all") >= 2) & (F.col("_n") == F.col("_all"))
-        & _varies(F.col("_lo_t"), F.col("_hi_t")) & _varies(F.col("_lo_p"), F.col("_hi_p")), F.lit(False))
-    # groups with a constant side have no rank correlation, and their one value would be one key below
-    whole = join_small(whole, limits.where(fine).select(*key), key)
-    # both sides are ranked in one pass over (side, value) counts
-    sides = F.array(*[F.struct(F.lit(i).alias("side"), F.col(s).alias("v")) for i, s in enumerate(("_t", "_p"))])
-    counts = (
-        whole.select(*key, "_c", F.explode(sides).alias("s"))
-        .groupBy(*key, F.col("s.side").alias("_side"), F.col("s.v").alias("_v")).agg(F.sum("_c").alias("n"), F.count("*").alias("_m"))
-    )
-    placed = with_running_total(counts, [*key, "_side"], ["_v"], "n")
-    joined, n_pairs = whole, pairs.count()
-    for i, (side, other) in enumerate((("_t", "_p"), ("_p", "_t"))):
-        ranks = placed.where(F.col("_side") == i).select(
-            *key, F.col("_v").alias(side), (F.col("running") - (F.col("n") - 1) / 2.0).alias(f"_r{side}"),
-            F.col("total").alias(f"_n{side}"), "_m")
-        joined = join_spread(joined, ranks, [*key, side], "_m", n_pairs, other)
-    middle = (F.col("_n_t") + 1) / 2.0
-    a, b = F.col("_r_t") - middle, F.col("_r_p") - middle
-    sums = joined.groupBy(*key).agg(
-        F.sum(F.col("_c") * a * b).alias("_ab"), F.sum(F.col("_c") * a * a).alias("_aa"),
-        F.sum(F.col("_c") * b * b).alias("_bb"))
+    return cut_lineage(with_order_codes(values, {"_t": "_code_t", "_p": "_code_p"}))
+
+
+def _rank_correlation(used: DataFrame, keys: Sequence[str], groups: DataFrame) -> DataFrame:
+    """Two sorts, no join of ranks to rows: rows sorted by one side take their rank along to the sort by the other.
+
+    Groups with a constant side have no rank correlation and are not ranked.
+    """
+    numbered, found, key = _numbered(used, keys, groups)
+    ranked = numbered.select(*key, F.col("_code_t").alias("_t"), F.col("_code_p").alias("_p"))
+    for side in ("_t", "_p"):
+        ranked = _ranked(ranked, key, side, f"_r{side}")
+    a, b = F.col("_r_t"), F.col("_r_p")
+    sums = ranked.groupBy(*key).agg(
+        F.sum(a * b).alias("_ab"), F.sum(a * a).alias("_aa"), F.sum(b * b).alias("_bb"))
     return found.join(sums, key, "left").select(
         *keys, F.try_divide("_ab", F.sqrt("_aa") * F.sqrt("_bb")).alias("Spearman_rho"))
 
@@ -111,10 +120,12 @@ def spearman(rows: DataFrame, keys: Sequence[str], y: str = "y", yhat: str = "yh
 def regression_metrics(rows: DataFrame, keys: Sequence[str], y: str = "y", yhat: str = "yhat",
                        names: Sequence[str] = registry.METRICS) -> DataFrame:
     """The named metrics (all eight by default), one row per group; ranks only if they are asked for."""
-    table = moment_metrics(rows, keys, y, yhat)
     if "Spearman_rho" in names:
-        table = cut_lineage(table)  # names the groups to be ranked
-        table = table.join(spearman(rows, keys, y, yhat, table), list(keys))
+        used = _finite(rows, keys, y, yhat)
+        sums = cut_lineage(_moments(used, keys, "_t", "_p"))  # names the groups to be ranked
+        table = sums.join(_rank_correlation(used, keys, sums), list(keys))
+    else:
+        table = moment_metrics(rows, keys, y, yhat)
     return table.select(*keys, "n", *[F.col(f"`{m}`") for m in names])
 
 

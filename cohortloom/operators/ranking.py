@@ -24,10 +24,12 @@ KEPT_WHOLE = 10_000
 ACCURACY, MARGIN = 10_000, 3
 #: Rows of one group that a window may sort in one task.
 WINDOW_ROWS = 1_000_000
+#: ``monotonically_increasing_id`` has the row's place in its partition in so many lower bits.
+RANGE_BITS = 33
 
 
 def with_running_total(
-    df: DataFrame, keys: Sequence[str], order: Sequence[str], weight: str,
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], weight: str | None = None,
     running: str = "running", total: str = "total",
 ) -> DataFrame:
     """Add the inclusive running sum of an integer ``weight`` in ``order`` and the group's total.
@@ -35,30 +37,41 @@ def with_running_total(
     ``(keys, order)`` should be unique; callers pre-aggregate ties. One shuffle: rows are range-partitioned
     and sorted, each range adds up its own rows in place, and only the totals per (group, range) are
     chained. Range numbers are written down with the rows, so both reads below see the same ranges.
+
+    Without a weight every row counts one, and rows that are equal in ``order`` share the average of their positions;
+    these come from Spark's row numbers. Equal rows are in one task, so callers tell apart those of a hot value.
     """
-    named = df.withColumn(weight, F.col(weight).cast("bigint"))
-    sorted_ranges = (
-        named.repartitionByRange(*keys, *order).sortWithinPartitions(*keys, *order)
-        .withColumn("_range", F.spark_partition_id())
-    )
-    out = T.StructType([*sorted_ranges.schema.fields, T.StructField("_local", T.LongType())])
-    ranged = cut_lineage(sorted_ranges.mapInArrow(_adder(list(keys), weight), out))
     grouped = [*keys, "_range"]
+    sorted_rows = df.repartitionByRange(*keys, *order).sortWithinPartitions(*keys, *order)
+    if weight is None:
+        # a row number is the range's number and, in the lower bits, the row's place in the range
+        equal = Window.partitionBy(*keys, *order)
+        ranged = cut_lineage(
+            sorted_rows.withColumn("_number", F.monotonically_increasing_id())
+            .withColumns({"_first": F.min("_number").over(equal), "_equal": F.count("*").over(equal)}).drop("_number"))
+        ranged = ranged.withColumn("_range", F.shiftright("_first", RANGE_BITS))
+        parts = ranged.groupBy(*grouped).agg(F.count("*").alias("_part"), F.min("_first").alias("_start"))
+        place = F.col("_first") - F.col("_start") + (F.col("_equal") + 1) / 2.0
+    else:
+        sorted_rows = sorted_rows.withColumn(weight, F.col(weight).cast("bigint")).withColumn("_range", F.spark_partition_id())
+        out = T.StructType([*sorted_rows.schema.fields, T.StructField("_local", T.LongType())])
+        ranged = cut_lineage(sorted_rows.mapInArrow(_adder(list(keys), weight), out))
+        parts = ranged.groupBy(*grouped).agg(F.sum(weight).alias("_part"), F.lit(0).alias("_start"))
+        place = F.col("_local")
     in_group = Window.partitionBy(*keys)
     offsets = (
-        ranged.groupBy(*grouped).agg(F.sum(weight).alias("_part"))
-        .withColumn("_before", F.coalesce(
+        parts.withColumn("_before", F.coalesce(
             F.sum("_part").over(in_group.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)),
             F.lit(0)))
         .withColumn(total, F.sum("_part").over(in_group))
-        .select(*[F.col(c).alias(f"_o_{c}") for c in grouped], "_before", total)
+        .select(*[F.col(c).alias(f"_o_{c}") for c in grouped], "_start", "_before", total)
     )
     offsets, fits = settle_small(offsets)
     same_range = [F.col(c).eqNullSafe(F.col(f"_o_{c}")) for c in grouped]
     return (
         ranged.join(F.broadcast(offsets) if fits else offsets, same_range)
-        .withColumn(running, F.col("_local") + F.col("_before"))
-        .drop("_local", "_before", "_range", *[f"_o_{c}" for c in grouped])
+        .withColumn(running, place + F.col("_before"))
+        .select(*df.columns, running, total)
     )
 
 
@@ -89,6 +102,31 @@ def _adder(keys: list[str], weight: str):
     return add_up
 
 
+def with_order_codes(df: DataFrame, codes: dict[str, str]) -> DataFrame:
+    """Add to each finite double a whole number (bigint) in the same order, equal where the doubles are equal.
+
+    Exponent, then mantissa, as IEEE lays them out; powers of two and quotients by them are exact. Spark normalizes
+    doubles wherever it groups by them, so that it shuffles again what was sorted in ranges of the same column; whole
+    numbers stay as they are.
+    """
+    out = df.withColumns({f"_size{c}": F.abs(v) for v, c in codes.items()})
+    # one step at a time, so that each power is taken once; the logarithm may be off by one next to a power of two
+    out = out.withColumns({f"_log{c}": F.floor(F.log2(f"_size{c}")) for c in codes.values()})
+    out = out.withColumns({f"_pow{c}": F.pow(F.lit(2.0), f"_log{c}") for c in codes.values()})
+    exponent = {c: F.greatest(
+        F.when(F.col(f"_size{c}") < F.col(f"_pow{c}"), F.col(f"_log{c}") - 1)
+        .when(F.col(f"_size{c}") / 2 >= F.col(f"_pow{c}"), F.col(f"_log{c}") + 1)
+        .otherwise(F.col(f"_log{c}")), F.lit(-1022)) for c in codes.values()}
+    out = out.withColumns({f"_exponent{c}": e for c, e in exponent.items()})
+    mantissa = {c: F.col(f"_size{c}") / F.pow(F.lit(2.0), f"_exponent{c}") * float(1 << 52) for c in codes.values()}
+    out = out.withColumns({
+        f"_bits{c}": (F.col(f"_exponent{c}") + 1022) * F.lit(1 << 52) + m.cast("bigint") for c, m in mantissa.items()})
+    signed = [
+        F.when(F.col(v) == 0, F.lit(0)).when(F.col(v) < 0, -F.col(f"_bits{c}")).otherwise(F.col(f"_bits{c}")).alias(c)
+        for v, c in codes.items()]
+    return out.select(*df.columns, *signed)
+
+
 def row_positions(df: DataFrame, keys: Sequence[str], order: Sequence[str],
                   position: str = "position") -> DataFrame:
     """1-based position of every row inside its group; ``order`` must be unique inside a group."""

@@ -139,14 +139,16 @@ FOLDS = ["R1", "R2", "R3", "R4", "R5", "TEST_A", "TEST_N", "TEST_R"]
 ARCHIVE_METRICS = ["MAE", "R2", "Spearman_rho", "age_bias_slope"]
 
 
-def run_rows(spark: SparkSession, folder: str) -> DataFrame:
-    rows = predictions(spark, folder)
+def run_rows(spark: SparkSession, folder: str, experiment: str = "") -> DataFrame:
+    """Predictions with the file and fold they belong to, of one experiment if one is named."""
     m, year = F.col("part_id") % 4, F.year("run_date").cast("string")
     lodo = F.year("run_date") % 2 == 1
+    named = F.when(lodo, "LODO").otherwise("GKF5")
+    rows = predictions(spark, folder).where(named.contains(experiment))  # before names are put together
     model = F.element_at(F.array(*[F.lit(p) for p in MODEL_PARTS]), (m + 1).cast("int"))
     stamp = F.when(m % 2 == 0, F.concat(F.lit("["), year, F.lit("-06-06 21:30:45]"))).otherwise(
         F.concat(F.lit("["), year, F.lit("-04-18_16-46-01]")))
-    tail = F.concat(F.when(lodo, "_LODO").otherwise("_GKF5"), F.when(F.col("status") == "O", "_harm").otherwise(""))
+    tail = F.concat(F.lit("_"), named, F.when(F.col("status") == "O", "_harm").otherwise(""))
     fold = F.when(lodo, F.concat(F.lit("TEST_"), F.col("dataset"))).otherwise(
         F.concat(F.lit("R"), F.col("subject_id") % 5 + 1))
     return rows.select(
@@ -156,7 +158,7 @@ def run_rows(spark: SparkSession, folder: str) -> DataFrame:
 
 def archive(spark: SparkSession, folder: str, names: list[str] = ARCHIVE_METRICS, experiment: str = "") -> DataFrame:
     """Metric rows of the files, of one experiment if one is named."""
-    rows = run_rows(spark, folder).where(F.col("file_name").contains(experiment))
+    rows = run_rows(spark, folder, experiment)
     table = metrics.regression_metrics(rows, ["file_name", "fold"], names=names)
     long = metrics.metric_long(table, ["file_name", "fold"], names)
     position = F.when(F.col("fold").startswith("R"), F.expr("substring(fold, 2)")).otherwise(

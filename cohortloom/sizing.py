@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from cohortloom.session import cut_lineage
 
 BROADCAST_ROWS = 50_000
+#: Hash values by which ``hot_keys`` counts.
+SLOTS = 1 << 16
 
 
 def settle_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> tuple[DataFrame, bool]:
@@ -50,3 +52,20 @@ def join_spread(big: DataFrame, small: DataFrame, on: Sequence[str], rows_of: st
     return (
         big.join(F.broadcast(known), on, "left").withColumn("_salt", salt).join(rest, [*on, "_salt"], "left")
         .select(*big.columns, *[F.coalesce(f"_heavy_{c}", c).alias(c) for c in added]))
+
+
+def hot_keys(df: DataFrame, on: Sequence[str]) -> DataFrame | None:
+    """Keys that more than one row in ``spark.sql.shuffle.partitions`` has, fewer than that many; None without any.
+
+    Rows are counted by a hash of the key first. Only rows of a hash value that has so many rows are counted by key.
+    """
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    slots = df.withColumn("_slot", F.pmod(F.xxhash64(*on), F.lit(SLOTS)))
+    counts = cut_lineage(slots.groupBy("_slot").agg(F.count("*").alias("n")))
+    n_rows = counts.agg(F.sum("n")).first()[0] or 0
+    full = counts.where(F.col("n") * parts > n_rows)
+    if full.isEmpty():
+        return None
+    keys = slots.join(F.broadcast(full.select("_slot")), "_slot", "left_semi").groupBy(*on).agg(F.count("*").alias("n"))
+    hot = cut_lineage(keys.where(F.col("n") * parts > n_rows).select(*on))
+    return None if hot.isEmpty() else hot

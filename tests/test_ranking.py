@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cohortloom.operators import metrics, ranking
-from cohortloom.sizing import join_spread
+from cohortloom.sizing import hot_keys, join_spread
 
 
 def frame(spark, rows, schema):
@@ -258,3 +258,96 @@ def test_lodo_extrema_ranks_without_file_names(spark, folder, monkeypatch):
     monkeypatch.setattr(metrics, "with_running_total", lambda df, *a, **k: names.extend(df.columns) or real(df, *a, **k))
     assert result_queries.lodo_extrema(spark, folder).count() == 3
     assert "_group" in names and not {"file_name", "fold"} & set(names)
+
+
+@pytest.fixture
+def many_tasks(spark):
+    wanted = {"spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.shuffle.partitions": "16"}
+    before = {k: spark.conf.get(k) for k in wanted}
+    for k, v in wanted.items():
+        spark.conf.set(k, v)
+    yield
+    for k, v in before.items():
+        spark.conf.set(k, v)
+
+
+@pytest.fixture
+def written(monkeypatch):
+    """Tables and plans that the range sort writes down."""
+    found, real = [], ranking.cut_lineage
+
+    def seen(df):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        found.append((plan, real(df)))
+        return found[-1][1]
+
+    monkeypatch.setattr(ranking, "cut_lineage", seen)
+    return found
+
+
+def test_order_codes_follow_doubles(spark):
+    draw = np.random.default_rng(1)
+    bits = draw.integers(0, 2**64, 3_000, dtype=np.uint64).view("f8")
+    powers = 2.0 ** np.arange(-1074, 1024)
+    values = np.concatenate([
+        bits[np.isfinite(bits)], powers, -powers, np.nextafter(powers, 0), np.nextafter(powers[:-1], np.inf),
+        [0.0, -0.0, np.finfo(float).max, -np.finfo(float).max], draw.normal(size=300)])
+    got = ranking.with_order_codes(spark.createDataFrame(pd.DataFrame({"v": values})), {"v": "code"}).toPandas()
+    size = np.abs(got["v"].to_numpy()).view("i8")
+    assert got.columns.tolist() == ["v", "code"] and len(got) == len(values)
+    assert (got["code"].to_numpy() == np.where(got["v"] < 0, -size, size)).all()
+    assert ranking.with_order_codes(frame(spark, [(None,)], "v double"), {"v": "code"}).first()["code"] is None
+
+
+@pytest.mark.parametrize("broadcast_rows", [50_000, 0])
+def test_positions_without_weight(spark, many_ranges, monkeypatch, broadcast_rows):
+    settle = ranking.settle_small
+    monkeypatch.setattr(ranking, "settle_small", lambda df: settle(df, broadcast_rows))
+    draw = np.random.default_rng(3)
+    table = pd.DataFrame({
+        "g": draw.choice(["hot", "a", "b", None], 900, p=[0.7, 0.1, 0.1, 0.1]),
+        "v": np.where(draw.random(900) < 0.3, 5, draw.integers(0, 300, 900)), "id": np.arange(900)})
+    df = frame(spark, [(None if pd.isna(g) else g, int(v), int(i)) for g, v, i in table.itertuples(index=False)], "g string, v int, id int")
+    got = ranking.with_running_total(df, ["g"], ["v"]).toPandas()
+    table["want"] = table.groupby("g", dropna=False)["v"].rank()
+    table["all"] = table.groupby("g", dropna=False)["v"].transform("size")
+    both = got.merge(table[["id", "want", "all"]], on="id")
+    assert got.columns.tolist() == ["g", "v", "id", "running", "total"]
+    assert len(both) == 900 and (both["running"] == both["want"]).all() and (both["total"] == both["all"]).all()
+
+
+def test_rank_correlation_sorts_each_side_once(spark, many_tasks, written):
+    """Per side one range shuffle, no Python, and neither a second shuffle of the sorted rows nor a join of ranks."""
+    draw = np.random.default_rng(6)
+    y = draw.normal(size=3_000)
+    p = y + draw.normal(size=3_000)
+    df = frame(spark, [("f", float(a), float(b)) for a, b in zip(y, p)], "fold string, y double, yhat double")
+    assert np.isclose(metrics.spearman(df, ["fold"]).first()["Spearman_rho"], pd.Series(y).rank().corr(pd.Series(p).rank()))
+    assert len(written) == 2
+    for plan, _ in written:
+        assert plan.count("Exchange rangepartitioning") == 1 and "Exchange hashpartitioning" not in plan
+        assert "MapInArrow" not in plan and "SortMergeJoin" not in plan
+
+
+def test_hot_values_are_ranked_by_many_tasks(spark, many_tasks, written):
+    """Half of the rows are one pair, a sixth share one value of a side; the rest has ties too."""
+    draw = np.random.default_rng(7)
+    y, p = draw.integers(0, 900, 6_000) / 7.0, draw.normal(size=6_000).round(2)
+    kind = draw.random(6_000)
+    y[kind < 0.5], p[kind < 0.5] = 60.0, 0.5
+    y[kind > 0.83] = 100.0
+    df = frame(spark, [("f", float(a), float(b)) for a, b in zip(y, p)] + [("g", float(a), -float(a)) for a in range(50)],
+               "fold string, y double, yhat double")
+    got = {r["fold"]: r["Spearman_rho"] for r in metrics.spearman(df, ["fold"]).collect()}
+    assert np.isclose(got["f"], pd.Series(y).rank().corr(pd.Series(p).rank()), atol=1e-12) and np.isclose(got["g"], -1.0)
+    assert len(written) == 2
+    for _, table in written:
+        sizes = [r["count"] for r in table.groupBy(F.shiftright("_first", ranking.RANGE_BITS)).count().collect()]
+        assert sum(sizes) == 6_050 and max(sizes) < 6_050 / 5
+
+
+def test_hot_keys_are_counted(spark, many_tasks):
+    keys = ["a"] * 500 + ["b"] * 100 + [f"k{i}" for i in range(400)] + [None] * 90
+    df = frame(spark, [(k, 1) for k in keys], "k string, v int")
+    assert {r["k"] for r in hot_keys(df, ["k"]).collect()} == {"a", "b", None}
+    assert hot_keys(df.where("k LIKE 'k%'"), ["k"]) is None and hot_keys(df.where("v = 2"), ["k"]) is None
